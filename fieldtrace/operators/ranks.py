@@ -43,7 +43,7 @@ def _block_offsets(block_totals: DataFrame, group: list[str]) -> DataFrame:
 
 def _join_offsets(rows: DataFrame, offsets: DataFrame, group: list[str]) -> DataFrame:
     o = offsets.select(*[F.col(g).alias(f"_o_{g}") for g in group],
-                       F.col("_block").alias("_o_block"), *[c for c in offsets.columns if c in ("_before", "_first")])
+                       F.col("_block").alias("_o_block"), *[c for c in offsets.columns if c in ("_before", "_block_start")])
     on = F.col("_block") == F.col("_o_block")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
@@ -54,11 +54,11 @@ def row_numbers(df: DataFrame, group: list[str], order: list, out: str = "row_nu
     """Number the rows of each group along ``order`` (1-based); the order must be total."""
     rows = _blocks(df, group, order)
     totals = rows.groupBy(*group, "_block").agg(
-        F.count(F.lit(1)).alias("_total"), F.min("_mid").alias("_first"))
+        F.count(F.lit(1)).alias("_total"), F.min("_mid").alias("_block_start"))
     offsets = _block_offsets(totals, group)
     numbered = _join_offsets(rows, offsets, group)
     return numbered.withColumn(
-        out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("bigint")
+        out, (F.col("_before") + F.col("_mid") - F.col("_block_start") + 1).cast("bigint")
     ).select(*df.columns, out)
 
 
@@ -112,5 +112,5 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -
 
 def appearance_codes(df: DataFrame, category: str, order: str, out: str) -> DataFrame:
     """Integer code of each category in order of its first appearance along ``order``."""
-    firsts = df.groupBy(category).agg(F.min(order).alias("_first"))
-    return row_numbers(firsts, [], ["_first", category], out).select(category, out)
+    firsts = df.groupBy(category).agg(F.min(order).alias("_appears"))
+    return row_numbers(firsts, [], ["_appears", category], out).select(category, out)

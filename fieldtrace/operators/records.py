@@ -56,11 +56,7 @@ def pair_conflicts(controls: DataFrame, pairs: DataFrame, key: str = "ring", mar
     hit = natural_join(sized, known.withColumn("_hit", F.lit(True)), "left", on=[key, mark])
     strange = attach_per_key(controls, hit, [key, mark], "left", [uid]).where(F.col("_hit").isNull()).drop("_hit")
     counted = add_count(strange, [key], "n", [uid])
-    references = known.groupBy(key).agg(F.collect_set(mark).alias("_marks"))
-    held = strange.groupBy(key).agg(F.count(F.lit(1)).alias(ROWS))
-    listed = attach_per_key(
-        counted, natural_join(held, references, "left", on=[key]), [key], "left", [uid])
-    return listed.withColumn("reference", F.explode_outer("_marks")).drop("_marks")
+    return natural_join(counted, known.withColumnRenamed(mark, "reference"), "left", on=[key])
 
 
 def mean_positions(positions: DataFrame, keys: list[str], order: str, numbers=("lon", "lat"), raws=()) -> DataFrame:

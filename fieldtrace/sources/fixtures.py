@@ -91,6 +91,22 @@ SELECT c.c_custkey AS id, p.p_brand AS com,
   CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE -10 + CAST((c.c_custkey * 7919) % 28000 AS DOUBLE) / 1000 END AS lon,
   CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE 35 + CAST((c.c_custkey * 6007) % 20000 AS DOUBLE) / 1000 END AS lat
 FROM {customer} c JOIN {part} p ON p.p_partkey = c.c_custkey""",
+    "places": """
+SELECT id, CASE id % 2 WHEN 0 THEN 'FRANCE' ELSE 'SPAIN' END AS co, CASE id % 3 WHEN 0 THEN NULL ELSE '44' END AS dpt,
+  CASE id % 7 WHEN 3 THEN CONCAT(com, 'x') WHEN 5 THEN 'Elsewhere' ELSE com END AS com, spot, lon, lat
+FROM {resolution}""",
+    "spots": """
+SELECT CASE p_partkey % 2 WHEN 0 THEN 'FRANCE' ELSE 'SPAIN' END AS co, p_brand AS com, p_name AS spot,
+  MIN(p_partkey) AS id_spo,
+  AVG(-10 + CAST((p_partkey * 7919) % 28000 AS DOUBLE) / 1000) AS lon_2,
+  AVG(35 + CAST((p_partkey * 6007) % 20000 AS DOUBLE) / 1000) AS lat_2
+FROM {part} GROUP BY 1, 2, 3""",
+    "communes": """
+SELECT CASE p_partkey % 2 WHEN 0 THEN 'FRANCE' ELSE 'SPAIN' END AS co, p_brand AS com, '44' AS dpt,
+  MIN(p_partkey) AS id_co,
+  AVG(-10 + CAST((p_partkey * 7919) % 28000 AS DOUBLE) / 1000) AS lon_2,
+  AVG(35 + CAST((p_partkey * 6007) % 20000 AS DOUBLE) / 1000) AS lat_2
+FROM {part} WHERE p_brand LIKE 'Brand#1%' GROUP BY 1, 2""",
     "gazetteer": """
 SELECT p_brand AS com, p_name AS spot, MIN(p_partkey) AS id_spo,
   AVG(-10 + CAST((p_partkey * 7919) % 28000 AS DOUBLE) / 1000) AS lon_2,
