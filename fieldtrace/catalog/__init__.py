@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from fieldtrace.sources.fixtures import Tables, as_plain_sql
 
-MODULES = ("tables", "cleaning", "joins", "grouping", "places")
+MODULES = ("tables", "cleaning", "joins", "grouping", "seasons", "places", "spatial")
 
 
 @dataclass(frozen=True)

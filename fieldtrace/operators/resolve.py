@@ -33,15 +33,15 @@ def _bag(text: str | Column) -> Column:
     return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 2).cast("string")))
 
 
-def _with_sorted_bag(names: DataFrame, rarity: DataFrame, key: list[str], text: str) -> DataFrame:
+def _with_sorted_bag(names: DataFrame, rarity: DataFrame, text: str) -> DataFrame:
     """``_bag``: elements of the name, rarest first.  A name's bag is as long as the name."""
-    elements = names.select(*key, F.explode(_bag(F.col(text))).alias("_e"))
-    ranked = elements.join(rarity, "_e", "left").groupBy(*key).agg(
+    elements = names.select(text, F.explode(_bag(F.col(text))).alias("_e"))
+    ranked = elements.join(rarity, "_e", "left").groupBy(text).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_e"))).alias("_r"))
-    return ranked.select(*key, F.transform("_r", lambda x: x["_e"]).alias("_bag"))
+    return ranked.select(text, F.transform("_r", lambda x: x["_e"]).alias("_bag"))
 
 
-def _filed(bags: DataFrame, keep: list[str], text: str, max_dist: float, own: str, other: str) -> DataFrame:
+def _filed(bags: DataFrame, text: str, max_dist: float, own: str, other: str) -> DataFrame:
     """One row per partner length and rare element."""
     s = 3 * (1 - max_dist)
     length = F.length(text).cast("double")
@@ -53,64 +53,47 @@ def _filed(bags: DataFrame, keep: list[str], text: str, max_dist: float, own: st
     rows = rows.withColumn(own, F.length(text).cast("bigint"))
     prefix = F.slice("_bag", F.lit(1), F.greatest(F.lit(0), own_len - need + 1).cast("int"))
     rows = rows.withColumn("_prefix", prefix)
-    return rows.select(*keep, own, other, "_prefix", F.explode("_prefix").alias("_e"))
+    return rows.select(text, own, other, "_prefix", F.explode("_prefix").alias("_e"))
 
 
-def near_texts(
-    left: DataFrame, right: DataFrame, text: str, max_dist: float = 0.1, equal: list[str] | None = None
-) -> DataFrame:
-    """Pairs of rows whose texts are near and whose ``equal`` columns agree.
-
-    Both sides hold distinct rows of ``equal + [text]``.  Gives ``equal``, the left text as
-    ``text``, the right text as ``<text>_2`` and the distance as ``<text>_d``.
-    """
+def near_texts(left: DataFrame, right: DataFrame, text: str, max_dist: float = 0.1) -> DataFrame:
+    """Distinct values of the two sides that are near: ``text``, ``<text>_2`` and ``<text>_d``."""
     if max_dist >= 1 / 3:
         raise ValueError("the length condition needs max_dist below 1/3")
-    equal = equal or []
     two, dist = f"{text}_2", f"{text}_d"
-    left = left.where(F.col(text).isNotNull()).select(*equal, text).distinct()
-    right = right.where(F.col(text).isNotNull()).select(*equal, text).distinct()
+    left = left.where(F.col(text).isNotNull()).select(text).distinct()
+    right = right.where(F.col(text).isNotNull()).select(text).distinct()
     rarity = right.select(F.explode(_bag(F.col(text))).alias("_e")).groupBy("_e").agg(
         F.count(F.lit(1)).alias("_count"))
-    rarity = staged(rarity)
-    l_bags = _with_sorted_bag(left.where(F.length(text) > 0), rarity, equal + [text], text)
-    r_bags = _with_sorted_bag(right.where(F.length(text) > 0), rarity, equal + [text], text)
-    lf = _filed(l_bags, equal + [text], text, max_dist, "_la", "_lb")
-    rf = _filed(r_bags, equal + [text], text, max_dist, "_lb", "_la").select(
-        *equal, F.col(text).alias(two), "_la", "_lb", "_e", F.col("_prefix").alias("_prefix_2"))
-    met = lf.join(rf, [*equal, "_la", "_lb", "_e"])
+    l_bags = _with_sorted_bag(left.where(F.length(text) > 0), rarity, text)
+    r_bags = _with_sorted_bag(right.where(F.length(text) > 0), rarity, text)
+    lf = _filed(l_bags, text, max_dist, "_la", "_lb")
+    rf = _filed(r_bags, text, max_dist, "_lb", "_la").select(
+        F.col(text).alias(two), "_la", "_lb", "_e", F.col("_prefix").alias("_prefix_2"))
+    met = lf.join(rf, ["_la", "_lb", "_e"])
     # a pair that shares several rare elements is kept at the first of them
     once = met.where(F.col("_e") == F.get(F.array_intersect("_prefix", "_prefix_2"), F.lit(0)))
-    near = once.select(*equal, text, two, jaro_distance(text, two).alias(dist))
-    blank = left.where(F.length(text) == 0).join(
-        right.where(F.length(text) == 0).select(*equal, F.col(text).alias(two)), equal or F.lit(True)
-    ).select(*equal, text, two, F.lit(0.0).alias(dist)) if equal else None
-    near = near.where(F.col(dist) <= max_dist + _SLACK)
-    return near if blank is None else near.unionByName(blank)
+    near = once.select(text, two, jaro_distance(text, two).alias(dist)).where(F.col(dist) <= max_dist + _SLACK)
+    blank = left.where(F.length(text) == 0).join(right.where(F.length(text) == 0), text).select(
+        text, F.col(text).alias(two), F.lit(0.0).alias(dist))
+    return near.unionByName(blank)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, on: list[str], max_dist: float = 0.1) -> DataFrame:
     """Distinct key tuples of both sides that are near in every column.
 
-    Gives the left keys, the right keys as ``<c>_2`` and the distances as ``<c>_d``.  All
-    columns but the last are matched value by value; the last one only among tuples whose
-    other columns already agree through those matches.
+    Gives the left keys, the right keys as ``<c>_2`` and the distances as ``<c>_d``.  Each column
+    is matched value by value; a tuple then looks up the combinations of its near values among
+    the right tuples by equality, so tuples that share one value are never paired with each other.
     """
-    *heads, last = on
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    # the key tuples and the matches of single values are read several times below
-    lk = staged(left.where(present).select(*on).distinct())
-    rk = staged(right.where(present).select(*on).distinct())
+    lk = left.where(present).select(*on).distinct()
+    rk = right.where(present).select(*on).distinct()
     routed = lk
-    for c in heads:
+    for c in on:
         routed = routed.join(staged(near_texts(lk, rk, c, max_dist)), c)
-    if not heads:
-        return near_texts(lk, rk, last, max_dist)
-    renamed = routed.select(*[F.col(f"{c}_2").alias(c) for c in heads], last).distinct()
-    near = near_texts(renamed, rk, last, max_dist, equal=heads).select(
-        *[F.col(c).alias(f"{c}_2") for c in heads], last, f"{last}_2", f"{last}_d")
-    return routed.join(near, [*[f"{c}_2" for c in heads], last]).select(
-        *on, *[f"{c}_2" for c in on], *[f"{c}_d" for c in on])
+    names = [f"{c}_2" for c in on]
+    return routed.join(rk.toDF(*names), names, "left_semi").select(*on, *names, *[f"{c}_d" for c in on])
 
 
 def best_match(
