@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 from fieldtrace.sources.fixtures import Tables, as_plain_sql
 
-MODULES = ("tables", "cleaning", "joins", "grouping", "seasons", "places", "spatial")
+MODULES = (
+    "tables", "cleaning", "joins", "grouping", "seasons", "places", "spatial", "models", "densities")
 
 
 @dataclass(frozen=True)

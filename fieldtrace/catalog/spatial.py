@@ -93,7 +93,7 @@ def _positions(t):
 
 
 @query("J13", f"""
-SELECT id, wb_id, ROUND(d, 6) AS dist_km FROM (SELECT p.id, s.wb_id, d, ROW_NUMBER() OVER (PARTITION BY p.id ORDER BY ROUND(d, 9), s.wb_id) AS rn
+SELECT id, wb_id, ROUND(ROUND(d, 9), 6) AS dist_km FROM (SELECT p.id, s.wb_id, d, ROW_NUMBER() OVER (PARTITION BY p.id ORDER BY ROUND(d, 9), s.wb_id) AS rn
   FROM {{geo_customers}} p, {{geo_suppliers}} s, LATERAL (SELECT {km('p.lon', 'p.lat', 's.lon', 's.lat')} AS d) z) x WHERE rn = 1""")
 def nearest_site(t):
     near = spatial.nearest_feature(t.geo_customers, _positions(t), "wb_id")
@@ -107,19 +107,19 @@ SELECT id, co, wb_id, d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER
   FROM {{geo_customers}} p, {{lake_edges}} e JOIN ({_LAKES}) l ON l.wb_id = e.wb_id GROUP BY 1, 2, 3) x) y WHERE rn = 1"""
 
 
-@query("J13 G4", f"SELECT id, wb_id, ROUND(d, 4) AS dist_alloc_km FROM ({_NEAR_LAKE}) z")
+@query("J13 G4", f"SELECT id, wb_id, ROUND(ROUND(d, 9), 6) AS dist_alloc_km FROM ({_NEAR_LAKE}) z")
 def nearest_water_body(t):
     near = spatial.nearest_polygon(t.geo_customers, t.lake_edges, "wb_id")
     return t.geo_customers.join(near, ["lon", "lat"]).select(
-        "id", "wb_id", F.round("dist_km", 4).alias("dist_alloc_km"))
+        "id", "wb_id", F.round("dist_km", 6).alias("dist_alloc_km"))
 
 
 @query("G4 G6 P28 O2", f"""
-SELECT id, co, ROUND_EVEN(d, 0) AS dist, CAST(id AS VARCHAR) || ' / ' || COALESCE(CAST(co AS VARCHAR), 'NA') AS spot_full FROM (
+SELECT id, co, ROUND_EVEN(ROUND(d, 9), 0) AS dist, CAST(id AS VARCHAR) || ' / ' || COALESCE(CAST(co AS VARCHAR), 'NA') AS spot_full FROM (
   SELECT p.id, p.co, MIN(CASE WHEN p.lon >= c.xa AND p.lon < c.xb AND p.lat >= c.ya AND p.lat < c.yb THEN 0
     ELSE {segment_km('p.lon', 'p.lat', 'e.x1', 'e.y1', 'e.x2', 'e.y2')} END) AS d
   FROM {{geo_customers}} p JOIN {{nation_cells}} e ON e.poly_id = p.co JOIN ({_CELLS}) c ON c.poly_id = e.poly_id GROUP BY 1, 2) x
-WHERE ROUND_EVEN(d, 0) > 0 ORDER BY co, dist DESC, id""")
+WHERE ROUND_EVEN(ROUND(d, 9), 0) > 0 ORDER BY co, dist DESC, id""")
 def outside_declared_country(t):
     edges = t.nation_cells.withColumn("co", F.col("poly_id"))
     near = spatial.nearest_polygon(t.geo_customers, edges, "poly_id", ["co"], cell=2.0)
