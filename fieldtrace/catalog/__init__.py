@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from fieldtrace.sources.fixtures import Tables, as_plain_sql
 
 MODULES = (
-    "tables", "cleaning", "joins", "grouping", "seasons", "places", "spatial", "models", "densities")
+    "tables", "cleaning", "joins", "grouping", "seasons", "places", "spatial", "models", "densities", "flows")
 
 
 @dataclass(frozen=True)

@@ -49,13 +49,13 @@ def density_sql(rows: str, n: int, nodes: int, params: str, tail: str) -> str:
     return f"""
 WITH rows AS ({rows}), params AS ({params}),
 p AS (SELECT g, bw, x0, x1, (x1 - x0 + 8 * bw) / {nodes - 1} AS step, (x1 - x0) / {n - 1} AS os FROM params),
-a AS (SELECT r.g, (v - (x0 - 4 * bw)) / step AS at, w FROM rows r JOIN p ON r.g IS NOT DISTINCT FROM p.g),
-b AS (SELECT g, i, SUM(m) AS m FROM (SELECT g, FLOOR(at) AS i, w * (1 - (at - FLOOR(at))) AS m FROM a
-  UNION ALL SELECT g, FLOOR(at) + 1, w * (at - FLOOR(at)) FROM a) z WHERE i BETWEEN 0 AND {nodes - 1} GROUP BY 1, 2),
-k AS (SELECT b.g, b.i, b.m, p.bw, p.step, r.k, p.x0 + r.k * p.os AS x, (r.k * p.os + 4 * p.bw) / p.step AS at
+a AS (SELECT r.g, (v - (x0 - 4 * bw)) / step AS pos, w FROM rows r JOIN p ON r.g IS NOT DISTINCT FROM p.g),
+b AS (SELECT g, i, SUM(m) AS m FROM (SELECT g, FLOOR(pos) AS i, w * (1 - (pos - FLOOR(pos))) AS m FROM a
+  UNION ALL SELECT g, FLOOR(pos) + 1, w * (pos - FLOOR(pos)) FROM a) z WHERE i BETWEEN 0 AND {nodes - 1} GROUP BY 1, 2),
+k AS (SELECT b.g, b.i, b.m, p.bw, p.step, r.k, p.x0 + r.k * p.os AS x, (r.k * p.os + 4 * p.bw) / p.step AS pos
   FROM b JOIN p ON b.g IS NOT DISTINCT FROM p.g, range(0, {n}) r(k)),
-y AS (SELECT g, CAST(k AS INT) AS k, MIN(x) AS x, SUM(m * ((1 - (at - FLOOR(at))) * EXP(-0.5 * POW((FLOOR(at) - i) * step / bw, 2))
-  + (at - FLOOR(at)) * EXP(-0.5 * POW((FLOOR(at) + 1 - i) * step / bw, 2))) / (bw * SQRT(2 * PI()))) AS y FROM k GROUP BY 1, 2)
+y AS (SELECT g, CAST(k AS INT) AS k, MIN(x) AS x, SUM(m * ((1 - (pos - FLOOR(pos))) * EXP(-0.5 * POW((FLOOR(pos) - i) * step / bw, 2))
+  + (pos - FLOOR(pos)) * EXP(-0.5 * POW((FLOOR(pos) + 1 - i) * step / bw, 2))) / (bw * SQRT(2 * PI()))) AS y FROM k GROUP BY 1, 2)
 {tail}"""
 
 

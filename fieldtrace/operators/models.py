@@ -100,8 +100,8 @@ def von_mises_fit(df: DataFrame, group: str, angle_deg: str, weight: str) -> Dat
 def gamma_curve(fit: DataFrame, group: str, cut: float, points: int) -> DataFrame:
     """Fitted gamma density on a grid below ``cut``, scaled to a share of 1 there."""
     step = cut / points
-    x = (F.explode(F.sequence(F.lit(0), F.lit(points - 1))) + F.lit(0.5)) * step
-    grid = fit.select(group, "fit", "dispersion", x.alias("x"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: (i + F.lit(0.5)) * step)
+    grid = fit.select(group, "fit", "dispersion", F.explode(x).alias("x"))
     curve = grid.withColumn("_d", gamma_density("x", 1 / F.col("dispersion"), 1 / (F.col("dispersion") * F.col("fit"))))
     whole = Window.partitionBy(group)  # ``points`` rows per group
     return curve.select(group, "x", (F.col("_d") / (F.sum("_d").over(whole) * step)).alias("density"))
@@ -110,8 +110,8 @@ def gamma_curve(fit: DataFrame, group: str, cut: float, points: int) -> DataFram
 def von_mises_curve(fit: DataFrame, group: str, points: int) -> DataFrame:
     """Fitted von Mises density over -180..180 degrees, scaled to a share of 1."""
     step = 360.0 / points
-    x = (F.explode(F.sequence(F.lit(0), F.lit(points - 1))) + F.lit(0.5)) * step - 180
-    grid = fit.select(group, "mu", "kappa", x.alias("x"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: (i + F.lit(0.5)) * step - 180)
+    grid = fit.select(group, "mu", "kappa", F.explode(x).alias("x"))
     curve = grid.withColumn("_d", F.exp(F.col("kappa") * (F.cos(F.radians("x") - F.col("mu")) - 1)))
     whole = Window.partitionBy(group)
     return curve.select(group, "x", (F.col("_d") / (F.sum("_d").over(whole) * step)).alias("density"))

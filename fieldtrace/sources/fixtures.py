@@ -126,6 +126,37 @@ SELECT n_nationkey AS site_id, CASE WHEN n_nationkey % 2 = 0 THEN 'AYTFER' ELSE
   -10 + 5.6e0 * (n_nationkey % 5) + 2.8e0 AS n_lon, 35 + 4e0 * FLOOR(n_nationkey / 5e0) + 1.5e0 AS n_lat,
   1 + n_nationkey % 4 AS n
 FROM {nation}""",
+    # raw field tables as text cells; places repeat the gazetteer's names, some with a slip
+    "raw_cells": """
+SELECT e.event_id AS n, e.event_type AS kind, e.ts AS stamp,
+  CASE WHEN e.event_id % 31 = 0 THEN 'ANACRE' WHEN e.user_id % 2 = 0 THEN 'AYTFER' ELSE 'AYTFUL' END AS espece,
+  CASE e.user_id % 6 WHEN 0 THEN '44' WHEN 1 THEN '53' WHEN 2 THEN '01' WHEN 3 THEN '77' WHEN 4 THEN '89' ELSE '99' END AS departement,
+  CASE WHEN e.event_id % 37 = 0 THEN NULL ELSE CONCAT('R', CAST(e.user_id AS STRING)) END AS bague,
+  CASE WHEN e.event_id % 5 = 4 THEN 'AUTRE' ELSE 'BAGUAGE' END AS action,
+  CASE WHEN e.event_id % 4 = 0 THEN NULL ELSE e.ts END AS heure,
+  CASE WHEN e.event_id % 6 = 5 THEN NULL ELSE CONCAT(CASE WHEN e.event_id % 2 = 0 THEN '-' ELSE '' END, CAST(e.event_id % 10 AS STRING)) END AS long_deg,
+  CAST((e.event_id * 7) % 62 AS STRING) AS long_min, CONCAT(CAST((e.event_id * 11) % 60 AS STRING), ',5') AS long_sec,
+  CAST(42 + e.event_id % 10 AS STRING) AS lat_deg, CAST((e.event_id * 3) % 60 AS STRING) AS lat_min, '30' AS lat_sec,
+  CASE e.event_id % 7 WHEN 0 THEN 'Femelle' WHEN 1 THEN 'M' ELSE '?' END AS sexe,
+  CASE e.event_id % 5 WHEN 0 THEN '+1A' WHEN 1 THEN '1A' WHEN 2 THEN 'PUL' ELSE '2A' END AS age,
+  CASE p.p_partkey % 2 WHEN 0 THEN 'France' ELSE 'Spain' END AS pays,
+  CASE WHEN e.event_id % 13 = 0 THEN 'Elsewhere' ELSE p.p_brand END AS commune,
+  CASE e.event_id % 8 WHEN 0 THEN CONCAT(p.p_name, 's') WHEN 1 THEN NULL ELSE p.p_name END AS lieudit,
+  CASE WHEN e.event_id % 6 = 0 THEN NULL WHEN e.event_id % 10 = 1 THEN CONCAT('M', CAST(e.user_id + 1 AS STRING))
+    ELSE CONCAT('M', CAST(e.user_id AS STRING)) END AS marque,
+  CAST(e.value AS STRING) AS poids
+FROM {events} e JOIN {part} p ON p.p_partkey = e.event_id % 200""",
+    # a cleaned dataset over several years: captures and resightings of the same individuals
+    "dataset": """
+SELECT o_orderkey AS id, c_custkey AS ring, CASE WHEN o_orderkey % 5 = 0 THEN 'BAGUAGE' ELSE 'CONTROLE' END AS obs,
+  o_orderdate AS datetime, CASE c_custkey % 2 WHEN 0 THEN 'AYTFER' ELSE 'AYTFUL' END AS sp,
+  CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'fem' ELSE 'mal' END AS sex,
+  CASE c_custkey % 4 WHEN 0 THEN '1A' WHEN 1 THEN '2A' ELSE '+1A' END AS age,
+  -10 + CAST(((c_custkey * 7919) + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (o_orderkey * 131) % 6000 END) % 28000 AS DOUBLE) / 1000 AS lon,
+  35 + CAST(((c_custkey * 6007) + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (o_orderkey * 173) % 4000 END) % 20000 AS DOUBLE) / 1000 AS lat,
+  CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(c_nationkey AS STRING) END AS co,
+  CASE c_custkey % 3 WHEN 0 THEN '44' WHEN 1 THEN '53' ELSE '77' END AS dpt, 3 AS nobs
+FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
     # projected boxes in metres: neighbours in a row touch, lie 500 m apart or 2,500 m apart
     "water_edges": box_edges("wb_id, code", """
     SELECT s_suppkey AS wb_id,
