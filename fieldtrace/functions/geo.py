@@ -65,7 +65,9 @@ def box_distance_floor_km(lon, lat, xa, ya, xb, yb) -> Column:
     """A distance that no point of the box can undercut."""
     lon, lat = col(lon), col(lat)
     dlat = F.greatest(col(ya) - lat, lat - col(yb), F.lit(0.0))
-    dlon = F.greatest(col(xa) - lon, lon - col(xb), F.lit(0.0))
+    near = F.greatest(col(xa) - lon, lon - col(xb), F.lit(0.0))
+    around = 360 - F.greatest(F.abs(col(xa) - lon), F.abs(col(xb) - lon))  # across the date line
+    dlon = F.least(near, F.greatest(around, F.lit(0.0)))
     to_meridian = F.when(
         dlon < 90, F.asin(F.least(F.lit(1.0), F.cos(F.radians(lat)) * F.sin(F.radians(dlon))))
     ).otherwise(F.radians(90 - F.abs(lat)))

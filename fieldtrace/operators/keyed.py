@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.nullsafe import order_struct
+from fieldtrace.sources.store import staged
 
 # A key is hot when it has at least HOT_ROWS rows and more than 1/HOT_SHARE of all rows, so at
 # most HOT_SHARE keys are hot: the broadcast list of hot keys has that bound at any scale.
@@ -49,31 +50,29 @@ def attach_per_key(
 ) -> DataFrame:
     """Bring one row per key back to the rows of ``df``; null keys match null keys.
 
-    ``per_key`` holds the keys at most once and the row count of each key in ``ROWS``.  Hot
+    ``per_key`` holds the keys at most once and the row count of each key in ``ROWS``.  It is
+    written first, so its own lineage is not run again, and tells whether any key is hot.  Hot
     keys are cut into slices: their rows are spread by a hash of ``salt_by`` (default: all
     columns) and their single ``per_key`` row is repeated once per slice.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    slice_rows = F.greatest(F.lit(HOT_ROWS), F.ceil(total / HOT_SHARE))
-    hot = (
-        per_key.where((F.col(ROWS) >= HOT_ROWS) & (F.col(ROWS) * HOT_SHARE > total))
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                F.ceil(F.col(ROWS) / slice_rows).alias("_slices"))
-    )
-    on_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    salted = df.join(F.broadcast(hot), on_hot, "left").withColumn(
-        "_salt",
-        F.when(F.col("_slices").isNotNull(),
-               F.pmod(F.xxhash64(*(salt_by or df.columns)), F.col("_slices"))).otherwise(F.lit(0)),
-    ).drop("_slices", *[f"_hot_{k}" for k in keys])
-    is_hot = (F.col(ROWS) >= HOT_ROWS) & (F.col(ROWS) * HOT_SHARE > total)
-    slices = F.when(is_hot, F.ceil(F.col(ROWS) / slice_rows)).otherwise(F.lit(1))
+    per_key = staged(per_key)
     values = [c for c in per_key.columns if c not in keys and c != ROWS]
-    spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_salt").alias("_key_salt"), *values)
+    size = per_key.agg(F.sum(ROWS).alias("total"), F.max(ROWS).alias("top")).first()
+    total, top = size["total"] or 0, size["top"] or 0
+    right = per_key.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, ROWS)
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    joined = salted.join(spread, on & (F.col("_salt") == F.col("_key_salt")), how)
-    return joined.select(*df.columns, *values)
+    if top < HOT_ROWS or top * HOT_SHARE <= total:
+        return df.join(right.drop(ROWS), on, how).select(*df.columns, *values)
+    slice_rows = max(HOT_ROWS, -(-total // HOT_SHARE))
+    is_hot = (F.col(ROWS) >= HOT_ROWS) & (F.col(ROWS) * HOT_SHARE > total)
+    slices = F.when(is_hot, F.ceil(F.col(ROWS) / slice_rows)).otherwise(F.lit(1)).cast("int")
+    hot = per_key.where(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], slices.alias("_slices"))
+    on_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    salt = F.pmod(F.xxhash64(*(salt_by or df.columns)), F.col("_slices"))
+    salted = df.join(F.broadcast(hot), on_hot, "left").withColumn(
+        "_salt", F.coalesce(salt, F.lit(0)).cast("int")).select(*df.columns, "_salt")
+    spread = right.withColumn("_key_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop(ROWS)
+    return salted.join(spread, on & (F.col("_salt") == F.col("_key_salt")), how).select(*df.columns, *values)
 
 
 def with_group_values(
