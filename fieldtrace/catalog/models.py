@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldtrace.catalog import query
 from fieldtrace.catalog.places import km
 from fieldtrace.functions.time import winter
-from fieldtrace.operators import models
+from fieldtrace.operators import mixed, models
 
 _R = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
@@ -184,3 +184,13 @@ c AS (SELECT site_id, sp, wb_id, dist_km, DEGREES(ATAN2(COS(RADIANS(lat)) * SIN(
 SELECT site_id, sp, wb_id, ROUND(dist_km, 6) AS dist_km, ROUND(angle_deg, 6) AS angle_deg, ROUND(angle_deg_base, 6) AS angle_deg_base, ROUND(wgt, 9) AS wgt FROM c""")
 def site_weights(t):
     return site_choices(t).select("site_id", "sp", "wb_id", *_R("dist_km", "angle_deg", "angle_deg_base"), F.round("wgt", 9).alias("wgt"))
+
+
+@query("M4")
+def random_intercept_migration(t):
+    return mixed.random_intercept_fit(t.seasonal_orders, "sp", "ring", "mig", "wgt_co", "binomial")
+
+
+@query("M4")
+def random_intercept_distance(t):
+    return mixed.random_intercept_fit(t.seasonal_orders, "sp", "ring", "dist_pt_km", "wgt_co", "gamma")

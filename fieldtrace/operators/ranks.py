@@ -83,31 +83,26 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_n"))
     upto = running_total(counted, group, [value], "_n", "_upto")
-    sizes = upto.groupBy(*group).agg(
-        F.max("_upto").alias("_size"), F.count(F.lit(1)).alias("_values"))
-    wanted = sizes.select(
-        *group, "_size", "_values",
-        F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("q_id", "prob"),
-    ).withColumn("_h", (F.col("_size") - 1) * F.col("prob")).withColumn(
-        "_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    # each wanted rank falls into exactly one value's range of ranks
-    ranks = upto.select(*group, value, (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
-    asked = wanted.groupBy(*group).agg(
-        F.max("_values").alias(ROWS),
-        F.collect_list(F.struct("q_id", "prob", "_h", "_lo", "_hi")).alias("_asked"))
+    upto = upto.select(*group, value, (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
     if group:
-        met = attach_per_key(ranks, asked, group, "inner", salt_by=[value])
+        sizes = upto.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS), F.max("_upto").alias("_size"))
+        ranked = attach_per_key(upto, sizes, group, "inner", salt_by=[value])
     else:
-        met = ranks.withColumn("_asked", asked.select("_asked").scalar())
-    hits = F.filter("_asked", lambda a: ((a["_lo"] >= F.col("_from")) & (a["_lo"] < F.col("_upto")))
-                    | ((a["_hi"] >= F.col("_from")) & (a["_hi"] < F.col("_upto"))))
-    found = met.withColumn("_hit", F.explode(hits))
-    at = lambda rank: F.max(F.when((F.col(f"_hit.{rank}") >= F.col("_from"))
-                                   & (F.col(f"_hit.{rank}") < F.col("_upto")), F.col(value)))
-    out = found.groupBy(*group, F.col("_hit.q_id").alias("q_id"), F.col("_hit.prob").alias("prob"),
-                        F.col("_hit._h").alias("_h")).agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
-    return out.select(*group, "q_id", "prob",
-                      (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))).alias("quantile"))
+        ranked = upto.withColumn("_size", upto.agg(F.max("_upto").alias("n")).scalar())
+    # a probability asks for two neighbouring ranks; each falls into one value's range of ranks
+    here = lambda rank: (rank >= F.col("_from")) & (rank < F.col("_upto"))
+    asked, wanted = [], F.lit(False)
+    for i, p in enumerate(probs):
+        h = (F.col("_size") - 1) * F.lit(float(p))
+        hit = here(F.floor(h)) | here(F.ceil(h))
+        wanted = wanted | hit
+        asked.append(F.struct(
+            F.lit(i).alias("q_id"), F.lit(float(p)).alias("prob"), (h - F.floor(h)).alias("f"), hit.alias("hit"),
+            F.when(here(F.floor(h)), F.col(value)).alias("a"), F.when(here(F.ceil(h)), F.col(value)).alias("b")))
+    found = ranked.where(wanted).select(*group, F.explode(F.array(*asked)).alias("_q")).where("_q.hit")
+    ends = found.groupBy(*group, F.col("_q.q_id").alias("q_id"), F.col("_q.prob").alias("prob")).agg(
+        F.max("_q.f").alias("_f"), F.max("_q.a").alias("_a"), F.max("_q.b").alias("_b"))
+    return ends.select(*group, "q_id", "prob", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("quantile"))
 
 
 def appearance_codes(df: DataFrame, category: str, order: str, out: str) -> DataFrame:

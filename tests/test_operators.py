@@ -10,7 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.jaro import jaro_distances
-from fieldtrace.operators import density, keyed, models, ranks, resample, resolve, spatial, timeline
+from fieldtrace.operators import density, keyed, mixed, models, ranks, resample, resolve, spatial, timeline
 
 
 @pytest.fixture
@@ -231,3 +231,22 @@ def test_beta_fit_and_interval():
     assert abs(resample.beta_cdf(0.3, 2, 2) - (3 * 0.09 - 2 * 0.027)) < 1e-12
     assert abs(resample.beta_cdf(resample.beta_quantile(0.025, a, b), a, b) - 0.025) < 1e-9
     assert abs((p < resample.beta_quantile(0.975, a, b)).mean() - 0.975) < 0.01
+
+
+def test_random_intercepts_are_recovered(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for ring in range(1500):
+        sp = "AYTFER" if ring % 2 else "AYTFUL"
+        eta = (0.6 if ring % 2 else -0.8) + rng.normal() * 1.0
+        rows += [(sp, ring, float(rng.random() < 1 / (1 + math.exp(-eta))), 1.0) for _ in range(12)]
+    df = spark.createDataFrame(rows, "sp string, ring long, y double, w double")
+    fit = {r.sp: r for r in mixed.random_intercept_fit(df, "sp", "ring", "y", "w", "binomial").collect()}
+    assert abs(fit["AYTFER"].link - 0.6) < 0.15 and abs(fit["AYTFUL"].link + 0.8) < 0.15
+    assert abs(fit["AYTFER"].sigma - 1.0) < 0.15
+
+
+def test_without_spread_the_fit_is_the_plain_one():
+    sw, swy = np.array([10.0, 20.0]), np.array([4.0, 11.0])
+    got = mixed.laplace_terms(sw, swy, np.array([0.2, 0.2]), 1e-6, "binomial")
+    assert np.allclose(got, swy * 0.2 - sw * np.log1p(np.exp(0.2)), atol=1e-9)
