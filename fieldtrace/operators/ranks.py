@@ -80,15 +80,15 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -
     One row per group and probability.  Equal values are counted before the sort, so a value
     that fills a large part of the data is one row.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("_n"))
+    present = df.where(F.col(value).isNotNull())
+    counted = present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_total(counted, group, [value], "_n", "_upto")
     upto = upto.select(*group, value, (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
     if group:
-        sizes = upto.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS), F.max("_upto").alias("_size"))
+        sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS), F.count(F.lit(1)).alias("_size"))
         ranked = attach_per_key(upto, sizes, group, "inner", salt_by=[value])
     else:
-        ranked = upto.withColumn("_size", upto.agg(F.max("_upto").alias("n")).scalar())
+        ranked = upto.withColumn("_size", present.agg(F.count(F.lit(1)).alias("n")).scalar())
     # a probability asks for two neighbouring ranks; each falls into one value's range of ranks
     here = lambda rank: (rank >= F.col("_from")) & (rank < F.col("_upto"))
     asked, wanted = [], F.lit(False)
