@@ -250,3 +250,17 @@ def test_without_spread_the_fit_is_the_plain_one():
     sw, swy = np.array([10.0, 20.0]), np.array([4.0, 11.0])
     got = mixed.laplace_terms(sw, swy, np.array([0.2, 0.2]), 1e-6, "binomial")
     assert np.allclose(got, swy * 0.2 - sw * np.log1p(np.exp(0.2)), atol=1e-9)
+
+
+def test_random_intercepts_of_distances(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for ring in range(800):
+        sp = "AYTFER" if ring % 2 else "AYTFUL"
+        mean = math.exp((6.0 if ring % 2 else 5.0) + rng.normal() * 0.5)
+        rows += [(sp, ring, float(v), 1.0) for v in rng.gamma(3.0, mean / 3.0, 10)]
+    df = spark.createDataFrame(rows, "sp string, ring long, y double, w double")
+    fit = {r.sp: r for r in mixed.random_intercept_fit(df, "sp", "ring", "y", "w", "gamma").collect()}
+    # the dispersion is that of the plain model, so the spread is only bounded here
+    assert abs(fit["AYTFER"].link - 6.0) < 0.15 and abs(fit["AYTFUL"].link - 5.0) < 0.15
+    assert 0.2 < fit["AYTFER"].sigma < 0.7
