@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.common import table
 from fieldtrace.llm.decontaminate import find_contamination
 from fieldtrace.llm.packing import pack_documents
+from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
 
 
@@ -57,7 +58,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised identifiers in every document."""
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op8_best_fit_packing)
+    f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op8_best_fit_packing, op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
