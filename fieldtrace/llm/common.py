@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Text bytes that one numpy pass works on; a longer text is worked on alone.
 CHUNK_BYTES = 2 << 20
@@ -35,6 +36,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(docs: DataFrame, label: str, text: str, per_label: int, order: str = "doc_id",
+                    max_bytes: int = 1 << 20) -> DataFrame:
+    """About ``per_label`` rows of each label, all of a label that has fewer: those with the smallest hash of ``order``.
+
+    Texts above ``max_bytes`` stay out, so the sample has a bound in bytes as well.
+    """
+    rows = docs.where(docs[label].isNotNull() & docs[text].isNotNull() & (F.octet_length(text) <= max_bytes))
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row per label
+    if not sizes:
+        return rows.limit(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_label / n))]), F.col(label))
+    return rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < share * (1 << 30))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``text``, one row at least."""
     for batch in batches:
@@ -90,12 +105,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of the bytes of every span, the same wherever the span lies."""
-    up, down = _powers(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((_BYTE_VALUE if lower else _RAW_VALUE)[flat] * up[:len(flat)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+class Hashes:
+    """64-bit hashes of spans of one byte array, equal for equal bytes wherever the span lies."""
+
+    def __init__(self, flat: np.ndarray, lower: bool = True):
+        up, self._down = _powers(len(flat) + 1)
+        self._sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((_BYTE_VALUE if lower else _RAW_VALUE)[flat] * up[:len(flat)], out=self._sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

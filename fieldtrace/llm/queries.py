@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import table
 from fieldtrace.llm.decontaminate import find_contamination
+from fieldtrace.llm.language import fit_language_network, held_out, predict_language
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
@@ -53,6 +54,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; documents whose crc32 leaves 2 modulo 4 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
+    net = fit_language_network(docs.where("not held_out"))
+    return predict_language(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
@@ -64,6 +72,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op8_best_fit_packing, op10_personal_data)
+    f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op7_language, op8_best_fit_packing,
+                          op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
