@@ -36,13 +36,9 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(docs: DataFrame, label: str, text: str, per_label: int, order: str = "doc_id",
-                    max_bytes: int = 1 << 20) -> DataFrame:
-    """About ``per_label`` rows of each label, all of a label that has fewer: those with the smallest hash of ``order``.
-
-    Texts above ``max_bytes`` stay out, so the sample has a bound in bytes as well.
-    """
-    rows = docs.where(docs[label].isNotNull() & docs[text].isNotNull() & (F.octet_length(text) <= max_bytes))
+def labelled_sample(rows: DataFrame, label: str, per_label: int, order: str = "doc_id") -> DataFrame:
+    """About ``per_label`` rows of each label, all of a label that has fewer: those with the smallest hash of ``order``."""
+    rows = rows.where(rows[label].isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row per label
     if not sizes:
         return rows.limit(0)

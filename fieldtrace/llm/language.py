@@ -23,8 +23,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 DIMENSIONS = 8
-#: Bounds of the training sample: documents of a language, windows of a document.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 500, 6
+#: Bounds of the training sample: documents of a language, windows of a document, size of a text.
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, SAMPLE_TEXT_BYTES = 500, 6, 1 << 20
 _ROWS = 512  # windows in one pass
 _ASCII_LETTER = re.compile("[A-Za-z]").search
 
@@ -128,7 +128,8 @@ def held_out(key: str, parts: int, left_out: int) -> Column:
 
 def fit_language_network(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """Network of a bounded sample: ``SAMPLE_DOCUMENTS`` of each language, ``SAMPLE_WINDOWS`` windows of each; None without labels."""
-    sample = labelled_sample(docs.select(key, text, lang).where(F.col(key).isNotNull()), lang, text, SAMPLE_DOCUMENTS, key)
+    learnable = docs.select(key, text, lang).where(F.col(key).isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT_BYTES))
+    sample = labelled_sample(learnable, lang, SAMPLE_DOCUMENTS, key)
 
     def cut(batches):
         for batch in chunks(batches, text):

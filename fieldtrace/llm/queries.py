@@ -13,6 +13,7 @@ from fieldtrace.llm.language import fit_language_network, held_out, predict_lang
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
+from fieldtrace.llm.toxicity import fit_tagger, score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -66,6 +67,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; documents whose crc32 leaves 1 modulo 3 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    scored = score_toxicity(docs.withColumn("held_out", held_out("doc_id", 3, 1)), fit_tagger(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and disguised identifiers in every document."""
     return find_personal_data(table(spark, sf_dir, "documents"))
@@ -73,6 +82,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op7_language, op8_best_fit_packing,
-                          op10_personal_data)
+                          op9_toxicity, op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
