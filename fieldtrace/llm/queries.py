@@ -14,6 +14,7 @@ from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
 from fieldtrace.llm.toxicity import fit_tagger, score_toxicity
+from fieldtrace.llm.vector_search import top_inner_products
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +29,22 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20 with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
@@ -81,7 +98,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_benchmark_decontamination, op7_language, op8_best_fit_packing,
+    f.__name__: f for f in (op2_token_files, op3_vector_search, op4_benchmark_decontamination, op7_language, op8_best_fit_packing,
                           op9_toxicity, op10_personal_data)
 }
-ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
