@@ -71,3 +71,20 @@ def test_query_and_sql(spark, name):
     df = QUERIES[name](spark, sf)
     cur = connect(sf).execute(ORACLE_SQL[name])
     assert canonical(df.collect(), df.columns) == canonical(cur.fetchall(), [c[0] for c in cur.description])
+
+
+def test_windows_of_every_length_at_every_place(spark):
+    import random
+    rng = random.Random(4)
+    letters = ["a", "B", "é", "É", "d7"]
+    items = [(i, " ".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 5, 7, 9, 10, 11, 14])))) for i in range(25)]
+    docs = [(i, " - ".join(rng.choices(letters, k=rng.randint(0, 45)))) for i in range(120)]
+    docs += [(200 + i, " ".join(rng.choices(letters, k=rng.randint(0, 9)) + t.split() + rng.choices(letters, k=3))) for i, t in items]
+    for lengths in ({1, 2, 3}, {5, 7}, {9, 10}, {3, 10}):
+        some = [(i, t) for i, t in items if min(10, len(t.split())) in lengths]
+        global ITEMS
+        kept, ITEMS = ITEMS, some
+        want = [(k, *brute(t), brute(t)[1] > 0) for k, t in docs]
+        ITEMS = kept
+        got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string"))
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans], r.contaminated) for r in got.collect()) == sorted(want)
