@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.common import table
 from fieldtrace.llm.decontaminate import find_contamination
 from fieldtrace.llm.language import fit_language_network, held_out, predict_language
+from fieldtrace.llm.licenses import scan_licenses
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
@@ -72,6 +73,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; documents whose crc32 leaves 2 modulo 4 are not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
@@ -98,7 +104,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_vector_search, op4_benchmark_decontamination, op7_language, op8_best_fit_packing,
+    f.__name__: f for f in (op2_token_files, op3_vector_search, op4_benchmark_decontamination, op6_licenses, op7_language, op8_best_fit_packing,
                           op9_toxicity, op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
