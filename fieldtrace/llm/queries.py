@@ -11,6 +11,7 @@ from fieldtrace.llm.common import table
 from fieldtrace.llm.decontaminate import find_contamination
 from fieldtrace.llm.language import fit_language_network, held_out, predict_language
 from fieldtrace.llm.licenses import scan_licenses
+from fieldtrace.llm.near_dups import near_duplicate_classes
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
 from fieldtrace.llm.token_files import read_token_files, write_token_files
@@ -24,6 +25,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicate texts of every document."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to seekable files and read back."""
     manifest = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
@@ -104,7 +110,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_vector_search, op4_benchmark_decontamination, op6_licenses, op7_language, op8_best_fit_packing,
+    f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_vector_search, op4_benchmark_decontamination, op6_licenses, op7_language, op8_best_fit_packing,
                           op9_toxicity, op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
