@@ -14,6 +14,7 @@ from fieldtrace.llm.licenses import scan_licenses
 from fieldtrace.llm.near_dups import near_duplicate_classes
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
+from fieldtrace.llm.substrings import remove_repeats
 from fieldtrace.llm.token_files import read_token_files, write_token_files
 from fieldtrace.llm.toxicity import fit_tagger, score_toxicity
 from fieldtrace.llm.vector_search import top_inner_products
@@ -79,6 +80,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that also start elsewhere, all copies removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False).drop("kept")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))
@@ -110,7 +116,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_vector_search, op4_benchmark_decontamination, op6_licenses, op7_language, op8_best_fit_packing,
+    f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_vector_search, op4_benchmark_decontamination, op5_repeated_substrings, op6_licenses, op7_language, op8_best_fit_packing,
                           op9_toxicity, op10_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
