@@ -69,7 +69,7 @@ _THUMB = """SELECT g, 0.9e0 * {adjust} * LEAST(STDDEV_SAMP(v), (QUANTILE_CONT(v,
     "SELECT y.g AS nes_reg, k AS point, ROUND(x, 6) AS x, ROUND(y / s, 9) AS density FROM y JOIN (SELECT g, SUM(w) AS s FROM rows GROUP BY g) q ON q.g = y.g"))
 def kernel_density(t):
     rows = t.seasonal_orders.withColumn("v", F.col("dist_pt_km") / 1000)
-    d = density.kernel_density(rows, ["nes_reg"], "v", "wgt_co", adjust=2.0, salt_by=["id"])
+    d = density.kernel_density(rows, ["nes_reg"], "v", "wgt_co", adjust=2.0)
     return d.select("nes_reg", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
@@ -80,7 +80,7 @@ def kernel_density(t):
 def circular_density(t):
     u = (F.col("id") * 37) % 360
     rows = t.seasonal_orders.withColumn("a", u * u / F.lit(360.0) - F.lit(179.5))
-    d = density.circular_density(rows, ["sp"], "a", "wgt_co", salt_by=["id"])
+    d = density.circular_density(rows, ["sp"], "a", "wgt_co")
     return d.select("sp", "point", F.round("angle_deg", 6).alias("angle_deg"), F.round("density", 9).alias("density"))
 
 
@@ -89,7 +89,7 @@ def density_2d_classes(t):
     x, y = to_lambert("lon", "lat")
     rows = t.geo_customers.select("id", (F.col("co") % 3).alias("month"), x.alias("x"), y.alias("y"))
     box = ((-502924.178, 5415141.481), (1664384.432, 7640147.180))
-    return density.density_2d(rows, ["month"], "x", "y", box, salt_by=["id"])
+    return density.density_2d(rows, ["month"], "x", "y", box)
 
 
 @query("D4 J16", """
@@ -105,7 +105,7 @@ f AS (SELECT g AS grp, CAST(kx AS INT) AS kx, CAST(ky AS INT) AS ky, m / MAX(m)
 SELECT grp, kx, ky, ROUND(nd, 6) AS ndensity, CASE WHEN nd >= 1 THEN 1e0 WHEN nd >= .8 THEN .8e0 WHEN nd >= .5 THEN .5e0 WHEN nd >= .1 THEN .1e0 WHEN nd >= .01 THEN .01e0 END AS level FROM f""")
 def density_2d_cells(t):
     rows = t.geo_customers.withColumn("grp", (F.col("co") % 3).cast("int"))
-    d = density.density_2d(rows, ["grp"], "lon", "lat", REPORT_BOX, points=20, salt_by=["id"])
+    d = density.density_2d(rows, ["grp"], "lon", "lat", REPORT_BOX, points=20)
     return d.select("grp", "kx", "ky", F.round("ndensity", 6).alias("ndensity"), "level")
 
 

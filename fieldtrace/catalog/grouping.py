@@ -36,19 +36,18 @@ def attributes_of_first_event(t):
 
 
 @query("A9", """
-WITH c AS (SELECT ring FROM {timeline} WHERE obs = 'BAGUAGE' AND id % 3 = 0),
-s AS (SELECT DISTINCT ring FROM {timeline} WHERE obs = 'CONTROLE' AND id % 50 = 1),
-r AS (SELECT DISTINCT ring FROM {timeline} WHERE obs = 'REPRISE' AND id % 30 = 2)
+WITH c AS (SELECT ring FROM {timeline} WHERE obs = 'BAGUAGE'),
+s AS (SELECT DISTINCT ring FROM {timeline} WHERE obs = 'CONTROLE'),
+r AS (SELECT DISTINCT ring FROM {timeline} WHERE obs = 'REPRISE')
 SELECT COUNT(*) AS captured, COUNT(*) FILTER (ring IN (SELECT ring FROM s)) AS seen_again,
   COUNT(*) FILTER (ring IN (SELECT ring FROM r)) AS recovered,
   COUNT(*) FILTER (ring IN (SELECT ring FROM s) AND ring IN (SELECT ring FROM r)) AS both,
   COUNT(*) FILTER (ring IN (SELECT ring FROM s) OR ring IN (SELECT ring FROM r)) AS either,
   COUNT(*) FILTER (ring NOT IN (SELECT ring FROM s) AND ring NOT IN (SELECT ring FROM r)) AS neither FROM c""")
 def reconciliation_counts(t):
-    e, i = t.timeline, F.col("id")
+    e = t.timeline
     kind = lambda k: F.col("obs") == k
-    return reconciliation(e.where(kind("BAGUAGE") & (i % 3 == 0)), e.where(kind("CONTROLE") & (i % 50 == 1)),
-                          e.where(kind("REPRISE") & (i % 30 == 2)))
+    return reconciliation(e.where(kind("BAGUAGE")), e.where(kind("CONTROLE")), e.where(kind("REPRISE")))
 
 
 @query("A1", "SELECT sp, obs, COUNT(*) AS n FROM {timeline} GROUP BY sp, obs")
@@ -99,7 +98,7 @@ def first_row_per_key(t):
 SELECT ring, id, ROUND(gap, 6) AS gap FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ring ORDER BY ROUND(gap, 6), id) AS rn FROM (
   SELECT *, ABS(dist_pt_km - AVG(dist_pt_km) OVER (PARTITION BY ring)) AS gap FROM {seasonal_orders}) a) b WHERE rn = 1""")
 def nearest_to_group_mean(t):
-    rows = with_group_values(t.seasonal_orders, ["ring"], ["id"], avg=strict_mean("dist_pt_km"))
+    rows = with_group_values(t.seasonal_orders, ["ring"], avg=strict_mean("dist_pt_km"))
     rows = rows.withColumn("gap", F.round(F.abs(F.col("dist_pt_km") - F.col("avg")), 6))
     return first_per_key(rows, ["ring"], ["gap", "id"]).select("ring", "id", "gap")
 

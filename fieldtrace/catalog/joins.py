@@ -42,11 +42,11 @@ def right_join_null_keys(t):
 
 @query("J4", """
 SELECT COALESCE(a.ring, b.ring) AS ring, a.n_first, b.n_last
-FROM (SELECT ring, COUNT(*) AS n_first FROM {timeline} WHERE id % 40 = 1 GROUP BY ring) a
-FULL JOIN (SELECT ring, COUNT(*) AS n_last FROM {timeline} WHERE id % 50 = 7 GROUP BY ring) b ON a.ring = b.ring""")
+FROM (SELECT ring, COUNT(*) AS n_first FROM {timeline} WHERE obs = 'BAGUAGE' GROUP BY ring) a
+FULL JOIN (SELECT ring, COUNT(*) AS n_last FROM {timeline} WHERE obs = 'REPRISE' GROUP BY ring) b ON a.ring = b.ring""")
 def full_join(t):
-    a = t.timeline.where(F.col("id") % 40 == 1).groupBy("ring").agg(F.count(F.lit(1)).alias("n_first"))
-    b = t.timeline.where(F.col("id") % 50 == 7).groupBy("ring").agg(F.count(F.lit(1)).alias("n_last"))
+    a = t.timeline.where(F.col("obs") == "BAGUAGE").groupBy("ring").agg(F.count(F.lit(1)).alias("n_first"))
+    b = t.timeline.where(F.col("obs") == "REPRISE").groupBy("ring").agg(F.count(F.lit(1)).alias("n_last"))
     return natural_join(a, b, "full", expect=["ring"])
 
 
@@ -70,11 +70,10 @@ def anti_join_null_keys(t):
 
 @query("J7", """
 SELECT id, mark FROM {pairs} p WHERE obs = 'REPRISE' AND (mark IS NULL OR mark IN (
-  SELECT mark FROM {pairs} WHERE obs = 'BAGUAGE' AND id % 60 = 0 OR obs = 'BAGUAGE' AND id % 5 = 0 AND mark IS NOT NULL))""")
+  SELECT mark FROM {pairs} WHERE obs = 'BAGUAGE'))""")
 def membership_null_safe(t):
-    p, first = t.pairs, F.col("obs") == "BAGUAGE"
-    listed = p.where((first & (F.col("id") % 60 == 0)) | (first & (F.col("id") % 5 == 0) & F.col("mark").isNotNull()))
-    return keep_members(p.where(F.col("obs") == "REPRISE"), "mark", listed).select("id", "mark")
+    p = t.pairs
+    return keep_members(p.where(F.col("obs") == "REPRISE"), "mark", p.where(F.col("obs") == "BAGUAGE")).select("id", "mark")
 
 
 @query("J7 P12", """
@@ -130,7 +129,7 @@ SELECT c.id, c.ring, c.mark FROM {{pairs}} c LEFT JOIN ({_KNOWN}) k ON c.ring =
 WHERE c.obs = 'CONTROLE' AND (k.ring IS NOT NULL OR c.mark IS NULL OR c.mark LIKE '%MARQUE%')""")
 def pair_consistency(t):
     controls, refs = _pair_sides(t)
-    return consistent_pairs(controls, refs, salt_by=["id"]).select("id", "ring", "mark")
+    return consistent_pairs(controls, refs).select("id", "ring", "mark")
 
 
 @query("J20 J6 W1 O2", f"""
@@ -255,7 +254,7 @@ def sentinel_row(t):
 
 @query("W1 A1", "SELECT id, ring, COUNT(*) OVER (PARTITION BY ring) AS n FROM {timeline}")
 def count_on_rows(t):
-    return add_count(t.timeline.select("id", "ring"), ["ring"], "n", ["id"])
+    return add_count(t.timeline.select("id", "ring"), ["ring"], "n")
 
 
 @query("A10", """

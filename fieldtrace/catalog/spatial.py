@@ -137,12 +137,13 @@ def _box_gap_sql(a: str, b: str) -> str:
 
 @query("G5", f"""
 WITH l AS ({_LAKES}), p AS (SELECT a.wb_id AS wb, b.wb_id AS nes, (a.xa <= b.xb AND b.xa <= a.xb AND a.ya <= b.yb AND b.ya <= a.yb) AS meets
-  FROM l a JOIN l b ON b.wb_id = (a.wb_id * 7 + 3) % 50 AND a.wb_id <> b.wb_id)
+  FROM l a JOIN l b ON b.wb_id = (a.wb_id * 7 + 3) % (SELECT COUNT(DISTINCT wb_id) FROM {{lake_edges}}) AND a.wb_id <> b.wb_id)
 SELECT wb, nes, ROUND(CASE WHEN BOOL_OR(meets) THEN 0 ELSE MIN({_box_gap_sql('ea', 'eb')}) END, 6) AS dist_wb_km
 FROM p JOIN {{lake_edges}} ea ON ea.wb_id = wb JOIN {{lake_edges}} eb ON eb.wb_id = nes GROUP BY 1, 2""")
 def water_body_distances(t):
     ids = t.lake_edges.select("wb_id").distinct()
-    pairs = ids.select(F.col("wb_id").alias("wb"), ((F.col("wb_id") * 7 + 3) % 50).alias("nes")).where("wb <> nes")
+    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pairs = ids.select(F.col("wb_id").alias("wb"), ((F.col("wb_id") * 7 + 3) % n).alias("nes")).where("wb <> nes")
     d = spatial.polygon_distances(pairs, t.lake_edges, "wb", "nes", "wb_id")
     return d.select("wb", "nes", F.round("dist_km", 6).alias("dist_wb_km"))
 

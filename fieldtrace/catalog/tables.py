@@ -106,17 +106,16 @@ def row_ids_per_group(t):
 
 
 @query("A11", """
-SELECT ring, COUNT(*) AS rings, MIN(id) AS first_id, MAX(id) AS last_id FROM {timeline} GROUP BY ring""")
+SELECT ring, part, CAST(COUNT(*) AS INT) AS part_rows, STRING_AGG(CAST(id AS VARCHAR), ',' ORDER BY n) AS ids
+FROM (SELECT ring, id, n, CAST(FLOOR((n - 1) / 4) AS BIGINT) AS part
+  FROM (SELECT ring, id, ROW_NUMBER() OVER (PARTITION BY ring ORDER BY datetime, id) AS n FROM {timeline}) x) y GROUP BY ring, part""")
 def nest_rows(t):
-    packed = nested(t.timeline.select("ring", "id", "datetime"), ["ring"], ["datetime", "id"], salt_by=["id"])
-    per_part = packed.select(
-        "ring", "part_rows", F.array_min(F.transform("data", lambda x: x["id"])).alias("lo"),
-        F.array_max(F.transform("data", lambda x: x["id"])).alias("hi"))
-    return per_part.groupBy("ring").agg(
-        F.sum("part_rows").alias("rings"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"))
+    packed = nested(t.timeline.select("ring", "id", "datetime"), ["ring"], ["datetime", "id"], rows_per_part=4)
+    ids = F.array_join(F.transform("data", lambda x: x["id"].cast("string")), ",")
+    return packed.select("ring", "part", "part_rows", ids.alias("ids"))
 
 
 @query("A11", "SELECT ring, id, obs, wgh FROM {timeline}")
 def unnest_rows(t):
     rows = t.timeline.select("ring", "id", "obs", "wgh")
-    return unnested(nested(rows, ["ring"], ["id"], max_rows=64, salt_by=["id"]))
+    return unnested(nested(rows, ["ring"], ["id"], rows_per_part=64))

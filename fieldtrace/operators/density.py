@@ -7,6 +7,8 @@ nodes meet the output grid.  The work after that count does not depend on the nu
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from fieldtrace.functions.nullsafe import col
 from fieldtrace.operators.keyed import ROWS, attach_per_key
 from fieldtrace.operators.ranks import quantiles
 
-_REACH = 8.5  # bandwidths after which the normal kernel is below 1e-15 of its peak
+#: Bandwidths after which the normal kernel, below 1e-15 of its peak, no longer changes a sum of doubles.
+_REACH = 8.5
 
 
 def histogram(df: DataFrame, group: list[str], value: str, weight: str | None = None, *, bins: int | None = None,
@@ -30,7 +33,8 @@ def histogram(df: DataFrame, group: list[str], value: str, weight: str | None =
     w = F.lit(1.0) if weight is None else col(weight).cast("double")
     rows = df.select(*group, x.alias("_x"), w.alias("_w")).where(F.col("_x").isNotNull())
     ends = rows.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("e")).scalar()
-    width = F.lit(float(binwidth)) if binwidth else (ends["hi"] - ends["lo"]) / (bins - 1)
+    spread = ends["hi"] - ends["lo"]  # values that are all equal fill one bin of width 1
+    width = F.lit(float(binwidth)) if binwidth else F.when(spread > 0, spread / (bins - 1)).otherwise(F.lit(1.0))
     origin = boundary + F.floor((ends["lo"] - boundary) / width) * width
     place = F.greatest(F.ceil((F.col("_x") - origin) / width) - 1, F.lit(0)).cast("bigint")
     counted = rows.groupBy(*group, place.alias("bin")).agg(F.sum("_w").alias("weight"))
@@ -46,20 +50,22 @@ def rule_of_thumb(df: DataFrame, group: list[str], value: str, adjust: float = 1
         F.min(value).alias("lo"), F.max(value).alias("hi"))
     q = quantiles(df, group, value, [0.25, 0.75]).groupBy(*group).agg(
         (F.max("quantile") - F.min("quantile")).alias("iqr"))
-    if group:
-        on = None
-        q = q.select(*[F.col(g).alias(f"_q_{g}") for g in group], "iqr")
-        for g in group:
-            c = F.col(g).eqNullSafe(F.col(f"_q_{g}"))
-            on = c if on is None else on & c
-        joined = sums.join(q, on, "left").drop(*[f"_q_{g}" for g in group])
-    else:
-        joined = sums.withColumn("iqr", q.scalar())
+    joined = attach_per_key(sums, q, group)
     spread = F.least("sd", F.col("iqr") / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("sd") > 0, F.col("sd")).when(F.col("lo") != 0, F.abs("lo")).otherwise(F.lit(1.0))
     return joined.select(*group, ROWS, "n", "lo", "hi", (F.lit(factor * adjust) * spread * F.pow(F.col("n"), F.lit(-0.2))).alias("bw"))
 
 
+def _known(df: DataFrame, *columns: str | None) -> DataFrame:
+    """Rows that can add to a density: value and weight are there."""
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in columns if c is not None]))
+
+
+def _per_group(rows: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
+    """One row per group brought to the rows of a grid, which has few per group."""
+    return attach_per_key(rows, per, group, "inner")
+
+
 def _nodes(n: int) -> int:
     return 512 if n <= 512 else 2 ** math.ceil(math.log2(n))
 
@@ -97,53 +103,48 @@ def _spread(binned: DataFrame, n: int, nodes: int) -> DataFrame:
 
 
 def kernel_density(df: DataFrame, group: list[str], value: str, weight: str | None = None, *, n: int = 512,
-                   bw: float | None = None, adjust: float = 1.0, span: tuple[float, float] | None = None,
-                   salt_by: list[str] | None = None) -> DataFrame:
+                   bw: float | None = None, adjust: float = 1.0, span: tuple[float, float] | None = None) -> DataFrame:
     """Weighted normal-kernel density on ``n`` points per group; weights count as shares.
 
     Without ``bw`` the rule of thumb of the unweighted values applies; without ``span`` the grid
     runs three bandwidths beyond the data.
     """
-    nodes = _nodes(n)
+    df, nodes = _known(df, value, weight), _nodes(n)
     params = rule_of_thumb(df, group, value, adjust)
     if bw is not None:
         params = params.withColumn("bw", F.lit(float(bw)))
     ends = (F.lit(float(span[0])), F.lit(float(span[1]))) if span else (F.col("lo") - 3 * F.col("bw"), F.col("hi") + 3 * F.col("bw"))
     params = params.select(*group, ROWS, "bw", ends[0].alias("x_from"), ends[1].alias("x_to"))
-    rows = attach_per_key(df, params, group, "inner", salt_by)
+    rows = attach_per_key(df, params, group, "inner")
     masses = rows.groupBy(*group).agg(F.sum(F.lit(1.0) if weight is None else F.col(weight)).alias("_whole"))
     y = _spread(_binned(rows, group, value, weight, nodes), n, nodes).groupBy(*group, "k", "x").agg(F.sum("_y").alias("_y"))
-    m = masses.select(*[F.col(g).alias(f"_m_{g}") for g in group], "_whole")
-    on = None
-    for g in group:
-        c = F.col(g).eqNullSafe(F.col(f"_m_{g}"))
-        on = c if on is None else on & c
-    return y.join(m, on).select(*group, F.col("k").alias("point"), "x", (F.col("_y") / F.col("_whole")).alias("density"))
+    return _per_group(y, masses, group).select(*group, F.col("k").alias("point"), "x", (F.col("_y") / F.col("_whole")).alias("density"))
 
 
 def circular_density(df: DataFrame, group: list[str], angle: str, weight: str | None = None, bw: float = 12.0,
-                     n: int = 1000, salt_by: list[str] | None = None) -> DataFrame:
+                     n: int = 1000) -> DataFrame:
     """Density of angles in degrees: three copies a full turn apart, cut to -180..180, shares of 1."""
+    df = _known(df, angle, weight)
     shift = F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))
     copies = df.select("*", shift.alias("_turn")).withColumn(angle, F.col(angle) + F.col("_turn")).drop("_turn")
     ends = df.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS), F.min(angle).alias("lo"), F.max(angle).alias("hi"))
     params = ends.select(*group, (F.col(ROWS) * 3).alias(ROWS), F.lit(float(bw)).alias("bw"),
                          (F.col("lo") - 360 - 3 * bw).alias("x_from"), (F.col("hi") + 360 + 3 * bw).alias("x_to"))
-    rows = attach_per_key(copies, params, group, "inner", salt_by)
+    rows = attach_per_key(copies, params, group, "inner")
     nodes = _nodes(n)
     y = _spread(_binned(rows, group, angle, weight, nodes), n, nodes).groupBy(*group, "k", "x").agg(F.sum("_y").alias("_y"))
     shown = y.where(F.col("x").between(-180, 180))
-    whole = Window.partitionBy(*group)  # at most n rows per group
+    whole = Window.partitionBy(*(group or [F.lit(0)]))  # at most n rows per group
     return shown.select(*group, F.col("k").alias("point"), F.col("x").alias("angle_deg"),
                         (F.col("_y") / F.sum("_y").over(whole)).alias("density"))
 
 
-def positive_share(df: DataFrame, group: list[str], value: str, weight: str | None = None, n: int = 512,
-                   salt_by: list[str] | None = None) -> DataFrame:
+def positive_share(df: DataFrame, group: list[str], value: str, weight: str | None = None, n: int = 512) -> DataFrame:
     """Share of the density on -1..1 that lies above zero, per group (rule-of-thumb bandwidth)."""
+    df = _known(df, value, weight)
     params = rule_of_thumb(df, group, value).select(
         *group, ROWS, "bw", F.lit(-1.0).alias("x_from"), F.lit(1.0).alias("x_to"))
-    rows = attach_per_key(df, params, group, "inner", salt_by)
+    rows = attach_per_key(df, params, group, "inner")
     nodes = _nodes(n)
     spread = _spread(_binned(rows, group, value, weight, nodes), n, nodes)
     return spread.groupBy(*group).agg(
@@ -156,25 +157,22 @@ def _share(at: Column) -> Column:
 
 
 def density_2d(df: DataFrame, group: list[str], x: str, y: str, box: tuple[tuple[float, float], tuple[float, float]],
-               points: int = 100, refine: int = 4, levels=(0.01, 0.1, 0.5, 0.8, 1.0),
-               salt_by: list[str] | None = None) -> DataFrame:
+               points: int = 100, refine: int = 4, levels=(0.01, 0.1, 0.5, 0.8, 1.0)) -> DataFrame:
     """Density on a grid over ``box``, relative to the largest cell of the group, with its class.
 
     Points count into a grid ``refine`` times finer; the normal kernel is applied along x and
     then along y.  ``level`` is the largest level reached, null below the first.
     """
+    if not group:
+        return density_2d(df.withColumn("_all", F.lit(1)), ["_all"], x, y, box, points, refine, levels).drop("_all")
     inside = F.col(x).between(box[0][0], box[1][0]) & F.col(y).between(box[0][1], box[1][1])
     rows = df.where(inside)
     bx = rule_of_thumb(rows, group, x, factor=1.06).select(*group, ROWS, F.col("bw").alias("bx"))
-    by = rule_of_thumb(rows, group, y, factor=1.06).select(*[F.col(g).alias(f"_y_{g}") for g in group], F.col("bw").alias("by"))
-    on = None
-    for g in group:
-        c = F.col(g).eqNullSafe(F.col(f"_y_{g}"))
-        on = c if on is None else on & c
-    params = bx.join(by, on).drop(*[f"_y_{g}" for g in group])
+    by = rule_of_thumb(rows, group, y, factor=1.06).select(*group, F.col("bw").alias("by"))
+    params = _per_group(bx, by, group)
     last = (points - 1) * refine
     sx, sy = (box[1][0] - box[0][0]) / last, (box[1][1] - box[0][1]) / last
-    placed = attach_per_key(rows, params, group, "inner", salt_by).select(
+    placed = attach_per_key(rows, params, group, "inner").select(
         *group, "bx", "by", F.explode(_share((F.col(x) - box[0][0]) / sx)).alias("a"),
         ((F.col(y) - box[0][1]) / sy).alias("_aty"))
     binned = placed.select(*group, "bx", "by", "a", F.explode(_share(F.col("_aty"))).alias("b")).groupBy(
@@ -190,7 +188,7 @@ def density_2d(df: DataFrame, group: list[str], x: str, y: str, box: tuple[tuple
             F.sum(F.col("m") * F.exp(-0.5 * z * z) / F.col(bw)).alias("m"))
 
     cells = along(along(binned, "ix", "kx", sx, "bx", ["iy"]), "iy", "ky", sy, "by", ["kx"])
-    whole = Window.partitionBy(*group)  # one row per grid cell
+    whole = Window.partitionBy(*(group or [F.lit(0)]))  # one row per grid cell
     rel = F.col("m") / F.max("m").over(whole)
     level = F.lit(None).cast("double")
     for lv in sorted(levels, reverse=True):

@@ -2,7 +2,8 @@
 
 Windows partitioned by an individual would put all of its rows into one task.  Here the value
 of a key is computed by an aggregate, which combines on the map side, and brought back to the
-rows by a join whose hot keys are spread over slices.
+rows by a join with one row per key: a large partition is then large on one side only, and
+adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -14,12 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.nullsafe import order_struct
-from fieldtrace.sources.store import staged
-
-# A key is hot when it has at least HOT_ROWS rows and more than 1/HOT_SHARE of all rows, so at
-# most HOT_SHARE keys are hot: the broadcast list of hot keys has that bound at any scale.
-HOT_ROWS = 1_000_000
-HOT_SHARE = 4096
 
 ROWS = "_rows"
 
@@ -41,73 +36,42 @@ def first_per_key(
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 
-def attach_per_key(
-    df: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    salt_by: list[str] | None = None,
-) -> DataFrame:
+def attach_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Bring one row per key back to the rows of ``df``; null keys match null keys.
 
-    ``per_key`` holds the keys at most once and the row count of each key in ``ROWS``.  It is
-    written first, so its own lineage is not run again, and tells whether any key is hot.  Hot
-    keys are cut into slices: their rows are spread by a hash of ``salt_by`` (default: all
-    columns) and their single ``per_key`` row is repeated once per slice.
+    ``per_key`` holds each key at most once; without keys it is one row that all rows get.
     """
-    per_key = staged(per_key)
     values = [c for c in per_key.columns if c not in keys and c != ROWS]
-    size = per_key.agg(F.sum(ROWS).alias("total"), F.max(ROWS).alias("top")).first()
-    total, top = size["total"] or 0, size["top"] or 0
-    right = per_key.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, ROWS)
+    right = per_key.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
+    if not keys:
+        return df.join(F.broadcast(right), how=how).select(*df.columns, *values)  # one row
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    if top < HOT_ROWS or top * HOT_SHARE <= total:
-        return df.join(right.drop(ROWS), on, how).select(*df.columns, *values)
-    slice_rows = max(HOT_ROWS, -(-total // HOT_SHARE))
-    is_hot = (F.col(ROWS) >= HOT_ROWS) & (F.col(ROWS) * HOT_SHARE > total)
-    slices = F.when(is_hot, F.ceil(F.col(ROWS) / slice_rows)).otherwise(F.lit(1)).cast("int")
-    hot = per_key.where(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], slices.alias("_slices"))
-    on_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    salt = F.pmod(F.xxhash64(*(salt_by or df.columns)), F.col("_slices"))
-    salted = df.join(F.broadcast(hot), on_hot, "left").withColumn(
-        "_salt", F.coalesce(salt, F.lit(0)).cast("int")).select(*df.columns, "_salt")
-    spread = right.withColumn("_key_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop(ROWS)
-    return salted.join(spread, on & (F.col("_salt") == F.col("_key_salt")), how).select(*df.columns, *values)
-
-
-def with_group_values(
-    df: DataFrame, keys: list[str], salt_by: list[str] | None = None, **values: Column
-) -> DataFrame:
+    return df.join(right, on, how).select(*df.columns, *values)
+
+
+def with_group_values(df: DataFrame, keys: list[str], **values: Column) -> DataFrame:
     """Add aggregates of each key to its rows."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(ROWS), *[v.alias(name) for name, v in values.items()])
-    return attach_per_key(df, per_key, keys, "left", salt_by)
+    per_key = df.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
+    return attach_per_key(df, per_key, keys)
 
 
-def add_count(
-    df: DataFrame, keys: list[str], out: str = "n", salt_by: list[str] | None = None
-) -> DataFrame:
+def add_count(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
     """Number of rows of each key, kept on the rows."""
-    return with_group_values(df, keys, salt_by, **{out: F.count(F.lit(1))})
+    return with_group_values(df, keys, **{out: F.count(F.lit(1))})
 
 
-def nested(df: DataFrame, keys: list[str], order: list, max_rows: int = 10_000,
-           salt_by: list[str] | None = None) -> DataFrame:
-    """Rows of a key as an array of structs, at most about ``max_rows`` per array.
+def nested(df: DataFrame, keys: list[str], order: list, rows_per_part: int = 10_000) -> DataFrame:
+    """Rows of a key along ``order``, which must be total, as arrays of structs of ``rows_per_part`` rows.
 
-    A key with more rows gives several numbered parts; ``part_rows`` is the size of a part.
+    Parts are numbered from 0 and follow each other in the order; each but the last of a key is full, and
+    ``part_rows`` is the size of a part.
     """
-    sized = add_count(df, keys, "_n", salt_by)
-    parts = F.ceil(F.col("_n") / max_rows)
-    part = F.pmod(F.xxhash64(*(salt_by or df.columns)), parts)
+    from fieldtrace.operators.ranks import row_numbers
+
     rest = [c for c in df.columns if c not in keys]
-    sort_value = order_struct(*order)
-    packed = (
-        sized.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(sort_value.alias("_o"), F.struct(*rest).alias("row"))))
-             .alias("_data"))
-    )
+    numbered = row_numbers(df, keys, order, "_n").withColumn("part", F.floor((F.col("_n") - 1) / rows_per_part).cast("bigint"))
+    packed = numbered.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(F.struct("_n", F.struct(*rest).alias("row")))).alias("_data"))
     return packed.select(
         *keys, "part", F.size("_data").alias("part_rows"),
         F.transform("_data", lambda x: x["row"]).alias("data"))

@@ -21,8 +21,11 @@ from fieldtrace.sources.store import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def laplace_terms(sw, swy, eta0, sigma, family: str, dispersion: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Log marginal likelihood of each individual up to a constant, by its mode and curvature."""
+def laplace_terms(sw, swy, eta0, sigma, family: str, dispersion: float = 1.0, steps: int = 200) -> np.ndarray:
+    """Log marginal likelihood of each individual up to a constant, by its mode and curvature.
+
+    The target is concave in the intercept, so the clipped steps end; raises if ``steps`` are not enough.
+    """
     b = np.zeros_like(sw)
     inverse = 1.0 / sigma**2
 
@@ -39,19 +42,21 @@ def laplace_terms(sw, swy, eta0, sigma, family: str, dispersion: float = 1.0, st
         _, slope, bend = parts(b)
         step = np.clip((slope - b * inverse) / (bend + inverse), -2, 2)
         b = b + step
-        if np.abs(step).max(initial=0) < 1e-12:
+        if np.abs(step).max(initial=0) < 1e-9:
             break
+    else:
+        raise ArithmeticError("the intercepts of the individuals did not settle")
     value, _, bend = parts(b)
     return value - 0.5 * b * b * inverse - 0.5 * np.log1p(bend * sigma**2)
 
 
 def random_intercept_fit(df: DataFrame, group: str, individual: str, y: str, weight: str, family: str,
-                         max_rounds: int = 25) -> DataFrame:
+                         max_rounds: int = 100) -> DataFrame:
     """Fitted value per group at a random intercept of zero, and the spread of the intercepts.
 
     ``family`` is binomial (logit) or gamma (log link, dispersion of the model without random
     intercepts).  Starts from that model; a quasi-Newton step per round, all differences of a
-    round in one job.
+    round in one job.  Raises if the likelihood still grows after ``max_rounds``.
     """
     used = df.where(F.col(group).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull())
     start = {r[group]: r for r in group_fit(used, group, y, weight, family).collect()}  # one row per model category
@@ -104,6 +109,8 @@ def random_intercept_fit(df: DataFrame, group: str, individual: str, y: str, wei
         if g[best] <= f[0] + 1e-9 * (1 + abs(f[0])):
             break
         x = tried[best]
+    else:
+        raise ArithmeticError(f"the fit did not converge in {max_rounds} rounds")
     back = (lambda e: 1 / (1 + np.exp(-e))) if family == "binomial" else np.exp
     rows = [(g, float(x[i]), float(back(x[i])), float(np.exp(x[-1]))) for i, g in enumerate(names)]
     return df.sparkSession.createDataFrame(rows, f"{group} string, link double, fit double, sigma double")

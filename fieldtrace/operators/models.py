@@ -18,7 +18,9 @@ def group_fit(df: DataFrame, group: str, y: str, weight: str, family: str) -> Da
     ``family`` is binomial (logit link) or gamma (log link).  With one category per row the
     likelihood equations are solved by the weighted group means; the dispersion of the gamma
     family is the Pearson statistic over its degrees of freedom, common to all groups.  Rows
-    without a group, value or weight do not take part.
+    without a group, value or weight do not take part.  A binomial category with no or only
+    successes has no finite link: its link and standard error are missing and its interval is
+    the point itself.
     """
     y_, w = F.col(y).cast("double"), F.col(weight).cast("double")
     used = df.where(F.col(group).isNotNull() & y_.isNotNull() & w.isNotNull())
@@ -28,8 +30,8 @@ def group_fit(df: DataFrame, group: str, y: str, weight: str, family: str) -> Da
     rows = sums.withColumn("fit", fit)
     if family == "binomial":
         out = rows.withColumns({
-            "dispersion": F.lit(1.0), "link": F.log(fit / (1 - fit)),
-            "se_link": 1 / F.sqrt(F.col("w") * fit * (1 - fit)), "se_fit": F.sqrt(fit * (1 - fit) / F.col("w"))})
+            "dispersion": F.lit(1.0), "link": F.log(F.try_divide(fit, 1 - fit)),
+            "se_link": F.try_divide(F.lit(1.0), F.sqrt(F.col("w") * fit * (1 - fit))), "se_fit": F.sqrt(fit * (1 - fit) / F.col("w"))})
     elif family == "gamma":
         chi = F.col("wyy") / (F.col("fit") * F.col("fit")) - 2 * F.col("wy") / F.col("fit") + F.col("w")
         disp = rows.agg((F.sum(chi) / (F.sum("n") - F.count(F.lit(1)))).alias("d")).scalar()
@@ -149,11 +151,11 @@ def occupied_bins(occupied: DataFrame, everything: DataFrame, value: str, parts:
     return bins.withColumn("wgt", F.when((F.col("bin") == 1) | (F.col("bin") == parts + 2), 0).otherwise(1))
 
 
-def habitat_weights(bins: DataFrame, everything: DataFrame, value: str, salt_by: list[str]) -> DataFrame:
+def habitat_weights(bins: DataFrame, everything: DataFrame, value: str) -> DataFrame:
     """Each row's bin and its equal share of the weight of the bin."""
     width = everything.agg((F.max(value) / 256).alias("w")).scalar()
     placed = range_join(everything, value, bins, "down", "up", lambda v: F.floor(v / width))
-    return add_count(placed, ["bin"], "n", salt_by).withColumn("wgt_area", F.col("wgt") / F.col("n"))
+    return add_count(placed, ["bin"], "n").withColumn("wgt_area", F.col("wgt") / F.col("n"))
 
 
 def repeat_summary(df: DataFrame, individual: str, group: str) -> DataFrame:

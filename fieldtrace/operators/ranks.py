@@ -38,7 +38,7 @@ def _block_offsets(block_totals: DataFrame, group: list[str]) -> DataFrame:
     """Total of the earlier blocks; a group has at most as many rows here as there are blocks."""
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    return block_totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    return block_totals.withColumn("_before", F.sum("_total").over(before))
 
 
 def _join_offsets(rows: DataFrame, offsets: DataFrame, group: list[str]) -> DataFrame:
@@ -58,12 +58,15 @@ def row_numbers(df: DataFrame, group: list[str], order: list, out: str = "row_nu
     offsets = _block_offsets(totals, group)
     numbered = _join_offsets(rows, offsets, group)
     return numbered.withColumn(
-        out, (F.col("_before") + F.col("_mid") - F.col("_block_start") + 1).cast("bigint")
+        out, (F.coalesce("_before", F.lit(0)) + F.col("_mid") - F.col("_block_start") + 1).cast("bigint")
     ).select(*df.columns, out)
 
 
 def running_total(df: DataFrame, group: list[str], order: list, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` up to and including the row, per group along ``order``."""
+    """Sum of ``value`` up to and including the row, per group along ``order``; missing values add nothing.
+
+    It is missing until the first value that is there, wherever the blocks begin.
+    """
     rows = _blocks(df, group, order)
     totals = rows.groupBy(*group, "_block").agg(F.sum(value).alias("_total"))
     offsets = _block_offsets(totals, group)
@@ -71,7 +74,8 @@ def running_total(df: DataFrame, group: list[str], order: list, value: str, out:
         Window.unboundedPreceding, Window.currentRow)
     within = rows.withColumn("_inside", F.sum(value).over(inside))
     return _join_offsets(within, offsets, group).withColumn(
-        out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
+        out, F.when(F.col("_inside").isNotNull() | F.col("_before").isNotNull(),
+                    F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)))).select(*df.columns, out)
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -86,7 +90,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -
     upto = upto.select(*group, value, (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
     if group:
         sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS), F.count(F.lit(1)).alias("_size"))
-        ranked = attach_per_key(upto, sizes, group, "inner", salt_by=[value])
+        ranked = attach_per_key(upto, sizes, group, "inner")
     else:
         ranked = upto.withColumn("_size", present.agg(F.count(F.lit(1)).alias("n")).scalar())
     # a probability asks for two neighbouring ranks; each falls into one value's range of ranks

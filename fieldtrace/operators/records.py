@@ -36,13 +36,10 @@ def reference_pairs(captures: DataFrame, key: str = "ring", mark: str = "mark")
     return captures.where(F.col(mark).isNotNull()).select(key, mark)
 
 
-def consistent_pairs(controls: DataFrame, pairs: DataFrame, key: str = "ring", mark: str = "mark",
-                     salt_by: list[str] | None = None) -> DataFrame:
+def consistent_pairs(controls: DataFrame, pairs: DataFrame, key: str = "ring", mark: str = "mark") -> DataFrame:
     """Controls whose mark belongs to the individual, or that state no mark."""
-    sized = controls.groupBy(key, mark).agg(F.count(F.lit(1)).alias(ROWS))
-    hit = natural_join(sized, pairs.select(key, mark).distinct().withColumn("_hit", F.lit(True)), "left",
-                       on=[key, mark])
-    flagged = attach_per_key(controls, hit, [key, mark], "left", salt_by)
+    known = pairs.select(key, mark).distinct().withColumn("_hit", F.lit(True))
+    flagged = attach_per_key(controls, known, [key, mark])
     keep = F.col("_hit").isNotNull() | F.col(mark).isNull() | F.contains(F.col(mark), F.lit("MARQUE"))
     return flagged.where(keep).drop("_hit")
 
@@ -51,11 +48,9 @@ def pair_conflicts(controls: DataFrame, pairs: DataFrame, key: str = "ring", mar
                    uid: str = "id") -> DataFrame:
     """Controls without a known pair, the number of such controls of the individual, and each of
     its reference marks (null where it has none)."""
-    sized = controls.groupBy(key, mark).agg(F.count(F.lit(1)).alias(ROWS))
     known = pairs.select(key, mark).distinct()
-    hit = natural_join(sized, known.withColumn("_hit", F.lit(True)), "left", on=[key, mark])
-    strange = attach_per_key(controls, hit, [key, mark], "left", [uid]).where(F.col("_hit").isNull()).drop("_hit")
-    counted = add_count(strange, [key], "n", [uid])
+    strange = attach_per_key(controls, known.withColumn("_hit", F.lit(True)), [key, mark]).where(F.col("_hit").isNull()).drop("_hit")
+    counted = add_count(strange, [key], "n")
     return natural_join(counted, known.withColumnRenamed(mark, "reference"), "left", on=[key])
 
 

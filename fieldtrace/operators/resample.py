@@ -33,23 +33,27 @@ def weighted_draws(birds: DataFrame, choices: DataFrame, site: str, uid: str, ch
 
     Weights become whole units whose running total gives every choice an interval; a draw is a
     unit of its site's total.  Intervals and draws meet on (site, part of the total), so a draw
-    is compared with the few intervals around it and not with all choices of the site.
+    is compared with the few intervals around it and not with all choices of the site.  Every
+    positive choice has one unit at least, and an individual whose site has no positive weight
+    keeps its replicates with a missing choice.
     """
     totals = choices.where(F.col(weight) > 0).groupBy(site).agg(F.sum(weight).alias("_w"))
-    units = F.round(F.col(weight) / F.col("_w") * F.lit(float(_UNIT))).cast("bigint")
-    sized = choices.where(F.col(weight) > 0).join(totals, site).withColumn("_units", units).where(
-        F.col("_units") > 0).drop("_w")
+    units = F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_w") * F.lit(float(_UNIT))).cast("bigint"))
+    sized = choices.where(F.col(weight) > 0).join(totals, site).withColumn("_units", units).drop("_w")
     upto = running_total(sized, [site], [choice], "_units", "_hi")
     whole = upto.groupBy(site).agg(F.max("_hi").alias("_total"))
     part = lambda c: F.floor(c / (F.col("_total") / cells)).cast("int")
     spans = upto.withColumn("_lo", F.col("_hi") - F.col("_units")).join(whole, site)
     filed = spans.withColumn("_cell", F.explode(F.sequence(part(F.col("_lo")), part(F.col("_hi") - 1)))).drop("_total", "_units")
     asked = birds.select(site, uid, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn(
-        "_u", uniform(site, uid, "replicate")).join(whole, site)
+        "_u", uniform(site, uid, "replicate")).join(whole, site, "left")
     asked = asked.withColumn("_at", F.least(F.floor(F.col("_u") * F.col("_total")).cast("bigint"), F.col("_total") - 1)).withColumn(
         "_cell", part(F.col("_at"))).drop("_u", "_total")
-    hit = asked.join(filed, [site, "_cell"]).where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-    return hit.drop("_cell", "_at", "_lo", "_hi")
+    mine = filed.select(F.col(site).alias("_site"), F.col("_cell").alias("_part"), "_lo", "_hi",
+                        *[c for c in choices.columns if c != site])
+    hit = asked.join(mine, (F.col(site) == F.col("_site")) & (F.col("_cell") == F.col("_part"))
+                     & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")), "left")
+    return hit.drop("_cell", "_at", "_lo", "_hi", "_site", "_part")
 
 
 def with_realized(potential: DataFrame, realized: DataFrame, group: str, uid: str, angle: str, weight: str) -> DataFrame:
@@ -63,7 +67,7 @@ def axis_shares(directions: DataFrame, group: str, angle: str, weight: str, uid:
     """Share of each replicate's directions on the east and on the north side."""
     projected = directions.select(group, "id", uid, weight, east_share(angle).alias("East"), north_share(angle).alias("North"))
     long = projected.unpivot([group, "id", uid, weight], ["East", "North"], "axis", "proj")
-    return positive_share(long, [group, "id", "axis"], "proj", weight, salt_by=[uid])
+    return positive_share(long, [group, "id", "axis"], "proj", weight)
 
 
 def _digamma(x: float) -> float:
@@ -130,24 +134,37 @@ def beta_quantile(p: float, a: float, b: float) -> float:
 
 
 def beta_statistics(shares: DataFrame, group: str) -> DataFrame:
-    """What the beta likelihood needs of the replicates, and the observed share, per group and axis."""
+    """What the beta likelihood needs of the replicates, and the observed share, per group and axis.
+
+    A replicate at 0 or 1 has no finite logarithm: ``at_ends`` counts these, and with any of them both means of
+    logarithms are missing, as the likelihood then has no maximum.  ``low`` and ``high`` are the replicates' own 2.5 % and
+    97.5 % quantiles.
+    """
     p = F.col("prop")
+    inside = (p > 0) & (p < 1)
     drawn = shares.where(F.col("id") != 0).groupBy(group, "axis").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.log(p)).alias("log_p"), F.avg(F.log(1 - p)).alias("log_q"),
-        F.avg(p).alias("mean"), F.var_samp(p).alias("var"))
+        F.count(F.lit(1)).alias("n"), F.count_if(~inside).alias("at_ends"),
+        F.avg(F.when(inside, F.log(p))).alias("log_p"), F.avg(F.when(inside, F.log(1 - p))).alias("log_q"),
+        F.avg(p).alias("mean"), F.var_samp(p).alias("var"), F.percentile(p, [0.025, 0.975]).alias("_q"))
+    whole = F.col("at_ends") == 0
+    drawn = drawn.withColumns({"log_p": F.when(whole, F.col("log_p")), "log_q": F.when(whole, F.col("log_q")),
+                               "low": F.col("_q")[0], "high": F.col("_q")[1]}).drop("_q")
     seen = shares.where(F.col("id") == 0).select(group, "axis", p.alias("realized"))
     return natural_join(drawn, seen, "left", on=[group, "axis"])
 
 
 def tropism_test(shares: DataFrame, group: str) -> DataFrame:
     """Beta fit of the replicates per group and axis, its 95 % interval, and twice the upper tail
-    beyond the observed share (may exceed 1)."""
+    beyond the observed share (may exceed 1).  Missing where the likelihood has no maximum."""
     stats = beta_statistics(shares, group)
 
     def solve(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
+                if pd.isna(r.log_p) or not r.var > 0:  # no maximum: replicates at 0 or 1, or all equal
+                    rows.append((getattr(r, group), r.axis, r.realized, *[np.nan] * 5))
+                    continue
                 size = r.mean * (1 - r.mean) / r.var - 1
                 a, b = beta_fit(r.log_p, r.log_q, (r.mean * size, (1 - r.mean) * size))
                 tail = np.nan if pd.isna(r.realized) else 2 * (1 - beta_cdf(r.realized, a, b))

@@ -178,7 +178,7 @@ def resolve_places(
     # a key has one row here except for repeated foreign communes, which repeat the record
     listed = stages.groupBy(*place).agg(F.collect_list(F.struct(*lookup, "match")).alias("_hits"))
     hit_keys = natural_join(sizes, listed, "inner", on=place)
-    joined = attach_per_key(records, hit_keys, place, "left", [uid])
+    joined = attach_per_key(records, hit_keys, place, "left")
     out = joined.select(*records.columns, F.inline_outer("_hits"))
     if found is not None:
         hand = found.select("co", "com", "spot", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))

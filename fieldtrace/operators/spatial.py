@@ -50,7 +50,7 @@ def join_covering(points: DataFrame, edges: DataFrame, poly: str, x: str = "lon"
     held = covering_polygons(points, edges, poly, x, y, cell).groupBy(x, y).agg(
         F.collect_list(poly).alias("_polys"))
     sized = points.groupBy(x, y).agg(F.count(F.lit(1)).alias(ROWS)).join(held, [x, y])
-    return attach_per_key(points, sized, [x, y], "left", [uid]).select(
+    return attach_per_key(points, sized, [x, y], "left").select(
         *points.columns, F.explode_outer("_polys").alias(poly))
 
 
@@ -180,8 +180,7 @@ def polygon_measures(edges: DataFrame, poly: list[str]) -> DataFrame:
                        (F.col("sx") / (3 * F.col("a2"))).alias("x"), (F.col("sy") / (3 * F.col("a2"))).alias("y"))
 
 
-def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str,
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """Smallest node key of the component of every node.
 
     Alternates two rounds of hooking: all larger neighbours of a node move to its smallest
@@ -191,13 +190,13 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str,
     links = staged(pairs.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:  # every round that changes anything brings some node nearer to the smallest
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.count(F.lit(1)).alias(ROWS), F.least(F.min("v"), F.col("u")).alias("m"))
-        larger = attach_per_key(both, low, ["u"], "inner", ["v"]).where(F.col("v") > F.col("u"))
+        larger = attach_per_key(both, low, ["u"], "inner").where(F.col("v") > F.col("u"))
         big = staged(larger.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = big.groupBy("u").agg(F.count(F.lit(1)).alias(ROWS), F.min("v").alias("m"))
-        smaller = attach_per_key(big, low, ["u"], "inner", ["v"])
+        smaller = attach_per_key(big, low, ["u"], "inner")
         links = staged(union_all(
             smaller.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")),
             low.select("u", F.col("m").alias("v"))).distinct())
@@ -205,8 +204,6 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str,
         if state == (now["n"], now["s"]):
             break
         state = (now["n"], now["s"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select(node).distinct().join(links.select(F.col("u").alias(node), "v"), node, "left").select(
         node, F.coalesce("v", node).alias("component"))
 
@@ -224,4 +221,4 @@ def water_systems(edges: DataFrame, poly: str, kind: str, gap: float, cell: floa
         near.withColumnRenamed("component", "sys_id"), poly)
     systems = rows.groupBy("sys_id").agg(F.count(F.lit(1)).alias(ROWS), F.count(F.lit(1)).alias("sys_n"),
                                          F.sum("wb_area").alias("sys_area"))
-    return attach_per_key(rows, systems, ["sys_id"], "inner", [poly])
+    return attach_per_key(rows, systems, ["sys_id"], "inner")

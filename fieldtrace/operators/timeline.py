@@ -1,7 +1,8 @@
 """Event timelines of individuals: the span between first capture and recovery.
 
-Every bound is the minimum of an ordered position, which an aggregate combines on the map side,
-so no task has to hold or sort the whole history of an individual.
+Every bound is the minimum of an ordered position, which an aggregate combines on the map side, so no
+task has to sort the whole history of an individual.  The bounds come from three columns; the rows
+themselves meet them once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.nullsafe import order_struct
-from fieldtrace.operators.keyed import ROWS, attach_per_key
+from fieldtrace.operators.keyed import attach_per_key
 
 START, END = "BAGUAGE", "REPRISE"
 
@@ -24,38 +25,28 @@ def gate_timeline(events: DataFrame, key: str = "ring", kind: str = "obs", time:
     ``nobs``, the number of events kept, and ``reprise``, whether an end event is among them.
     """
     at = order_struct(time, uid)
-    placed = events.withColumn("_at", at)
-    opened = placed.groupBy(key).agg(
-        F.count(F.lit(1)).alias(ROWS),
-        F.min(F.when(F.col(kind) == START, F.col("_at"))).alias("_start"),
-        F.min(F.when(F.col(kind).isNull(), F.col("_at"))).alias("_unknown"),
-    )
-    salt = [uid]
-    begun = attach_per_key(placed, opened.where(F.col("_start").isNotNull()), [key], "inner", salt).where(
-        (F.col("_at") >= F.col("_start"))
-        & (F.col("_unknown").isNull() | (F.col("_at") < F.col("_unknown")))
-    ).drop("_start", "_unknown")
+    slim = events.select(key, kind, at.alias("_at"))
     is_end = F.col(kind) == END
+    opened = slim.groupBy(key).agg(
+        F.min(F.when(F.col(kind) == START, F.col("_at"))).alias("_start"),
+        F.min(F.when(F.col(kind).isNull(), F.col("_at"))).alias("_unknown")).where(F.col("_start").isNotNull())
+    begun = (F.col("_at") >= F.col("_start")) & (F.col("_unknown").isNull() | (F.col("_at") < F.col("_unknown")))
+    ends = attach_per_key(slim.where(is_end), opened, [key], "inner").where(begun).groupBy(key).agg(F.min("_at").alias("_end"))
+    bounds = attach_per_key(opened, ends, [key])
     # an event counts when it is an end event or lies before the first end event
-    ends = begun.groupBy(key).agg(
-        F.count(F.lit(1)).alias(ROWS),
-        F.min(F.when(is_end, F.col("_at"))).alias("_end"),
-    )
-    kept = attach_per_key(begun, ends, [key], "inner", salt).where(
-        is_end | F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
-    sizes = kept.groupBy(key).agg(
-        F.count(F.lit(1)).alias(ROWS), F.count(F.lit(1)).alias("nobs"),
-        F.max(is_end).alias("reprise"))
-    return attach_per_key(kept.drop("_end"), sizes, [key], "inner", salt).drop("_at")
+    kept = begun & (is_end | F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
+    sizes = attach_per_key(slim, bounds, [key], "inner").where(kept).groupBy(key).agg(
+        F.count(F.lit(1)).alias("nobs"), F.max(is_end).alias("reprise"))
+    facts = attach_per_key(bounds, sizes, [key], "inner")
+    return attach_per_key(events.withColumn("_at", at), facts, [key], "inner").where(kept).select(*events.columns, "nobs", "reprise")
 
 
 def first_attributes(events: DataFrame, attributes: list[str], key: str = "ring", time: str = "datetime",
                      uid: str = "id") -> DataFrame:
     """Give every event of an individual the attributes of its first event, missing ones too."""
     firsts = events.groupBy(key).agg(
-        F.count(F.lit(1)).alias(ROWS),
         F.min_by(F.struct(*attributes), order_struct(time, uid)).alias("_of_first"))
-    joined = attach_per_key(events, firsts, [key], "inner", [uid])
+    joined = attach_per_key(events, firsts, [key], "inner")
     return joined.select(*[F.col(f"_of_first.{c}").alias(c) if c in attributes else F.col(c) for c in events.columns])
 
 

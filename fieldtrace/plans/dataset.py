@@ -76,7 +76,7 @@ def consistent_records(raw: dict[str, DataFrame], duplicates: DataFrame | None =
     controls = merge_sources([clean_controls(raw["t_controle"], zone=zone), captured.where(F.col("obs") == "CONTROLE")],
                              first, "ring", "datetime", "id")
     controls = staged(controls)
-    controls = consistent_pairs(controls, reference_pairs(first), salt_by=["id"])
+    controls = consistent_pairs(controls, reference_pairs(first))
     positions = mean_positions(clean_positions(raw["t_controle_coo"], zone=zone), ["ring", "datetime"], "id")
     controls = attach_positions(controls, positions, ["ring", "datetime"])
     recoveries = keep_members(clean_recoveries(raw["t_reprise"], zone=zone), "ring", first)

@@ -15,7 +15,7 @@ def layer_groups(rows: DataFrame, parts: list[str], colour: str, uid: str = "id"
     keyed = rows.withColumns({"gp": glue(*parts, sep="~"), "gp_col": F.col(colour)})
     codes = appearance_codes(keyed, "gp_col", uid, "id_co")
     sizes = keyed.groupBy("gp_col").agg(F.count(F.lit(1)).alias(ROWS))
-    return attach_per_key(keyed, codes.join(sizes, "gp_col"), ["gp_col"], "left", [uid])
+    return attach_per_key(keyed, codes.join(sizes, "gp_col"), ["gp_col"], "left")
 
 
 def legend_rows(rows: DataFrame) -> DataFrame:

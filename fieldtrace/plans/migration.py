@@ -63,7 +63,7 @@ def weighted_winter_records(candidates: DataFrame, chosen: DataFrame) -> DataFra
                              F.sum(F.col(ROWS) * F.col("nobs_win")).alias("dir")).alias("t")).scalar()
     weights = per.withColumns({"wgt_co": whole["nb"] / F.col("nobs_win") / whole["inv"],
                                "pres_co": whole["nb"] * F.col("nobs_win") / whole["dir"]})
-    return attach_per_key(chosen, weights, ["co"], "left", ["id"])
+    return attach_per_key(chosen, weights, ["co"], "left")
 
 
 def water_allocation(rows: DataFrame, water: DataFrame, x: str, y: str, name: str, dist: str) -> DataFrame:
@@ -78,7 +78,7 @@ def water_allocation(rows: DataFrame, water: DataFrame, x: str, y: str, name: st
 def model_frames(winters: DataFrame, region: str = "Ouest", moved_km: float = MOVED_KM) -> dict[str, DataFrame]:
     """All records of a region, one per individual (nearest to its mean), and those that moved."""
     full = winters.where(F.col("nes_reg") == region).withColumn("mig", time.flag(F.col("dist_pt_km") > moved_km))
-    rows = with_group_values(full, ["ring"], ["id"], _mean=strict_mean("dist_pt_km"))
+    rows = with_group_values(full, ["ring"], _mean=strict_mean("dist_pt_km"))
     rows = rows.withColumn("win_avg", F.round(F.abs(F.col("dist_pt_km") - F.col("_mean")), 9)).drop("_mean")
     simple = first_per_key(rows, ["ring"], ["win_avg", "id", "n_datetime"])
     moved = (F.col("mig") == 1) & (F.col("dist_pt_km") < OUTLYING_KM)

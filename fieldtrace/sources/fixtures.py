@@ -145,7 +145,7 @@ SELECT e.event_id AS n, e.event_type AS kind, e.ts AS stamp,
   CASE WHEN e.event_id % 6 = 0 THEN NULL WHEN e.event_id % 10 = 1 THEN CONCAT('M', CAST(e.user_id + 1 AS STRING))
     ELSE CONCAT('M', CAST(e.user_id AS STRING)) END AS marque,
   CAST(e.value AS STRING) AS poids
-FROM {events} e JOIN {part} p ON p.p_partkey = e.event_id % 200""",
+FROM {events} e CROSS JOIN (SELECT COUNT(*) AS parts FROM {part}) n JOIN {part} p ON p.p_partkey = 1 + e.event_id % n.parts""",
     # a cleaned dataset over several years: captures and resightings of the same individuals
     "dataset": """
 SELECT o_orderkey AS id, c_custkey AS ring, CASE WHEN o_orderkey % 5 = 0 THEN 'BAGUAGE' ELSE 'CONTROLE' END AS obs,

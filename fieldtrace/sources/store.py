@@ -7,24 +7,21 @@ a re-read and not a recomputation.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
-
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables; a local session without one gets its own folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="fieldtrace-"))
-    return _OWN_DIR[0]
+    """Shared folder for stage tables: ``spark.checkpoint.dir``, or the warehouse where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete what was written when the driver ends."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -32,4 +29,5 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/fieldtrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,12 +13,6 @@ from fieldtrace.functions.jaro import jaro_distances
 from fieldtrace.operators import density, keyed, mixed, models, ranks, resample, resolve, spatial, timeline
 
 
-@pytest.fixture
-def hot(monkeypatch):
-    """Every key with more than ten rows counts as hot and is cut into slices."""
-    monkeypatch.setattr(keyed, "HOT_ROWS", 10)
-
-
 @pytest.fixture
 def blocks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -34,9 +28,9 @@ def skewed(spark, n=3000):
     return rows, spark.createDataFrame(rows, "id long, ring long, at long, k string")
 
 
-def test_attach_with_hot_keys(spark, hot):
+def test_attach_with_hot_keys(spark):
     rows, df = skewed(spark)
-    got = {r.id: r.n for r in keyed.add_count(df, ["ring"], "n", ["id"]).collect()}
+    got = {r.id: r.n for r in keyed.add_count(df, ["ring"], "n").collect()}
     sizes = {}
     for r in rows:
         sizes[r[1]] = sizes.get(r[1], 0) + 1
@@ -60,7 +54,7 @@ def gate(events):
 
 
 @pytest.mark.parametrize("unknown", [False, True])
-def test_timeline_gate(spark, hot, unknown):
+def test_timeline_gate(spark, unknown):
     rng = random.Random(5)
     kinds = ["BAGUAGE", "CONTROLE", "CONTROLE", "REPRISE"]
     events = [(i, 0 if i % 3 == 0 else rng.randrange(30), rng.randrange(90), rng.choice(kinds)) for i in range(900)]
@@ -88,7 +82,7 @@ def test_ranks_over_blocks(spark, blocks):
     assert total == expect
 
 
-def test_quantiles_over_blocks(spark, blocks, hot):
+def test_quantiles_over_blocks(spark, blocks):
     rows, df = skewed(spark)
     probs = [0, 1 / 7, 0.25, 0.5, 0.9, 1]
     got = {(r.ring, r.q_id): r.quantile for r in ranks.quantiles(df, ["ring"], "at", probs).collect()}
@@ -100,11 +94,84 @@ def test_quantiles_over_blocks(spark, blocks, hot):
             assert abs(got[(ring, i)] - np.quantile(values, p)) < 1e-9
 
 
-def test_nested_parts_are_bounded(spark):
+def test_nested_parts_are_full_and_in_order(spark):
     rows, df = skewed(spark)
-    packed = keyed.nested(df, ["ring"], ["at", "id"], max_rows=100, salt_by=["id"]).cache()
-    assert max(r.part_rows for r in packed.collect()) < 200
-    assert sorted(r.id for r in keyed.unnested(packed).collect()) == [r[0] for r in rows]
+    packed = keyed.nested(df, ["ring"], ["at", "id"], rows_per_part=100).collect()
+    by_ring = {}
+    for r in sorted(packed, key=lambda r: r.part):
+        by_ring.setdefault(r.ring, []).append(r)
+    for ring, parts in by_ring.items():
+        assert [p.part for p in parts] == list(range(len(parts)))
+        assert all(p.part_rows == len(p.data) == 100 for p in parts[:-1]) and 0 < parts[-1].part_rows <= 100
+        order = [(x["at"] is None, x["at"], x["id"]) for p in parts for x in p.data]
+        assert order == sorted(order)
+    assert sorted(x["id"] for p in packed for x in p.data) == [r[0] for r in rows]
+    again = keyed.unnested(keyed.nested(df, ["ring"], ["at", "id"], rows_per_part=64))
+    assert sorted(r.id for r in again.collect()) == [r[0] for r in rows]
+
+
+def test_running_total_with_missing_values(spark, blocks):
+    rows = [(i, None if i % 3 == 0 or i < 300 else 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    want, total = {}, None
+    for i, v in rows:
+        total = total if v is None else (total or 0) + v
+        want[i] = total
+    assert {r.id: r.s for r in ranks.running_total(df, [], ["id"], "v", "s").collect()} == want
+
+
+def test_binomial_fit_with_categories_of_no_and_only_successes(spark):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 2.0), ("b", 1.0, 1.0), ("c", 0.0, 1.0), ("c", 1.0, 3.0)], "g string, y double, w double")
+    fit = {r.g: r for r in models.group_fit(df, "g", "y", "w", "binomial").collect()}
+    assert (fit["a"].fit, fit["a"].link, fit["a"].se_link) == (0.0, None, None) and fit["b"].fit == 1.0
+    assert abs(fit["c"].fit - 0.75) < 1e-12 and abs(fit["c"].link - math.log(3)) < 1e-12
+    assert models.coefficients(models.group_fit(df, "g", "y", "w", "binomial"), "g").count() == 3
+
+
+def test_histogram_of_equal_values(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("a", None)], "g string, v double")
+    rows = density.histogram(df, ["g"], "v", bins=10).collect()
+    assert [(r.weight, r.density) for r in rows] == [(2.0, 1.0)]
+
+
+def test_densities_ignore_missing_values_and_need_no_groups(spark):
+    rows = [(i, float(i % 10), 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows + [(100 + i, None, 1.0) for i in range(50)] + [(200, 3.0, None)], "id long, v double, w double")
+    bare = spark.createDataFrame(rows, "id long, v double, w double")
+    for make in (lambda d: density.kernel_density(d, [], "v", "w"), lambda d: density.circular_density(d, [], "v", "w"),
+                 lambda d: density.positive_share(d, [], "v", "w")):
+        got, want = (sorted(map(tuple, make(d).collect())) for d in (df, bare))
+        assert np.allclose(got, want)
+    points = density.kernel_density(df, [], "v", "w").orderBy("x").collect()
+    assert abs(sum(p.density for p in points) * (points[1].x - points[0].x) - 1) < 1e-2
+    assert density.density_2d(bare.withColumn("u", F.col("id") % 7 * 1.0), [], "v", "u", ((0.0, 0.0), (10.0, 7.0)), points=10).count() > 0
+
+
+def test_draws_keep_weightless_sites_and_tiny_weights(spark):
+    birds = spark.createDataFrame([("s", 1), ("empty", 2), ("s", 3)], "site string, ring long")
+    choices = spark.createDataFrame([("s", "x", 1.0), ("s", "y", 1e-300), ("empty", "z", 0.0)], "site string, wb string, w double")
+    got = resample.weighted_draws(birds, choices, "site", "ring", "wb", "w", 5).collect()
+    assert sorted((r.ring, r.replicate) for r in got) == [(b, i) for b in (1, 2, 3) for i in range(1, 6)]
+    assert {r.wb for r in got if r.ring == 2} == {None} and {r.wb for r in got if r.ring != 2} <= {"x", "y"}
+
+
+def test_beta_with_replicates_at_the_ends(spark):
+    shares = spark.createDataFrame([("a", i, "East", p) for i, p in enumerate([0.4, 0.2, 0.0, 0.6, 0.9])] + [
+        ("b", i, "East", p) for i, p in enumerate([0.4, 0.2, 0.5, 0.6, 0.9])] + [("c", i, "East", 0.5) for i in range(4)],
+        "sp string, id int, axis string, prop double")
+    stats = {r.sp: r for r in resample.beta_statistics(shares, "sp").collect()}
+    assert (stats["a"].n, stats["a"].at_ends, stats["a"].log_p) == (4, 1, None) and stats["b"].at_ends == 0
+    assert abs(stats["b"].low - np.quantile([0.2, 0.5, 0.6, 0.9], 0.025)) < 1e-12
+    test = {r.sp: r for r in resample.tropism_test(shares, "sp").collect()}
+    assert test["a"].shape1 is None and test["c"].shape1 is None and test["b"].shape1 > 0
+
+
+def test_an_unfinished_fit_raises(spark):
+    rng = random.Random(2)
+    rows = [("a" if i % 2 else "b", i // 4, float(rng.random() < 0.3 + 0.3 * (i % 2)), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, ring long, y double, w double")
+    with pytest.raises(ArithmeticError):
+        mixed.random_intercept_fit(df, "g", "ring", "y", "w", "binomial", max_rounds=1)
 
 
 def test_fuzzy_join_loses_nothing(spark):
@@ -155,7 +222,7 @@ def test_nearest_feature_in_clusters(spark):
         assert abs(got[(x, y)] - best) < 1e-6, (x, y)
 
 
-def test_components_match_union_find(spark, hot):
+def test_components_match_union_find(spark):
     rng = random.Random(9)
     n = 300
     pairs = [(i, i + 1) for i in range(0, 120)] + [(200, j) for j in range(201, 260)]
@@ -192,7 +259,7 @@ def test_group_fits_equal_the_iterative_solver(spark, tables):
 
 def test_densities_and_weights_add_up(spark, tables):
     rows = tables.seasonal_orders.where("sp is not null").withColumn("v", F.col("dist_pt_km") / 1000)
-    d = density.kernel_density(rows, ["sp"], "v", "wgt_co", salt_by=["id"])
+    d = density.kernel_density(rows, ["sp"], "v", "wgt_co")
     for r in d.groupBy("sp").agg(F.sum("density").alias("s"), ((F.max("x") - F.min("x")) / 511).alias("h")).collect():
         assert abs(r.s * r.h - 1) < 5e-3
     h = density.histogram(rows, ["sp"], "v", "wgt_co", bins=10)
