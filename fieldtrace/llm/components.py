@@ -1,4 +1,8 @@
-"""Connected components of a table of links, and joins that stay balanced for hot keys."""
+"""Connected components of a table of links.
+
+Joins on a node meet one row per node, so a hub that holds a large part of the links makes one large partition on one side
+only, which adaptive execution splits.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,6 @@ from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import written
 
-SLICES = 16
-
-
-def join_spread(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join rows with a table of one row per key; each key's rows are spread over ``SLICES`` by a hash of column ``by``.
-
-    The one row of a key is repeated for each slice, so a key that holds a third of all rows is shared by many tasks.
-    """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(SLICES)))
-    spread = one.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
-    return sliced.join(spread, [key, "_slice"], how).drop("_slice")
-
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with a link; a component is named by its smallest node.
@@ -31,12 +23,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = join_spread(both.where(F.col("v") > F.col("u")), low, "u", "v").where(F.col("v") != F.col("m")).select(
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(low, "u").where(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_spread(large, low, "u", "v").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

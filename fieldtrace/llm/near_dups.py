@@ -14,15 +14,13 @@ compared or in one class, and no bucket is expanded into all its pairs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import Hashes, chunks, flat_text, mix, shingles, words, written
-from fieldtrace.llm.components import components, join_spread
+from fieldtrace.llm.components import components
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
@@ -33,6 +31,10 @@ AGREE = int(REGISTERS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGIS
 
 
 
+#: Pairs that a bucket may ask for in the first round, if its size is not more; four times as many in each round after.
+PAIRS_ASKED = 1024
+
+
 def _salt(i: int) -> np.uint64:
     return np.uint64((i * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
 
@@ -113,14 +115,8 @@ def _has_word(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
 
 
-@dataclass(frozen=True)
-class Classes:
-    rows: DataFrame  # key, text_key of every row that has a word
-    texts: DataFrame  # text_key, class_id, class_key, n_links of every distinct text
-
-
-def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Classes:
-    """Classes of near-duplicate texts among the rows that hold a word."""
+def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """text_key, first_key (the smallest), class_id, class_key, n_links of every distinct text that holds a word."""
     slim = docs.where(_has_word(text)).select(F.col(key).cast("long").alias("key"), _text_key(text).alias("text_key"), F.col(text).alias("text"))
 
     def sign(batches):
@@ -128,72 +124,70 @@ def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Cl
             flat, bounds = flat_text(batch.column("text"))
             sig = signatures(*weighted_shingles(flat, bounds), batch.num_rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column("key"), batch.column("text_key"), pa.array([s.tobytes() for s in sig], pa.binary()),
+                batch.column("key"), batch.column("text_key"), pa.array([s.astype(np.uint16).tobytes() for s in sig], pa.binary()),
                 pa.ListArray.from_arrays(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32), band_keys(sig).ravel())],
                 names=["key", "text_key", "signature", "bands"])
 
-    signed = written(slim.mapInArrow(sign, "key long, text_key binary, signature binary, bands array<long>"))
-    texts = written(signed.groupBy("text_key").agg(F.min("key").alias("first_key"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    links, classes = _links(texts, slim)
-    linked = links.select(F.col("a").alias("text_key")).unionAll(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(
-        F.count(F.lit(1)).alias("n_links"))
-    named = texts.select("text_key", "first_key").join(classes, F.col("text_key") == F.col("node"), "left").select(
-        "text_key", "first_key", F.coalesce("component", "text_key").alias("class_key"))
-    several = named.join(classes.select(F.col("component").alias("class_key")).distinct(), "class_key", "left_semi")
-    first = several.groupBy("class_key").agg(F.min("first_key").alias("class_id"))
-    members = join_spread(several, first, "class_key", "text_key").select("text_key", "class_key", "class_id")
-    result = named.join(members.select("text_key", "class_id", F.lit(True).alias("_in")), "text_key", "left").join(
-        linked, "text_key", "left").select(
-        "text_key", "class_key", F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("first_key")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return Classes(signed.select("key", "text_key"), written(result))
+    signed = slim.mapInArrow(sign, "key long, text_key binary, signature binary, bands array<long>")
+    texts = signed.groupBy("text_key").agg(F.min("key").alias("first_key"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()))
+    links, classes = _links(texts, slim.select("text_key", "text"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    several = texts.select("node", "text_key", "first_key").join(classes, "node")
+    first = several.groupBy("component").agg(F.min("first_key").alias("class_id"), F.min("text_key").alias("class_key"))
+    found = several.select("node", "component").join(first, "component").join(linked, "node").drop("component")
+    return written(texts.select("node", "text_key", "first_key").join(found, "node", "left").select(
+        "text_key", "first_key", F.when(F.col("class_key").isNotNull(), F.col("class_id")).otherwise(F.col("first_key")).alias("class_id"),
+        F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
 
 def _links(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links between texts (a, b) and the classes that they make (node, component)."""
     spark = texts.sparkSession
-    buckets = texts.select("text_key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(join_spread(buckets, shared, "bucket", "text_key").select("bucket", F.col("text_key").alias("node")))
-    links = spark.createDataFrame([], "a binary, b binary")
-    classes = spark.createDataFrame([], "node binary, component binary")
+    buckets = texts.select("node", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(buckets.join(sizes, "bucket"))
+    # The text that meets most others leads first: it is the likely origin of the copies around it.
+    rank = written(members.groupBy("node").agg(F.struct((-F.sum("size")).alias("less"), "node").alias("rank")))
+    members = written(members.select("bucket", "node", "size").join(rank, "node"))
+    wanted = rank.select("node").join(texts.select("node", "text_key"), "node")
+    full = written(slim.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text"))
+    links = spark.createDataFrame([], "a long, b long")
+    classes = spark.createDataFrame([], "node long, component long")
     led = None
-    slots = 1
+    pairs_asked = PAIRS_ASKED
     while True:
-        now = join_spread(members, classes, "node", "bucket", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component"))
+        now = members.join(classes, "node", "left").select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_now = written(join_spread(now, several, "bucket", "node"))
-        waiting = open_now if led is None else open_now.join(led, ["bucket", "node"], "left_anti")
-        leaders = written(waiting.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.min(F.struct("node", "component")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.component").alias("led_by")))
+        members = written(now.join(several, "bucket"))  # buckets of one class are done
+        waiting = members if led is None else members.join(led, ["bucket", "node"], "left_anti")
+        slots = F.greatest(F.lit(1), F.floor(F.lit(pairs_asked) / F.col("size")))  # few leaders in a large bucket, all in a small one
+        leaders = written(waiting.groupBy("bucket", F.pmod(F.xxhash64("node"), slots).alias("slot")).agg(
+            F.min(F.struct("rank", "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.component").alias("led_by")))
         if leaders.isEmpty():
             return links, classes
-        pairs = join_spread(open_now, leaders, "bucket", "node").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led_by"))).select(
+        pairs = members.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led_by"))).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        new = written(_verified(pairs, texts, slim))
-        links = links.unionByName(new)
-        classes = written(components(links, "a", "b"))
+        members = members.drop("component")
+        new = written(_verified(pairs, texts, full))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            classes = written(components(links, "a", "b"))
         done = leaders.select("bucket", F.col("leader").alias("node"))
         led = done if led is None else led.unionByName(done)
-        slots *= 8
+        pairs_asked *= 4
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, slim: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose registers agree well enough and whose shingles are as similar as asked."""
-    sig = texts.select(F.col("text_key").alias("k"), "signature")
-
     def agree(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            near = (x == y).sum(axis=1) >= AGREE
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
-    signed = pairs.join(sig.withColumnsRenamed({"k": "a", "signature": "sa"}), "a")
-    signed = join_spread(signed, sig.withColumnsRenamed({"k": "b", "signature": "sb"}), "b", "a").select("a", "b", "sa", "sb")
-    likely = written(signed.mapInArrow(agree, "a binary, b binary"))
-    wanted = likely.select(F.col("a").alias("text_key")).unionAll(likely.select(F.col("b").alias("text_key"))).distinct()
-    found = written(slim.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")))
+    signed = pairs.join(texts.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    likely = written(signed.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"))
 
     def compare(batches):
         for batch in batches:
@@ -206,9 +200,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, slim: DataFrame) -> DataFrame:
                 like = [probability_jaccard(x, y) >= SIMILARITY - 1e-9 for x, y in zip(*sets)]
                 yield part.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
-    with_a = join_spread(likely, found.withColumnsRenamed({"text_key": "a", "text": "ta"}), "a", "b")
-    both = join_spread(with_a, found.withColumnsRenamed({"text_key": "b", "text": "tb"}), "b", "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+    met = likely.join(full.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
+        full.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return met.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,8 +214,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     words is one shingle.  Null keys join classes like others but never name one that has a key; repeated rows
     each give a row; an empty table gives no rows; other columns are not read.
     """
-    classes = find_classes(docs, key, text)
-    with_words = join_spread(classes.rows, classes.texts, "text_key", "key").select(
+    rows = docs.where(_has_word(text)).select(F.col(key).cast("long").alias("key"), _text_key(text).alias("text_key"))
+    with_words = rows.join(find_classes(docs, key, text), "text_key").select(
         "key", "class_id", F.lower(F.hex("class_key")).alias("class_key"), "n_links")
     without = docs.where(~_has_word(text)).select(F.col(key).cast("long").alias("key"), F.col(key).cast("long").alias("class_id"),
                                                   F.lit(None).cast("string").alias("class_key"), F.lit(0).cast("long").alias("n_links"))
@@ -233,10 +227,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows without a word all stay; of repeated rows with one key and one text one stays.
     """
-    classes = find_classes(docs, key, text)
-    best = classes.rows.groupBy("text_key").agg(F.min("key").alias("key")).join(classes.texts.select("text_key", "class_key"), "text_key")
-    order = F.struct(F.col("key").isNull().alias("n"), "key", "text_key")
-    kept = best.groupBy("class_key").agg(F.min(order).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.text_key").alias("_text_key"))
+    order = F.struct(F.col("first_key").isNull().alias("n"), "first_key", "text_key")
+    kept = find_classes(docs, key, text).groupBy("class_key").agg(F.min(order).alias("k")).select(
+        F.col("k.first_key").alias("_key"), F.col("k.text_key").alias("_text_key"))
     marked = docs.where(_has_word(text)).withColumn("_text_key", _text_key(text)).withColumn("_key", F.col(key).cast("long"))
     # One text can hold a third of all rows; only rows that carry a kept key as well go on to be told apart.
     mine = marked.join(kept, (marked["_text_key"] == kept["_text_key"]) & marked["_key"].eqNullSafe(kept["_key"]), "left_semi")
