@@ -70,8 +70,8 @@ def any_per_group(t):
 
 
 @query("A12", """
-SELECT status, q_id, QUANTILE_CONT(wb_area_ha, q_id / 7e0) AS quantile FROM {lineitem_price}, (SELECT CAST(i AS INT) AS q_id FROM range(0, 8) r(i)) q
-GROUP BY status, q_id""".replace("QUANTILE_CONT(wb_area_ha, q_id / 7e0)", "ROUND(LIST_AGGREGATE([QUANTILE_CONT(wb_area_ha, [0, 1/7e0, 2/7e0, 3/7e0, 4/7e0, 5/7e0, 6/7e0, 1])[q_id + 1]], 'first'), 6)"))
+SELECT status, q_id, ROUND(LIST_AGGREGATE([QUANTILE_CONT(wb_area_ha, [0, 1/7e0, 2/7e0, 3/7e0, 4/7e0, 5/7e0, 6/7e0, 1])[q_id + 1]], 'first'), 6) AS quantile
+FROM {lineitem_price}, (SELECT CAST(i AS INT) AS q_id FROM range(0, 8) r(i)) q GROUP BY status, q_id""")
 def exact_quantiles(t):
     q = quantiles(t.lineitem_price, ["status"], "wb_area_ha", [k / 7 for k in range(8)])
     return q.select("status", "q_id", F.round("quantile", 6).alias("quantile"))

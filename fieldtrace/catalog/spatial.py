@@ -64,10 +64,10 @@ def angle_columns(t):
 
 
 @query("G8 P22 G10", """
-SELECT id, ROUND(700000 + r * SIN(g), 4) AS x, ROUND(12655612.0498755 - r * COS(g), 4) AS y FROM (
+SELECT id, ROUND(700000 + r * SIN(g), 3) AS x, ROUND(12655612.0498755 - r * COS(g), 3) AS y FROM (
   SELECT id, 11754255.42609608e0 * EXP(-0.7256077650532670e0 * LN(TAN(PI() / 4 + RADIANS(lat) / 2)
     * POW((1 - e * SIN(RADIANS(lat))) / (1 + e * SIN(RADIANS(lat))), e / 2))) AS r, 0.7256077650532670e0 * RADIANS(lon - 3) AS g
-  FROM (SELECT id, lon, lat, 0.0818191910428158e0 AS e FROM {geo_customers}) a) b""".replace("4) AS x", "3) AS x").replace("4) AS y", "3) AS y"))
+  FROM (SELECT id, lon, lat, 0.0818191910428158e0 AS e FROM {geo_customers}) a) b""")
 def lambert_projection(t):
     x, y = geo.to_lambert("lon", "lat")
     return t.geo_customers.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))

@@ -38,6 +38,7 @@ WATER_KINDS = {
 }
 
 
+# The spellings of the field tables, first match first.
 def country_name(c: str | Column) -> Column:
     """Country of an observation record, upper case without accents; missing means France."""
     c = plain_upper(c)

@@ -10,7 +10,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 # executors receive this module with the function and need no installed copy
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,4 +69,4 @@ def jaro_distance(left: str | Column, right: str | Column) -> Column:
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(jaro_distances(a.to_numpy(), b.to_numpy()))
 
-    return F.pandas_udf(batch, T.DoubleType(), PandasUDFType.SCALAR)(left, right)
+    return F.pandas_udf(batch, T.DoubleType())(left, right)

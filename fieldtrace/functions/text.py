@@ -88,6 +88,7 @@ def in_box(lon, lat, lon_range=(-90.0, 90.0), lat_range=(-90.0, 90.0)) -> Column
     return col(lon).between(*lon_range) & col(lat).between(*lat_range)
 
 
+# The codes of the field tables, first match first.
 def sex_code(c: str | Column) -> Column:
     return F.when(is_in(c, ["F", "Femelle"]), "fem").when(col(c) == "M", "mal").otherwise("ind")
 

@@ -50,7 +50,7 @@ def compare(spark, con, query, sf_dir):
     got = df.collect()
     sec = time.time() - t0
     if query.sql is None:
-        return True, "rows only", len(got), sec
+        return True, "rows only: it has no SQL", len(got), sec
     cur = con.execute(query.sql)
     cols = [c[0] for c in cur.description]
     if sorted(cols) != sorted(df.columns):
