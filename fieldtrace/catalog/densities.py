@@ -120,8 +120,8 @@ def _draws(t, replicates=REPLICATES):
 
 
 _DRAWS = f"""WITH {SITE_SQL},
-u AS (SELECT *, CAST(ROUND(wgt / SUM(wgt) OVER (PARTITION BY site_id) * 4503599627370496e0) AS BIGINT) AS units FROM c WHERE wgt > 0),
-v AS (SELECT *, CAST(SUM(units) OVER (PARTITION BY site_id ORDER BY wb_id) AS BIGINT) AS hi, CAST(SUM(units) OVER (PARTITION BY site_id) AS BIGINT) AS total FROM u WHERE units > 0),
+u AS (SELECT *, GREATEST(1, CAST(ROUND(wgt / SUM(wgt) OVER (PARTITION BY site_id) * 4503599627370496e0) AS BIGINT)) AS units FROM c WHERE wgt > 0),
+v AS (SELECT *, CAST(SUM(units) OVER (PARTITION BY site_id ORDER BY wb_id) AS BIGINT) AS hi, CAST(SUM(units) OVER (PARTITION BY site_id) AS BIGINT) AS total FROM u),
 q AS (SELECT id AS ring, co AS site_id, CAST(r.k AS INT) AS replicate,
   CAST('0x' || SUBSTR(MD5(CAST(co AS VARCHAR) || '|' || CAST(id AS VARCHAR) || '|' || CAST(r.k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496e0 AS x
   FROM {{geo_customers}}, range(1, {REPLICATES + 1}) r(k)),
@@ -150,19 +150,29 @@ def potential_and_realized(t):
     return _directions(t).select("sp", "ring", F.round("angle_deg", 6).alias("angle_deg"), "id", "migration", "wgt_co")
 
 
-@query("D6 F20 F19", density_sql(
+_SHARES = density_sql(
     "SELECT STRUCT_PACK(sp := sp, id := id, axis := axis) AS g, v, w FROM (" + _SIM + """ SELECT sp, id, 'East' AS axis, SIN(RADIANS(angle_deg)) AS v, wgt_co AS w FROM sim
       UNION ALL SELECT sp, id, 'North', COS(RADIANS(angle_deg)), wgt_co FROM sim) z""", 512, 512,
     "SELECT g, bw, -1e0 AS x0, 1e0 AS x1 FROM (" + _THUMB.format(adjust=1) + ") t",
-    """SELECT g.sp AS sp, CAST(g.id AS INT) AS id, g.axis AS axis, ROUND(SUM(CASE WHEN x > 0 THEN y ELSE 0 END) / SUM(y), 6) AS prop FROM y GROUP BY g"""))
+    "SELECT g.sp AS sp, CAST(g.id AS INT) AS id, g.axis AS axis, SUM(CASE WHEN x > 0 THEN y ELSE 0 END) / SUM(y) AS prop FROM y GROUP BY g")
+
+
+@query("D6 F20 F19", "SELECT sp, id, axis, ROUND(prop, 6) AS prop FROM (" + _SHARES + ") s")
 def axis_density_shares(t):
     shares = resample.axis_shares(_directions(t), "sp", "angle_deg", "wgt_co", "ring")
     return shares.select("sp", "id", "axis", F.round("prop", 6).alias("prop"))
 
 
-@query("M10 D7")
+@query("M10 D7", """
+SELECT sp, axis, COUNT(*) FILTER (id <> 0) AS n, COUNT(*) FILTER (id <> 0 AND NOT (prop > 0 AND prop < 1)) AS at_ends,
+  ROUND(AVG(CASE WHEN id <> 0 AND prop > 0 THEN LN(prop) END), 6) AS log_p, ROUND(AVG(CASE WHEN id <> 0 AND prop < 1 THEN LN(1 - prop) END), 6) AS log_q,
+  ROUND(AVG(prop) FILTER (id <> 0), 6) AS mean, ROUND(VAR_SAMP(prop) FILTER (id <> 0), 9) AS var,
+  ROUND(QUANTILE_CONT(prop, 0.025) FILTER (id <> 0), 6) AS low, ROUND(QUANTILE_CONT(prop, 0.975) FILTER (id <> 0), 6) AS high,
+  ROUND(MAX(prop) FILTER (id = 0), 6) AS realized FROM (""" + _SHARES + ") s GROUP BY sp, axis")
 def beta_sufficient_statistics(t):
-    return resample.beta_statistics(resample.axis_shares(_directions(t), "sp", "angle_deg", "wgt_co", "ring"), "sp")
+    stats = resample.beta_statistics(resample.axis_shares(_directions(t), "sp", "angle_deg", "wgt_co", "ring"), "sp")
+    return stats.select("sp", "axis", "n", "at_ends", F.round("var", 9).alias("var"),
+                        *[F.round(c, 6).alias(c) for c in ("log_p", "log_q", "mean", "low", "high", "realized")])
 
 
 @query("D7 M10")
@@ -170,12 +180,19 @@ def tropism_test(t):
     return resample.tropism_test(resample.axis_shares(_directions(t), "sp", "angle_deg", "wgt_co", "ring"), "sp")
 
 
-@query("D8")
+@query("D8", density_sql(
+    "SELECT STRUCT_PACK(sp := sp, axis := axis) AS g, prop AS v, 1e0 AS w FROM (" + _SHARES + ") s WHERE id <> 0", 512, 512,
+    "SELECT g, bw, lo - 3 * bw AS x0, hi + 3 * bw AS x1 FROM (" + _THUMB.format(adjust=2) + ") t",
+    """SELECT y.g.sp AS sp, y.g.axis AS axis, k AS point, ROUND(x, 6) AS x, ROUND(y / n, 5) AS density, ROUND(r.prop, 6) AS realized
+    FROM y JOIN (SELECT g, COUNT(*) AS n FROM rows GROUP BY g) q ON q.g = y.g
+    LEFT JOIN (SELECT * FROM (""" + _SHARES + ") s WHERE id = 0) r ON r.sp IS NOT DISTINCT FROM y.g.sp AND r.axis = y.g.axis"))
 def replicate_density(t):
     shares = staged(resample.axis_shares(_directions(t), "sp", "angle_deg", "wgt_co", "ring"))
     curve = density.kernel_density(shares.where(F.col("id") != 0), ["sp", "axis"], "prop", adjust=2.0)
     seen = shares.where(F.col("id") == 0).select("sp", "axis", F.col("prop").alias("realized"))
-    return natural_join(curve, seen, "left", on=["sp", "axis"])
+    both = natural_join(curve, seen, "left", on=["sp", "axis"])
+    return both.select("sp", "axis", "point", F.round("x", 6).alias("x"), F.round("density", 5).alias("density"),
+                       F.round("realized", 6).alias("realized"))
 
 
 @query("O3 D1 F12", """
