@@ -84,25 +84,40 @@ def circular_density(t):
     return d.select("sp", "point", F.round("angle_deg", 6).alias("angle_deg"), F.round("density", 9).alias("density"))
 
 
-@query("D4 G8 J16")
+def grid_sql(points: str, box, n: int) -> str:
+    """SQL of the relative density of ``points(g, x, y)`` on n x n cells over ``box``, counted four times finer first."""
+    sx, sy = (f"({box[1][i]}e0 - {box[0][i]}e0) / {4 * (n - 1)}" for i in (0, 1))
+    reach = lambda i, bw, step: f"BETWEEN FLOOR(({i} - 8.5e0 * {bw} / ({step})) / 4) AND CEIL(({i} + 8.5e0 * {bw} / ({step})) / 4)"
+    return f"""
+WITH g AS (SELECT * FROM ({points}) w WHERE x BETWEEN {box[0][0]} AND {box[1][0]} AND y BETWEEN {box[0][1]} AND {box[1][1]}),
+p AS (SELECT g, 1.06e0 * LEAST(STDDEV_SAMP(x), (QUANTILE_CONT(x, .75) - QUANTILE_CONT(x, .25)) / 1.34) * POW(COUNT(*), -0.2) AS bx,
+  1.06e0 * LEAST(STDDEV_SAMP(y), (QUANTILE_CONT(y, .75) - QUANTILE_CONT(y, .25)) / 1.34) * POW(COUNT(*), -0.2) AS bt FROM g GROUP BY g),
+a AS (SELECT g, (x - {box[0][0]}e0) / ({sx}) AS ax, (y - {box[0][1]}e0) / ({sy}) AS ay FROM g),
+b AS (SELECT g, ix, iy, SUM(m) AS m FROM (SELECT g, FLOOR(ax) + dx AS ix, FLOOR(ay) + dy AS iy,
+    ABS(1 - dx - (ax - FLOOR(ax))) * ABS(1 - dy - (ay - FLOOR(ay))) AS m FROM a, (VALUES (0), (1)) u(dx), (VALUES (0), (1)) v(dy)) z GROUP BY 1, 2, 3),
+c AS (SELECT b.g, iy, kx, SUM(m * EXP(-0.5 * POW((kx * 4 - ix) * ({sx}) / bx, 2)) / bx) AS m FROM b JOIN p ON b.g = p.g, range(0, {n}) r(kx)
+  WHERE kx {reach('ix', 'bx', sx)} GROUP BY 1, 2, 3),
+e AS (SELECT c.g, kx, ky, SUM(m * EXP(-0.5 * POW((ky * 4 - iy) * ({sy}) / bt, 2)) / bt) AS m FROM c JOIN p ON c.g = p.g, range(0, {n}) s(ky)
+  WHERE ky {reach('iy', 'bt', sy)} GROUP BY 1, 2, 3),
+f AS (SELECT g AS grp, CAST(kx AS INT) AS kx, CAST(ky AS INT) AS ky, m / MAX(m) OVER (PARTITION BY g) AS nd FROM e)
+SELECT grp, kx, ky, ROUND(nd, 6) AS ndensity, CASE WHEN nd >= 1 THEN 1e0 WHEN nd >= .8 THEN .8e0 WHEN nd >= .5 THEN .5e0 WHEN nd >= .1 THEN .1e0 WHEN nd >= .01 THEN .01e0 END AS level FROM f"""
+
+
+_FRANCE_BOX = ((-502924.178, 5415141.481), (1664384.432, 7640147.180))
+
+
+@query("D4 G8 J16", grid_sql("""SELECT g, 700000 + r * SIN(t) AS x, 12655612.0498755 - r * COS(t) AS y FROM (
+  SELECT g, 11754255.42609608e0 * EXP(-0.7256077650532670e0 * LN(TAN(PI() / 4 + RADIANS(lat) / 2)
+    * POW((1 - e * SIN(RADIANS(lat))) / (1 + e * SIN(RADIANS(lat))), e / 2))) AS r, 0.7256077650532670e0 * RADIANS(lon - 3) AS t
+  FROM (SELECT CAST(co % 3 AS INT) AS g, lon, lat, 0.0818191910428158e0 AS e FROM {geo_customers}) l) k""", _FRANCE_BOX, 100))
 def density_2d_classes(t):
     x, y = to_lambert("lon", "lat")
-    rows = t.geo_customers.select("id", (F.col("co") % 3).alias("month"), x.alias("x"), y.alias("y"))
-    box = ((-502924.178, 5415141.481), (1664384.432, 7640147.180))
-    return density.density_2d(rows, ["month"], "x", "y", box)
+    rows = t.geo_customers.select("id", (F.col("co") % 3).cast("int").alias("grp"), x.alias("x"), y.alias("y"))
+    d = density.density_2d(rows, ["grp"], "x", "y", _FRANCE_BOX)
+    return d.select("grp", "kx", "ky", F.round("ndensity", 6).alias("ndensity"), "level")
 
 
-@query("D4 J16", """
-WITH g AS (SELECT id, CAST(co % 3 AS INT) AS g, lon, lat FROM {geo_customers}),
-p AS (SELECT g, 1.06e0 * LEAST(STDDEV_SAMP(lon), (QUANTILE_CONT(lon, .75) - QUANTILE_CONT(lon, .25)) / 1.34) * POW(COUNT(*), -0.2) AS bx,
-  1.06e0 * LEAST(STDDEV_SAMP(lat), (QUANTILE_CONT(lat, .75) - QUANTILE_CONT(lat, .25)) / 1.34) * POW(COUNT(*), -0.2) AS bt FROM g GROUP BY g),
-a AS (SELECT g, (lon + 10) / (28e0 / 76) AS ax, (lat - 35) / (20e0 / 76) AS ay FROM g),
-b AS (SELECT g, ix, iy, SUM(m) AS m FROM (SELECT g, FLOOR(ax) + dx AS ix, FLOOR(ay) + dy AS iy,
-    ABS(1 - dx - (ax - FLOOR(ax))) * ABS(1 - dy - (ay - FLOOR(ay))) AS m FROM a, (VALUES (0), (1)) u(dx), (VALUES (0), (1)) v(dy)) z GROUP BY 1, 2, 3),
-c AS (SELECT b.g, iy, kx, SUM(m * EXP(-0.5 * POW((kx * 4 - ix) * (28e0 / 76) / bx, 2)) / bx) AS m FROM b JOIN p ON b.g = p.g, range(0, 20) r(kx) GROUP BY 1, 2, 3),
-e AS (SELECT c.g, kx, ky, SUM(m * EXP(-0.5 * POW((ky * 4 - iy) * (20e0 / 76) / bt, 2)) / bt) AS m FROM c JOIN p ON c.g = p.g, range(0, 20) s(ky) GROUP BY 1, 2, 3),
-f AS (SELECT g AS grp, CAST(kx AS INT) AS kx, CAST(ky AS INT) AS ky, m / MAX(m) OVER (PARTITION BY g) AS nd FROM e)
-SELECT grp, kx, ky, ROUND(nd, 6) AS ndensity, CASE WHEN nd >= 1 THEN 1e0 WHEN nd >= .8 THEN .8e0 WHEN nd >= .5 THEN .5e0 WHEN nd >= .1 THEN .1e0 WHEN nd >= .01 THEN .01e0 END AS level FROM f""")
+@query("D4 J16", grid_sql("SELECT CAST(co % 3 AS INT) AS g, lon AS x, lat AS y FROM {geo_customers}", REPORT_BOX, 20))
 def density_2d_cells(t):
     rows = t.geo_customers.withColumn("grp", (F.col("co") % 3).cast("int"))
     d = density.density_2d(rows, ["grp"], "lon", "lat", REPORT_BOX, points=20)
