@@ -103,9 +103,21 @@ def _directed(t):
     return t.seasonal_orders.where(F.col("sp").isNotNull()).withColumn("angle", (F.col("id") * 37) % 150 + F.lit(20.0))
 
 
-@query("M7")
+# The ratio of Bessel functions as a sum over the circle; its inverse by halving an interval.
+_CIRCLE = "LIST_TRANSFORM(RANGE(0, 720), lambda j: {0} * EXP((lo + hi) / 2 * (COS(j * PI() / 360) - 1)))"
+_VON_MISES = """
+WITH RECURSIVE m AS (SELECT sp, CASE WHEN ATAN2(s, c) < 0 THEN ATAN2(s, c) + 2 * PI() ELSE ATAN2(s, c) END AS mu, SQRT(s * s + c * c) / w AS r
+  FROM (SELECT sp, SUM(wgt_co) AS w, SUM(wgt_co * SIN(a)) AS s, SUM(wgt_co * COS(a)) AS c
+    FROM (SELECT sp, wgt_co, RADIANS((id * 37) % 150 + 20e0) AS a FROM {seasonal_orders} WHERE sp IS NOT NULL) x GROUP BY sp) y),
+b AS (SELECT sp, r, 0e0 AS lo, 1000e0 AS hi, 0 AS i FROM m UNION ALL
+  SELECT sp, r, CASE WHEN a < r THEN (lo + hi) / 2 ELSE lo END, CASE WHEN a < r THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, LIST_SUM(""" + _CIRCLE.format("COS(j * PI() / 360)") + ") / LIST_SUM(" + _CIRCLE.format("1") + """) AS a FROM b WHERE i < 60) z),
+f AS (SELECT m.sp, mu, m.r AS resultant, (lo + hi) / 2 AS kappa FROM b JOIN m ON m.sp = b.sp WHERE i = 60)"""
+
+
+@query("M7", _VON_MISES + " SELECT sp, ROUND(mu, 6) AS mu, ROUND(resultant, 6) AS resultant, ROUND(kappa, 6) AS kappa FROM f")
 def von_mises_concentration(t):
-    return models.von_mises_fit(_directed(t), "sp", "angle", "wgt_co")
+    return models.von_mises_fit(_directed(t), "sp", "angle", "wgt_co").select("sp", *_R("mu", "resultant", "kappa"))
 
 
 @query("M8 F16", _GAMMA + """, g AS (SELECT sp, mu / 1000 AS mu, disp, (i + 0.5) * 5e0 AS x FROM m, d, range(0, 400) r(i)),
@@ -117,9 +129,12 @@ def fitted_gamma_curve(t):
     return models.gamma_curve(fit, "sp", 2000.0, 400).select("sp", "x", F.round("density", 9).alias("density"))
 
 
-@query("M8")
+@query("M8", _VON_MISES + """
+SELECT sp, x, ROUND(d / SUM(d) OVER (PARTITION BY sp), 9) AS density FROM (
+  SELECT sp, k + 0.5e0 - 180 AS x, EXP(kappa * (COS(RADIANS(k + 0.5e0 - 180) - mu) - 1)) AS d FROM f, range(0, 360) q(k)) z""")
 def fitted_von_mises_curve(t):
-    return models.von_mises_curve(models.von_mises_fit(_directed(t), "sp", "angle", "wgt_co"), "sp", 360)
+    curve = models.von_mises_curve(models.von_mises_fit(_directed(t), "sp", "angle", "wgt_co"), "sp", 360)
+    return curve.select("sp", "x", F.round("density", 9).alias("density"))
 
 
 @query("M11 A5 A13 W11 J2", """
