@@ -166,7 +166,7 @@ SELECT id, l_linenumber, bin, wgt * 1e6 / COUNT(*) OVER (PARTITION BY bin) AS sh
 def habitat_size_weights(t):
     p = t.lineitem_price
     bins = models.occupied_bins(p.where(F.col("status") == "occupied"), p, "wb_area_ha")
-    h = models.habitat_weights(bins, p, "wb_area_ha", ["id", "l_linenumber", "wb_area_ha"])
+    h = models.habitat_weights(bins, p, "wb_area_ha")
     return h.select("id", "l_linenumber", "bin", (F.col("wgt_area") * 1e6).alias("share"))
 
 
