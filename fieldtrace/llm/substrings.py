@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import Hashes, chunks, flat_text, written
-from fieldtrace.llm.components import join_spread
 
 LENGTH, K = 200, 32
-#: Different blocks of an anchor that one task sorts; beyond, windows are counted instead.
-GROUP_BLOCKS = 2_000
+#: Different blocks of an anchor that one task sorts, about 3 MB; beyond, windows are counted instead, which costs a row each.
+GROUP_BLOCKS = 10_000
 #: Bytes of blocks that are sorted at a time, and windows of a text that are worked on at a time.
 SORT_BYTES, SEGMENT = 1 << 21, 1 << 22
 _PLACE_BITS = np.uint64(24)
@@ -119,72 +118,90 @@ _RANGES = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
 _RANGES_DDL = "array<struct<f:int,t:int>>"
 
 
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", earlier: bool = True) -> tuple[DataFrame, DataFrame]:
     """(source, spans): the rows as key, text_key, text, and per row with repeats its spans of windows.
 
-    A span has the first window, the number of windows and two lists of window ranges: those that occur elsewhere (``any``)
-    and those that occur earlier (``later``), in the order of key, then of text.
+    A span is the first window times 256 plus the number of windows; these occur at an earlier place in the order of key, then
+    of text, or without ``earlier`` at any other place.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)).alias("text_key"),
                          F.coalesce(text, F.lit("")).alias("text"))
 
     def cut(batches):
         for batch in chunks(batches, "text"):
+            docs_, keys, text_keys = batch.column("doc"), batch.column("key"), batch.column("text_key")
+            none = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([docs_, keys, text_keys, none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
+                                              none.cast(pa.int64())], names=names)
             for flat, bounds, rows, offset in _segments(batch):
                 row, low, count, anchor, content = blocks_of(flat, bounds)
                 if len(row):
-                    where = pa.array(rows[row])
+                    none = pa.nulls(len(row))
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("key").take(where), batch.column("text_key").take(where), pa.array(low + offset[row]),
-                        pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                        names=["key", "text_key", "low", "n", "anchor", "content"])
-
-    blocks = written(source.mapInArrow(cut, "key long, text_key binary, low long, n int, anchor long, content long"))
+                        docs_.take(pa.array(rows[row])), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(low + offset[row]),
+                        pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=names)
+
+    names = ["doc", "key", "text_key", "low", "n", "anchor", "content"]
+    made = written(source.withColumn("doc", F.monotonically_increasing_id()).mapInArrow(
+        cut, "doc long, key long, text_key binary, low long, n int, anchor long, content long"))  # a row for each text, then its blocks
+    blocks = made.where("n is not null").select("doc", "low", "n", "anchor", "content")
+    who = made.where("n is null").select("doc", "key", "text_key")
     seen = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    rows = written(join_spread(blocks, seen.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor", "text_key"))
-    place = F.struct("key", "text_key", "low")
-    kinds = written(rows.groupBy("anchor", "content").agg(F.first("n").alias("n"), F.first("mixed").alias("mixed"),
-                                                          F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")))
-    mixed = kinds.where("mixed")
-    sizes = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    sized = written(join_spread(mixed, sizes, "anchor", "content"))
-    found = _sorted(source, sized.where(F.col("kinds") <= GROUP_BLOCKS)).unionByName(
-        _counted(source, sized.where(F.col("kinds") > GROUP_BLOCKS)))
-    whole = F.array(F.struct(F.lit(0).alias("f"), F.col("n").alias("t")))
-    none = F.array().cast(_RANGES_DDL)
-    told = kinds.join(found, ["anchor", "content"], "left").select(
-        F.col("anchor").alias("a"), F.col("content").alias("c"), "first", F.coalesce("any", whole).alias("any"), F.coalesce("later", none).alias("later"))
-    told = told.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    spread = rows.withColumn("s", F.pmod(F.xxhash64("text_key", "key"), F.lit(16)))
-    met = spread.join(told, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")) & (F.col("s") == F.col("_slice")))
-    is_first = (F.col("first.key").eqNullSafe(F.col("key"))) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.low") == F.col("low"))
-    spans = met.where(F.size("any") > 0).select("key", "text_key", F.struct(
-        "low", "any", F.when(is_first, F.col("later")).otherwise(F.array(F.struct(F.lit(0).alias("f"), F.col("n").alias("t")))).alias("later")).alias("span"))
-    return source, spans.groupBy("key", "text_key").agg(F.collect_list("span").alias("spans"))
+    rows = written(blocks.join(seen.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"))
+
+    alike, mixed = rows.where("not mixed").drop("mixed"), rows.where("mixed").drop("mixed")
+    if earlier:
+        alike, mixed = alike.join(who, "doc"), mixed.join(who, "doc")
+    kind = mixed.groupBy("anchor", "content").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"),
+                                                  F.min(F.struct(*(["key", "text_key"] if earlier else []), "doc", "low")).alias("first"))
+    sizes = mixed.groupBy("anchor").agg(F.approx_count_distinct("content").alias("kinds"))
+    kinds = written(kind.join(sizes, "anchor"))
+    content = _content(source, kinds.join(who.withColumnsRenamed({"doc": "d", "key": "k", "text_key": "tk"}), F.col("first.doc") == F.col("d")))
+    found = _sorted(content.where(F.col("kinds") <= GROUP_BLOCKS))
+    if not kinds.where(F.col("kinds") > GROUP_BLOCKS).isEmpty():
+        found = found.unionByName(_counted(content.where(F.col("kinds") > GROUP_BLOCKS)))
+    told = kinds.select("anchor", "content", "first").join(found, ["anchor", "content"])
+    every = F.array(F.struct(F.lit(0).alias("f"), F.col("n").alias("t")))
+    all_of = F.col("low") * 256 + F.col("n")  # a block has at most LENGTH - K + 1 windows
+    met = mixed.join(told, ["anchor", "content"])
+    if earlier:
+        first = alike.groupBy("anchor").agg(F.min(F.struct("key", "text_key", "doc", "low")).alias("first"))
+        whole = alike.join(first, "anchor").where(F.struct("doc", "low") != F.struct("first.doc", "first.low")).select("doc", all_of.alias("span"))
+        is_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.low") == F.col("low"))
+        part = met.select("doc", "low", F.when(is_first, F.col("later")).otherwise(every).alias("ranges"))
+    else:
+        whole = alike.select("doc", all_of.alias("span"))
+        part = met.select("doc", "low", F.col("any").alias("ranges"))
+    part = part.select("doc", "low", F.explode("ranges").alias("r")).select(
+        "doc", ((F.col("low") + F.col("r.f")) * 256 + F.col("r.t") - F.col("r.f")).alias("span"))
+    spans = whole.unionByName(part).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    # Rows that are equal in key and text are one text here: what any of them loses, each loses.
+    return source, spans.join(who, "doc").groupBy("key", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _content(source: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The bytes of one copy of each block."""
-    wanted = kinds.select("first.key", "first.text_key", F.struct("anchor", "content", F.col("first.low").alias("low"), "n").alias("x")).groupBy(
-        "key", "text_key").agg(F.collect_list("x").alias("wanted")).withColumnsRenamed({"key": "k", "text_key": "tk"})
+    """anchor, content, kinds, copies, low, key, text_key, data: the bytes of one copy of each block, repeated where a row is repeated."""
+    wanted = kinds.select("k", "tk", F.struct("anchor", "content", "kinds", "copies", F.col("first.low").alias("low"), "n").alias("x")).groupBy("k", "tk").agg(F.collect_list("x").alias("wanted"))
+    whole = ["anchor", "content", "kinds", "copies", "low"]
 
     def take(batches):
         for batch in chunks(batches, "text"):
-            anchor, content, data = [], [], []
-            for t, wants in zip(batch.column("text").cast(pa.large_string()).cast(pa.large_binary()), batch.column("wanted").to_pylist()):
-                t = t.as_py()
-                for x in wants:
-                    anchor.append(x["anchor"])
-                    content.append(x["content"])
-                    data.append(t[x["low"]:x["low"] + x["n"] - 1 + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(data, pa.binary())],
-                                             names=["anchor", "content", "data"])
-
-    met = source.join(wanted, source["key"].eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("tk"))).select("text", "wanted")
-    return met.mapInArrow(take, "anchor long, content long, data binary")
-
-
-def _sorted(source: DataFrame, kinds: DataFrame) -> DataFrame:
+            lists = batch.column("wanted")
+            wants = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            low, n = wants.field("low").to_numpy(), wants.field("n").to_numpy()
+            flat, bounds = flat_text(batch.column("text"))
+            data = flat.tobytes()
+            at = bounds[owner] + low
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([wants.field(c) for c in whole] + [batch.column("key").take(of), batch.column("text_key").take(of), pa.array([data[a:b] for a, b in zip(at.tolist(), (at + n - 1 + LENGTH).tolist())], pa.binary())],
+                names=[*whole, "key", "text_key", "data"])
+
+    met = source.join(wanted, source["key"].eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("tk"))).select("key", "text_key", "text", "wanted")
+    return met.mapInArrow(take, "anchor long, content long, kinds long, copies long, low long, key long, text_key binary, data binary")
+
+
+def _sorted(content: DataFrame) -> DataFrame:
     """Ranges of repeated windows of each block by suffix order; all blocks of an anchor are in one partition."""
     def lots(batches):
         held, size = [], 0
@@ -196,12 +213,14 @@ def _sorted(source: DataFrame, kinds: DataFrame) -> DataFrame:
                     yield pa.Table.from_batches(held)
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
-                size += sum(len(x) for x in held[-1].column("data").to_pylist())
+                size += (b - a) * 2 * LENGTH
         if held:
             yield pa.Table.from_batches(held)
 
     def sort(batches):
         for lot in lots(batches):
+            once = np.flatnonzero(np.append(True, np.diff(lot["content"].to_numpy()) != 0))  # a repeated row brings its blocks twice
+            lot = lot.take(pa.array(once))
             pieces = lot["data"].to_pylist()
             counts = np.array([len(p) - LENGTH + 1 for p in pieces])
             begins = np.concatenate([[0], np.cumsum(counts + LENGTH - 1)[:-1]])
@@ -210,42 +229,36 @@ def _sorted(source: DataFrame, kinds: DataFrame) -> DataFrame:
                 lot["anchor"].combine_chunks(), lot["content"].combine_chunks(), pa.array(_ranges(any_, counts), _RANGES),
                 pa.array(_ranges(later, counts), _RANGES)], names=["anchor", "content", "any", "later"])
 
-    data = _content(source, kinds).dropDuplicates(["anchor", "content"])
-    rows = kinds.select("anchor", "content", "copies", "first").join(data, ["anchor", "content"])
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "first").select("anchor", "content", "copies", "data").mapInArrow(
+    return content.drop("kinds").repartition("anchor").sortWithinPartitions("anchor", "key", "text_key", "low").mapInArrow(
         sort, f"anchor long, content long, any {_RANGES_DDL}, later {_RANGES_DDL}")
 
 
-def _counted(source: DataFrame, kinds: DataFrame) -> DataFrame:
+def _counted(content: DataFrame) -> DataFrame:
     """The same for anchors with very many blocks: windows are rows, counted by anchor and hash."""
     def windows(batches):
         for batch in batches:
             for part in batch.to_pylist():
                 flat = np.frombuffer(part["data"], np.uint8)
                 at = np.arange(len(flat) - LENGTH + 1)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(at), part["anchor"])), pa.array(np.full(len(at), part["content"])), pa.array(at.astype(np.int32)),
-                    pa.array(Hashes(flat, lower=False).of(at, at + LENGTH).view(np.int64))], names=["anchor", "content", "at", "window"])
-
-    data = _content(source, kinds).dropDuplicates(["anchor", "content"])
-    rows = data.mapInArrow(windows, "anchor long, content long, at int, window long").join(
-        kinds.select("anchor", "content", "copies", "first"), ["anchor", "content"])
-    rows = rows.withColumn("place", F.struct("first", "at"))
+                same = [pa.array(np.full(len(at), part[c])) for c in ("anchor", "content", "copies", "low")]
+                same += [pa.array([part[c]] * len(at), kind) for c, kind in (("key", pa.int64()), ("text_key", pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at.astype(np.int32)), pa.array(Hashes(flat, lower=False).of(
+                    at, at + LENGTH).view(np.int64))], names=["anchor", "content", "copies", "low", "key", "text_key", "at", "window"])
+
+    rows = content.dropDuplicates(["anchor", "content"]).mapInArrow(
+        windows, "anchor long, content long, copies long, low long, key long, text_key binary, at int, window long")
+    rows = rows.withColumn("place", F.struct("key", "text_key", "low", "at"))
     counts = rows.groupBy("anchor", "window").agg(F.sum("copies").alias("times"), F.min("place").alias("earliest")).where("times > 1")
-    counts = counts.withColumnsRenamed({"anchor": "a", "window": "w"}).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    met = rows.withColumn("s", F.pmod(F.xxhash64("content"), F.lit(16))).join(
-        counts, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("w")) & (F.col("s") == F.col("_slice")))
     one = F.struct(F.col("at").alias("f"), (F.col("at") + 1).alias("t"))
-    none = F.array().cast(_RANGES_DDL)
-    return kinds.select("anchor", "content").join(met.groupBy("anchor", "content").agg(
-        F.sort_array(F.collect_list(one)).alias("any"), F.sort_array(F.collect_list(F.when(F.col("place") != F.col("earliest"), one))).alias("later")),
-        ["anchor", "content"], "left").select("anchor", "content", F.coalesce("any", none).alias("any"), F.coalesce("later", none).alias("later"))
+    return rows.join(counts, ["anchor", "window"]).groupBy("anchor", "content").agg(
+        F.sort_array(F.collect_list(one)).alias("any"), F.sort_array(F.collect_list(F.when(F.col("place") != F.col("earliest"), one))).alias("later"))
 
 
-def _removed(spans: list[dict] | None, kind: str) -> list[tuple[int, int]]:
+def _removed(spans: list[int] | None) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by the windows of the spans."""
     out: list[list[int]] = []
-    for s, e in sorted((x["low"] + r["f"], x["low"] + r["t"] - 1 + LENGTH) for x in spans or () for r in x[kind]):
+    for x in sorted(spans or ()):
+        s, e = x >> 8, (x >> 8) + (x & 255) - 1 + LENGTH
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -261,8 +274,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     of text.  Texts below 200 bytes stay whole.  Rows that are equal in key and text get one result.  An empty table
     gives no rows; other columns are not read.
     """
-    source, spans = find_repeats(docs, key, text)
-    kind = "later" if keep_first else "any"
+    source, spans = find_repeats(docs, key, text, keep_first)
     schema = pa.schema([("key", pa.int64()), *[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def cut(batches):
@@ -270,7 +282,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
             rows = []
             for t, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 data = t.encode()
-                gone = _removed(found, kind)
+                gone = _removed(found)
                 kept = b"".join(data[a:b] for a, b in zip([0, *[e for _, e in gone]], [*[s for s, _ in gone], len(data)]))
                 rows.append((len(data), len(data) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
