@@ -2,13 +2,12 @@
 
 A block of text around a word that license notices use is compressed alone and with each template as a raw zstandard
 dictionary: the template that saves most bytes describes the block best.  The best few are then compared word by word, and
-one is confirmed only if its wording stands in the block with all words that name the license.
+one is confirmed only if its wording stands around that word with all words that name the license.  Line ends and the marks of comments are gaps between words.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,17 +43,44 @@ TEMPLATES = {
     "Proprietary": ["{All} {rights} {reserved}."],
     "Unlicense": ["This is free and {unencumbered} software released into the {public} {domain}."],
 }
-#: Every template holds one of these; a block is what stands around one, up to the line's ends.  A word of a text leads to
+#: The end of a line and what stands before the next line's words: space, marks of a comment, words that are such marks.
+_LINE = r"\r?\n[^\S\n]*(?:[^\w\s]{1,4}[^\S\n]*|(?:dnl|rem|c)[^\S\n]+)?"
+_TAIL = r"(?:[^\S\n]+[^\w\s]{1,4})?[^\S\n]*"  # what a boxed comment has at the line's end
+_GAP = rf"(?:{_TAIL}{_LINE}|[^\S\n]+)"
+#: Every template holds one of these; a block is what stands around one, up to a blank line.  A word of a text leads to
 #: the templates that hold the same.
-_TRIGGER = re.compile(r"licen[cs]e|CC0|redistribution|permission|public license|rights reserved|public domain", re.IGNORECASE)
-REACH = 400  # characters of a block to each side of the trigger
+_TRIGGER = re.compile(rf"licen[cs]e|CC0|redistribution|permission|public{_GAP}licen[cs]e|rights{_GAP}reserved|public{_GAP}domain", re.IGNORECASE)
+REACH = 400  # characters of a block to each side of the trigger, line ends and marks of comments not counted
+RAW_REACH = 10 * REACH  # the same with them
 CANDIDATES = 6  # templates compared word by word, ranked by the bytes they save
 DIFFERENT_SHARE = 0.25  # of a template's words that may differ if none of them names the license
-_WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_LINE_END = re.compile(_LINE, re.IGNORECASE)
+_BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
+_BROKEN = re.compile(rf"-{_TAIL}{_LINE}", re.IGNORECASE)
+#: A word, which may go on after a hyphen at the end of a line; a mark of a comment at the start of a line is none.
+_WORD = re.compile(rf"(?:(?<=\n)[^\S\n]*(?:dnl|rem|c)[^\S\n]+)|([^\W_]+(?:(?:[.\-]|{_BROKEN.pattern})[^\W_]+)*)", re.IGNORECASE)
 
 
 def _plain(trigger: str) -> str:
-    return trigger.lower().replace("licence", "license")
+    return re.sub(r"[^a-z0-9]+(?:(?:dnl|rem|c)\s+)?", " ", trigger.lower()).replace("licence", "license")
+
+
+def _words(text: str) -> list[tuple[str, int, int]]:
+    """Words in small letters with their spans; one that was cut at a line's end is put together."""
+    out = []
+    for m in _WORD.finditer(text):
+        if m.group(1):
+            word = m.group(1).lower()
+            if "\n" in word:
+                whole = _BROKEN.sub("", word)
+                word = whole if whole in _vocabulary() else _BROKEN.sub("-", word)
+            out.append((word, *m.span(1)))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> frozenset[str]:
+    return frozenset(w for t in _templates()[0] for w in t.words)
 
 
 class _Template:
@@ -62,8 +88,8 @@ class _Template:
         import zstandard
 
         self.name, text = name, wording.replace("{", "").replace("}", "")
-        self.words = [w.lower() for w in _WORD.findall(text)]
-        naming = {w.lower() for part in re.findall(r"\{(.*?)\}", wording) for w in _WORD.findall(part)}
+        self.words = [w for w, _, _ in _words(text)]
+        naming = {w for part in re.findall(r"\{(.*?)\}", wording) for w, _, _ in _words(part)}
         self.triggers = {_plain(m.group()) for m in _TRIGGER.finditer(text)}
         self.naming = [i for i, w in enumerate(self.words) if w in naming]
         data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -93,29 +119,92 @@ def ranking(block: str, trigger: str) -> list[tuple[int, _Template]]:
 @lru_cache(maxsize=10_000)
 def scan_block(block: str, at: int, trigger: str) -> tuple[str, int, int, int] | None:
     """(license, start, end, words that differ) of the notice confirmed around the trigger at ``at``."""
-    words = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
+    words = _words(block)
     text = [w for w, _, _ in words]
+    here = next((i for i, (_, _, e) in enumerate(words) if at < e), None)
+    if here is None:
+        return None
     confirmed = []
-    for saved, t in ranking(block, trigger)[:CANDIDATES]:
-        found = _differences(text, t) if saved > 0 else None
-        if found and words[found[0]][1] <= at < words[found[1]][2]:
+    for saved, t in ranking(_LINE_END.sub(" ", block), trigger)[:CANDIDATES]:
+        found = _differences(text, here, t) if saved > 0 else None
+        if found:
             first, last, different = found
             confirmed.append((different / len(t.words), -len(t.words), -saved, t.name, words[first][1], words[last][2], different))
     return min(confirmed)[3:] if confirmed else None
 
 
-def _differences(text: list[str], t: _Template) -> tuple[int, int, int] | None:
-    """First and last word of the block that the template matches and the number of words that differ between; None if unlike."""
-    pairs = [(m.a + i, m.b + i) for m in SequenceMatcher(None, t.words, text, autojunk=False).get_matching_blocks() for i in range(m.size)]
-    at = {a: b for a, b in pairs}
-    if not pairs or any(i not in at for i in t.naming):
+def _side(text: list[str], template: list[str], needed: list[bool]) -> list[tuple[int, int]]:
+    """For each start in the template the fewest words that differ from there to its end, and how many words of the text that takes.
+
+    A word that stands in one of the two only counts once; ``needed`` words of the template must be met.  What the text holds behind
+    the last word met is free.
+    """
+    never = len(text) + len(template) + 1
+    row = [(0, 0)] * (len(text) + 1)
+    out = [row[0]]
+    for word, need in zip(reversed(template), reversed(needed)):
+        skip = never if need else 1
+        new = [(row[-1][0] + skip, 0)]
+        for k in range(len(text) - 1, -1, -1):
+            cost, reach = row[k]
+            best = (cost + skip, -reach)
+            if text[k] == word:
+                cost, reach = row[k + 1]
+                best = min(best, (cost, -reach - 1))
+            cost, reach = new[-1]
+            if reach:  # a word passed over lies before one that is met
+                best = min(best, (cost + 1, -reach - 1))
+            new.append((best[0], -best[1]))
+        row = new[::-1]
+        out.append(row[0])
+    return out[::-1]
+
+
+def _differences(text: list[str], here: int, t: _Template) -> tuple[int, int, int] | None:
+    """First and last word of the stretch around word ``here`` that differs least from the template, and the number of words that
+    differ; None if unlike."""
+    n, span = len(t.words), 2 * len(t.words)
+    text, cut = text[max(0, here - span):here + span + 1], max(0, here - span)
+    here -= cut
+    if not {t.words[i] for i in t.naming} <= set(text):
+        return None
+    needed = [i in t.naming for i in range(n)]
+    after = _side(text[here + 1:], t.words, needed)
+    before = _side(text[:here][::-1], t.words[::-1], needed[::-1])[::-1]
+    best = None
+    for i in range(n + 1):
+        ways = []
+        if i < n and t.words[i] == text[here]:
+            ways.append((0, before[i], after[i + 1]))
+        if before[i][1] and after[i][1]:  # the word itself is none of the template's
+            ways.append((1, before[i], after[i]))
+        for own, (left, to_left), (right, to_right) in ways:
+            way = (own + left + right, -to_left - to_right, here - to_left, here + to_right)
+            best = way if best is None else min(best, way)
+    if best is None or best[0] > DIFFERENT_SHARE * n:
         return None
-    first, last = min(at[i] for i in t.naming), max(at[i] for i in t.naming)
-    # Words of the template may be lacking before and after its name; within the matched stretch none may come between the naming words.
-    near = [(a, b) for a, b in pairs if first - len(t.words) <= b <= last + len(t.words)]
-    first, last = min(b for _, b in near), max(b for _, b in near)
-    different = len(t.words) - len(near) + (last - first + 1 - len(near))
-    return (first, last, different) if different <= DIFFERENT_SHARE * len(t.words) else None
+    return cut + best[2], cut + best[3], best[0]
+
+
+def _block(text: str, start: int, end: int, done: int) -> tuple[int, int]:
+    """Bounds of the block around a trigger: ``REACH`` characters to each side, not over a blank line nor before ``done``."""
+    low, high = max(done, start - RAW_REACH), min(len(text), end + RAW_REACH)
+    for blank in _BLANK.finditer(text, low, start):
+        low = blank.end()
+    blank = _BLANK.search(text, end, high)
+    high = blank.start() if blank else high
+    room, at = REACH, start
+    for line in reversed(list(_LINE_END.finditer(text, low, start))):
+        if at - line.end() >= room:
+            break
+        room, at = room - (at - line.end()), line.start()
+    low = max(low, at - room)
+    room, at = REACH, end
+    for line in _LINE_END.finditer(text, end, high):
+        if line.start() - at >= room:
+            break
+        room, at = room - (line.start() - at), line.end()
+    return low, min(high, at + room)
 
 
 def license_spans(text: str | None) -> tuple[int, list[tuple[str, int, int, int]]]:
@@ -124,9 +213,7 @@ def license_spans(text: str | None) -> tuple[int, list[tuple[str, int, int, int]
     for m in _TRIGGER.finditer(text):
         if m.start() < done:
             continue  # inside a notice
-        start = max(text.rfind("\n", done, m.start()) + 1, m.start() - REACH, done)
-        end = text.find("\n", m.end(), m.end() + REACH)
-        end = min(len(text), m.end() + REACH) if end < 0 else end
+        start, end = _block(text, *m.span(), done)
         blocks += 1
         notice = scan_block(text[start:end], m.start() - start, m.group())
         if notice:

@@ -1,6 +1,7 @@
 """License notices against the wordings planted in the tables, and wordings that differ a little or too much."""
 
 import re
+import textwrap
 
 import pytest
 
@@ -21,6 +22,27 @@ def test_every_template_confirms_itself(name, wording):
     assert blocks and found[0][0] == name and found[0][3] == 0
 
 
+@pytest.mark.parametrize("width", [24, 40, 70, 80])
+@pytest.mark.parametrize("mark,end", [("", ""), (" * ", ""), ("# ", ""), ("    // ", ""), ("dnl ", ""), ("/* ", " */"), (" " * 60 + ";; ", "\r")])
+@pytest.mark.parametrize("name,wording", [(n, w) for n, ws in TEMPLATES.items() for w in ws])
+def test_every_template_is_found_wrapped(name, wording, width, mark, end):
+    plain = re.sub("[{}]", "", wording)
+    lines = textwrap.wrap(f"The parts of this program were made by several people. {plain} and more words come after it here", width)
+    text = "".join(f"{mark}{line}{end}\n" for line in lines)
+    found = license_spans(f"{mark}A file{end}\n{text}x = 1\n")[1]
+    assert [f[0] for f in found] == [name] and found[0][3] == 0
+    source = text[found[0][1] - len(f"{mark}A file{end}\n"):found[0][2] - len(f"{mark}A file{end}\n")]
+    assert re.findall(r"\w+", source.replace("dnl ", "")) == re.findall(r"\w+", plain)
+
+
+def test_notices_on_lines_of_their_own():
+    text = "under the MIT License\nReleased under the MIT License\nAll rights\nreserved.\n\nLicensed under CC BY-\nNC 4.0, for any pur-\npose"
+    assert [(n, text[s:e]) for n, s, e, _ in license_spans(text)[1]] == [
+        ("MIT", "under the MIT License"), ("MIT", "Released under the MIT License"), ("Proprietary", "All rights\nreserved"),
+        ("CC-BY-NC-4.0", "Licensed under CC BY-\nNC 4.0")]
+    assert license_spans("Released under\n\nthe MIT\n\nLicense")[1] == []
+
+
 def test_the_template_that_saves_most_is_first():
     assert ranking("Licensed under the Apache License, Version 2.0.", "Licence")[0][1].name == "Apache-2.0"
     assert ranking("Released under the MIT License.", "License")[0][1].name == "MIT"
