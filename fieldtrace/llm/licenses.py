@@ -1,8 +1,9 @@
 """License notices by conditional compression.
 
 A block of text around a word that license notices use is compressed alone and with each template as a raw zstandard
-dictionary: the template that saves most bytes describes the block best.  The best few are then compared word by word, and
-one is confirmed only if its wording stands around that word with all words that name the license.  Line ends and the marks of comments are gaps between words.
+dictionary: the template that saves most bytes describes the block best.  As a block may hold other notices too, every
+template with that word is compared word by word, and one is confirmed only if its wording stands around the word with all
+words that name the license.  Line ends and the marks of comments are gaps between words.
 """
 
 from __future__ import annotations
@@ -52,7 +53,6 @@ _GAP = rf"(?:{_TAIL}{_LINE}|[^\S\n]+)"
 _TRIGGER = re.compile(rf"licen[cs]e|CC0|redistribution|permission|public{_GAP}licen[cs]e|rights{_GAP}reserved|public{_GAP}domain", re.IGNORECASE)
 REACH = 400  # characters of a block to each side of the trigger, line ends and marks of comments not counted
 RAW_REACH = 10 * REACH  # the same with them
-CANDIDATES = 6  # templates compared word by word, ranked by the bytes they save
 DIFFERENT_SHARE = 0.25  # of a template's words that may differ if none of them names the license
 _LINE_END = re.compile(_LINE, re.IGNORECASE)
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
@@ -125,8 +125,8 @@ def scan_block(block: str, at: int, trigger: str) -> tuple[str, int, int, int] |
     if here is None:
         return None
     confirmed = []
-    for saved, t in ranking(_LINE_END.sub(" ", block), trigger)[:CANDIDATES]:
-        found = _differences(text, here, t) if saved > 0 else None
+    for saved, t in ranking(_LINE_END.sub(" ", block), trigger):
+        found = _differences(text, here, t)
         if found:
             first, last, different = found
             confirmed.append((different / len(t.words), -len(t.words), -saved, t.name, words[first][1], words[last][2], different))

@@ -60,6 +60,13 @@ def test_wordings(text, names):
     assert [f[0] for f in license_spans(text)[1]] == names
 
 
+@pytest.mark.parametrize("first,wording", [(n, w) for n, ws in TEMPLATES.items() for w in ws])
+@pytest.mark.parametrize("second,other", [(n, w) for n in ("GPL-3.0", "BSD", "CC-BY-NC-ND-3.0", "Apache-2.0") for w in TEMPLATES[n]])
+def test_a_second_notice_does_not_hide_the_first(first, wording, second, other):
+    text = re.sub("[{}]", "", f"{wording} Some parts of it: {other}")
+    assert [f[0] for f in license_spans(text)[1]] == [first, second]
+
+
 def test_planted_notices_and_no_others(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
