@@ -114,11 +114,23 @@ _DISGUISED_EMAIL = re.compile(
     rf"(?:({_AT}|\s+@\s*|@\s+|_at_)(?=\S)|(\s+at\s+))({_LABEL})((?:(?:{_DOT}|\s+dot\s+|_dot_|\s*\.\s*(?=[a-z]{{2,}}\b)|\.){_LABEL})+)",
     re.IGNORECASE)
 _MAY_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|\s@|@\s|_at_|\sat\s[^\n]{1,200}?(?:\sdot\s|[\[({<]\s*dot)", re.IGNORECASE).search
+#: The same with a plain @: a dot of the domain is spelled or in brackets, or one of the local part in brackets.
+_PLAIN_AT_EMAIL = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:(?:{_DOT}|\s+dot\s+)[A-Za-z0-9._%+-]+)*)@({_LABEL}(?:(?:{_DOT}|\s+dot\s+|_dot_|\.){_LABEL})+)",
+    re.IGNORECASE)
+_MAY_PLAIN_AT = re.compile(rf"@{_LABEL}(?:\.{_LABEL})*(?:{_DOT}|\s+dot\s|_dot_)|[\])}}>]\s*[A-Za-z0-9._%+-]+@", re.IGNORECASE).search
+_BRACKETED_DOT = re.compile(_DOT, re.IGNORECASE)
 _ANY_DOT = re.compile(rf"{_DOT}|\s+dot\s+|_dot_|\s*\.\s*", re.IGNORECASE)
 _SPELLED_DOT = re.compile(rf"{_DOT}|\s+dot\s+|_dot_", re.IGNORECASE)
 _DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\s+dot\s+)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _MAY_DOT = re.compile(r"[0-9]\s*(?:[\[({<]\s*(?:dot|\.)|\sdot\s)", re.IGNORECASE).search
 
+# Letters that stand for digits in runs of digits.
+_STAND_INS = str.maketrans("OoIl", "0011")
+_DIGIT_RUN = re.compile(r"(?<![^\W_])[0-9OoIl]+(?:[\x20().-]{1,4}[0-9OoIl]+)*(?![^\W_])")
+_RUN_PART = re.compile(r"[0-9OoIl]+")
+_HAS_STAND_IN = re.compile(r"[0-9][\x20().-]{0,4}[OoIl]|[OoIl][\x20().-]{0,4}[0-9]").search
+
 
 class _Normal:
     """A text under rewriting: ``starts`` and ``ends`` give the source span of each character, None while all are their own."""
@@ -173,37 +185,78 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _plain_at(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _PLAIN_AT_EMAIL.finditer(text):
+        dots = _SPELLED_DOT if _SPELLED_DOT.search(m.group(2)) else _BRACKETED_DOT
+        edits += [(s.start(), s.end(), ".") for part in (1, 2) for s in dots.finditer(text, m.start(part), m.end(part))]
+    return edits
+
+
 def _dotted(text: str) -> list[tuple[int, int, str]]:
     return [(s.start(), s.end(), ".") for m in _DOTTED_IP.finditer(text) for s in _SPELLED_DOT.finditer(text, m.start(), m.end())]
 
 
-def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Plain spans, and these with the disguised ones, both sorted by start, then kind; offsets count characters."""
-    text = text or ""
-    base = plain_spans(text)
+def _without_stand_ins(text: str) -> str:
+    """Letters in runs of digits as the digits they stand for; one or two letters between spaces are a word."""
+    def digits(run):
+        if not _HAS_DIGIT(run.group()) or run.group().isdigit():
+            return run.group()
+
+        def part(m):
+            around = text[run.start() + m.start() - 1:run.start() + m.start()] + text[run.start() + m.end():run.start() + m.end() + 1]
+            word = len(m.group()) < 3 and not _HAS_DIGIT(m.group()) and not any(c in "+.-()" for c in around)
+            return m.group() if word else m.group().translate(_STAND_INS)
+
+        return _RUN_PART.sub(part, run.group())
+
+    return _DIGIT_RUN.sub(digits, text)
+
+
+def _normalised(text: str, stand_ins: bool) -> _Normal | None:
+    """``text`` without its disguises, with ``stand_ins`` also without letters for digits; None if nothing changed."""
     normal = _Normal(text)
     if not text.isascii() and _ODD(text):
         normal.rewrite([(*m.span(), "") for m in _INVISIBLE.finditer(text)])
         normal.text = normal.text.translate(_LOOK_ALIKE_TABLE)
+    if stand_ins:
+        before = normal.text
+        if not _HAS_STAND_IN(before):
+            return None
+        normal.text = _without_stand_ins(before)
+        if normal.text == before:
+            return None
     if _HAS_DIGIT_WORD(normal.text):
         normal.rewrite(_spelled_digits(normal.text))
     if _MAY_DOT(normal.text):
         normal.rewrite(_dotted(normal.text))
     if _MAY_AT(normal.text):
         normal.rewrite(_at_and_dot(normal.text))
-    if normal.starts is None and normal.text == text:
-        return base, base
-    begins = [s for _, s, _ in base]
-    reach = list(accumulate((e for _, _, e in base), max))
-    added = []
-    for kind, s, e in plain_spans(normal.text):
-        s, e = normal.source(s, e)
-        before = bisect_right(begins, e - 1)
-        apart = not before or reach[before - 1] <= s
-        wider = kind == "email" and any(k == kind and s <= b_s and b_e <= e and b_e - b_s < e - s for k, b_s, b_e in base)
-        if apart or wider:
-            added.append((kind, s, e))
-    return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
+    if "@" in normal.text and _MAY_PLAIN_AT(normal.text):
+        normal.rewrite(_plain_at(normal.text))
+    return None if normal.starts is None and normal.text == text else normal
+
+
+def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Plain spans, and these with the disguised ones, both sorted by start, then kind; offsets count characters."""
+    text = text or ""
+    base = every = plain_spans(text)
+    for stand_ins in (False, True):  # the second can only add what is apart from the first
+        normal = _normalised(text, stand_ins)
+        if normal is None:
+            continue
+        begins = [s for _, s, _ in every]
+        reach = list(accumulate((e for _, _, e in every), max))
+        added = []
+        for kind, s, e in plain_spans(normal.text):
+            s, e = normal.source(s, e)
+            before = bisect_right(begins, e - 1)
+            apart = not before or reach[before - 1] <= s
+            wider = not stand_ins and kind == "email" and any(k == kind and s <= b_s and b_e <= e and b_e - b_s < e - s for k, b_s, b_e in base)
+            if apart or wider:
+                added.append((kind, s, e))
+        every = sorted(every + added, key=lambda x: (x[1], KINDS.index(x[0])))
+    return base, every
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldtrace.llm.pii import KINDS, all_spans, find_personal_data, joined, plain_spans, redact_personal_data
+from fieldtrace.llm.pii import KINDS, all_spans, find_personal_data, joined, plain_spans, redact, redact_personal_data
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -56,6 +56,35 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert [(k, text[s:e]) for k, s, e in every if (k, s, e) not in base] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text,kind,span", [
+    ("mail john@example[.]com now", "email", "john@example[.]com"), ("john@example(dot)com", "email", "john@example(dot)com"),
+    ("ask john@example dot com.", "email", "john@example dot com"), ("john@example_dot_com", "email", "john@example_dot_com"),
+    ("to john@mail.example[.]com. Then more", "email", "john@mail.example[.]com"),
+    ("to john@example[.]co[.]uk, and", "email", "john@example[.]co[.]uk"),
+    ("é jo​hn＠example [punto] com", "email", "jo​hn＠example [punto] com"),
+    ("the dot john[.]doe@example.com now", "email", "john[.]doe@example.com"),
+    ("call +1 2l2 555 O1OO now", "phone", "+1 2l2 555 O1OO"), ("+l (2l2) 555-OIOO", "phone", "+l (2l2) 555-OIOO"),
+    ("pay 4lll 1111 1111 1111.", "card", "4lll 1111 1111 1111"), ("4111 llll 1111 IIII", "card", "4111 llll 1111 IIII"),
+    ("host l0.O.0.1 is", "ip", "l0.O.0.1"), ("+1 2l2 five five five O1OO", "phone", "+1 2l2 five five five O1OO"),
+    ("+1 2l2 555 О1ОО", "phone", "+1 2l2 555 О1ОО"),
+])
+def test_plain_at_and_letters_for_digits(text, kind, span):
+    base, every = all_spans(text)
+    assert [(k, text[s:e]) for k, s, e in every if (k, s, e) not in base] == [(kind, span)]
+    assert span not in redact(text, every) and f"<{kind.upper()}>" in redact(text, every)
+
+
+@pytest.mark.parametrize("text", ["10 o 12 o 15 o 20 o 25 o 30", "Il 1 Io 2", "10l of 12 l", "@example dot com", "a@b", "1O of l0", "4lll 1111 1111 1112",
+                                  "mail[.]example", "World War II 1939", "look 111 1111 oil 1111"])
+def test_clean_texts_with_stand_ins_have_no_spans(text):
+    assert all_spans(text) == ([], [])
+
+
+@pytest.mark.parametrize("text", ["jo@example.com. See dot notes", "+1 212 555 0100 III", "＋１ ２１２ ５５５ ０１００ III"])
+def test_neighbours_do_not_widen_a_span(text):
+    assert len(all_spans(text)[1]) == 1 and all_spans(text)[1][0][2] < len(text) - 3
+
+
 @pytest.mark.parametrize("text", ["look at one thing", "see you at example.com", "one, two, three!", "meet at noon", "the dot in it",
                                   "Version 1.2.3", "© é à", "nine of ten at work", ""])
 def test_clean_texts_have_no_spans(text):
