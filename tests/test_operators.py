@@ -331,3 +331,9 @@ def test_random_intercepts_of_distances(spark):
     # the dispersion is that of the plain model, so the spread is only bounded here
     assert abs(fit["AYTFER"].link - 6.0) < 0.15 and abs(fit["AYTFUL"].link - 5.0) < 0.15
     assert 0.2 < fit["AYTFER"].sigma < 0.7
+
+
+def test_registered_draws_are_as_many_as_in_the_reference(tables):
+    from fieldtrace.catalog import all_queries
+    drawn = all_queries()["weighted_draws"].run(tables).groupBy("ring").agg(F.count_distinct("replicate").alias("n"), F.max("replicate").alias("last"))
+    assert {(r.n, r.last) for r in drawn.collect()} == {(1000, 1000)}
