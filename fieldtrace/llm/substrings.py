@@ -119,13 +119,17 @@ _RANGES_DDL = "array<struct<f:int,t:int>>"
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", earlier: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(source, spans): the rows as key, text_key, text, and per row with repeats its spans of windows.
+    """(source, spans): the rows as key, text_key, text, and per row with repeats its spans of windows; both have the row's id
+    ``doc`` with ``earlier``, as of rows equal in key and text only one is the first then.
 
     A span is the first window times 256 plus the number of windows; these occur at an earlier place in the order of key, then
     of text, or without ``earlier`` at any other place.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)).alias("text_key"),
                          F.coalesce(text, F.lit("")).alias("text"))
+    numbered = source.withColumn("doc", F.monotonically_increasing_id())
+    if earlier:
+        source = numbered = written(numbered)  # the ids must be the same at the end
 
     def cut(batches):
         for batch in chunks(batches, "text"):
@@ -142,7 +146,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", earli
                         pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=names)
 
     names = ["doc", "key", "text_key", "low", "n", "anchor", "content"]
-    made = written(source.withColumn("doc", F.monotonically_increasing_id()).mapInArrow(
+    made = written(numbered.mapInArrow(
         cut, "doc long, key long, text_key binary, low long, n int, anchor long, content long"))  # a row for each text, then its blocks
     blocks = made.where("n is not null").select("doc", "low", "n", "anchor", "content")
     who = made.where("n is null").select("doc", "key", "text_key")
@@ -175,6 +179,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", earli
     part = part.select("doc", "low", F.explode("ranges").alias("r")).select(
         "doc", ((F.col("low") + F.col("r.f")) * 256 + F.col("r.t") - F.col("r.f")).alias("span"))
     spans = whole.unionByName(part).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    if earlier:
+        return source, spans
     # Rows that are equal in key and text are one text here: what any of them loses, each loses.
     return source, spans.join(who, "doc").groupBy("key", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -271,8 +277,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
 
     Texts are judged as UTF-8 bytes, null as empty.  A byte goes if it lies in a string of 200 bytes that also starts
     elsewhere, in the same text or another; with ``keep_first`` only if that is an earlier place, in the order of key, then
-    of text.  Texts below 200 bytes stay whole.  Rows that are equal in key and text get one result.  An empty table
-    gives no rows; other columns are not read.
+    of text.  Texts below 200 bytes stay whole.  Rows that are equal in key and text get one result, but with ``keep_first`` one of
+    them, any, comes before the others.  An empty table gives no rows; other columns are not read.
     """
     source, spans = find_repeats(docs, key, text, keep_first)
     schema = pa.schema([("key", pa.int64()), *[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -287,6 +293,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
                 rows.append((len(data), len(data) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
 
-    right = spans.withColumnsRenamed({"key": "k", "text_key": "tk"})
-    met = source.join(right, source["key"].eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("tk")), "left").select("key", "text", "spans")
+    if keep_first:
+        met = source.join(spans, "doc", "left").select("key", "text", "spans")
+    else:
+        right = spans.withColumnsRenamed({"key": "k", "text_key": "tk"})
+        met = source.join(right, source["key"].eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("tk")), "left").select("key", "text", "spans")
     return met.mapInArrow(cut, "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("key", key)

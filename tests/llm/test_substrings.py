@@ -106,3 +106,17 @@ def test_odd_rows(spark):
     twice = spark.createDataFrame([(None, long), (None, long)], "doc_id long, text string")
     assert [r.n_removed for r in S.remove_repeats(twice, keep_first=False).collect()] == [500, 500]
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [S.GROUP_BLOCKS, 1])
+def test_repeated_rows_keep_one_copy(spark, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP_BLOCKS", group)
+    rng = random.Random(8)
+    long, other = ("".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(2))
+    rows = [(None, other), (None, other), (None, other), (1, long), (1, long), (2, "x" + long[100:400]), (2, "x" + long[100:400]),
+            (3, other[:250] + long[:300]), (3, other[:250] + long[:300]), (4, "y" * 300), (4, "y" * 300), (5, "short"), (5, "short"), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r)[:4] + (r.kept_sha256,) for r in S.remove_repeats(docs).collect()]
+    want = [(k, *b) for (k, _), b in zip(rows, brute([t for _, t in rows], True))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r[0] is None and r[2] == 0 for r in got) == 1
