@@ -337,3 +337,17 @@ def test_registered_draws_are_as_many_as_in_the_reference(tables):
     from fieldtrace.catalog import all_queries
     drawn = all_queries()["weighted_draws"].run(tables).groupBy("ring").agg(F.count_distinct("replicate").alias("n"), F.max("replicate").alias("last"))
     assert {(r.n, r.last) for r in drawn.collect()} == {(1000, 1000)}
+
+
+def test_timeline_matches_all_communes(tables, monkeypatch):
+    from fieldtrace.catalog import flows
+    given = []
+
+    def build(raw, spots, communes, *args, **kwargs):
+        given.append(communes)
+        raise StopIteration
+
+    monkeypatch.setattr(flows.dataset, "build_dataset", build)
+    with pytest.raises(StopIteration):
+        flows.dataset_timeline(tables)
+    assert given[0].count() == tables.communes.count()
