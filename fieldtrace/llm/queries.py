@@ -14,6 +14,7 @@ from fieldtrace.llm.licenses import scan_licenses
 from fieldtrace.llm.near_dups import near_duplicate_classes
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
+from fieldtrace.llm.repair import damaged, repair_report
 from fieldtrace.llm.spelling import DAMAGE, spelling_variants
 from fieldtrace.llm.substrings import remove_repeats
 from fieldtrace.llm.token_files import read_token_files, write_token_files
@@ -116,6 +117,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage to one row in four."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent near word and root of every word, after the damage to one occurrence in 199."""
     return spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
@@ -123,6 +130,6 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_vector_search, op4_benchmark_decontamination, op5_repeated_substrings, op6_licenses, op7_language, op8_best_fit_packing,
-                          op9_toxicity, op10_personal_data, op12_spelling_variants)
+                          op9_toxicity, op10_personal_data, op11_conversation_repair, op12_spelling_variants)
 }
 ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
