@@ -11,6 +11,7 @@ from fieldtrace.llm.common import table
 from fieldtrace.llm.decontaminate import find_contamination
 from fieldtrace.llm.language import fit_language_network, held_out, predict_language
 from fieldtrace.llm.licenses import scan_licenses
+from fieldtrace.llm.mixing import score_texts
 from fieldtrace.llm.near_dups import near_duplicate_classes
 from fieldtrace.llm.packing import pack_documents
 from fieldtrace.llm.pii import find_personal_data
@@ -128,8 +129,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
 
 
+def op13_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document; documents whose crc32 leaves 2 modulo 7 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 7, 2))
+    return score_texts(docs, group="lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_vector_search, op4_benchmark_decontamination, op5_repeated_substrings, op6_licenses, op7_language, op8_best_fit_packing,
-                          op9_toxicity, op10_personal_data, op11_conversation_repair, op12_spelling_variants)
+                          op9_toxicity, op10_personal_data, op11_conversation_repair, op12_spelling_variants, op13_model_scores)
 }
 ORACLE_SQL: dict[str, str] = {"op3_vector_search": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
