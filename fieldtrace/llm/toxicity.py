@@ -4,6 +4,10 @@ Labels belong to documents, so token labels are derived first: features (a word,
 in many toxic documents and hardly in others mark the tokens of toxic documents.  A two-state chain is trained on
 these tokens.  Forward-backward gives every token its probability; a document's score is a logistic function of the
 largest one and of the expected number of toxic tokens.
+
+Nearly all tokens carry no known feature and score alike, so the step from one of them to the next is one fixed matrix.
+The recursions go from one known token to the next over a power of it; what the chain says of the tokens between is
+read off the two ends of their gap.  This is the whole chain, not a part of it.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ MARK_SHARE, MARK_LOG_ODDS = 0.015, 3.0
 PREFIXES = (4, 5, 6)
 _SEQUENCE = 48  # tokens of a training sequence
 _SEQUENCES = 8000
-_FLAT = 64  # beyond this many tokens a text without any known feature no longer changes its score
 
 
 def token_features(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,41 +139,92 @@ def _fit_chain(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_
     return p
 
 
+class _Gaps:
+    """Powers of the step between tokens without known features, scaled by their largest root."""
+
+    def __init__(self, tagger: Tagger, longest: int):
+        self.step = np.exp(tagger.step)
+        (a, b), (c, d) = step = self.step * np.array([1.0, np.exp(tagger.bias)])
+        spread = np.sqrt((a - d) ** 2 + 4 * b * c)
+        large, small = (a + d + spread) / 2, (a + d - spread) / 2
+        self._ends = (step - small * np.eye(2)) / spread  # A^g / large^g = ends + (small / large)^g * (1 - ends)
+        self._fades = np.power(small / large, np.arange(longest + 2))
+        start = np.exp(tagger.start - tagger.start.max())
+        self.first, self.before = start * [1.0, np.exp(tagger.bias)], start
+
+    def after(self, vector: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """rows x 2: row vectors times the power; never 0."""
+        far = vector @ self._ends
+        return np.maximum(far + self._fades[steps][:, None] * (vector - far), 1e-300)
+
+    def ahead(self, vector: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """rows x 2: the power times column vectors."""
+        far = vector @ self._ends.T
+        return np.maximum(far + self._fades[steps][:, None] * (vector - far), 1e-300)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def token_odds(tagger: Tagger, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Log odds of every token, texts given by the bounds of their tokens."""
+    sizes = np.diff(bounds)
+    known = np.flatnonzero((found != len(tagger.vocabulary.keys)).any(axis=1))
+    gaps = _Gaps(tagger, int(sizes.max(initial=0)))
+    unary = tagger.weights[found[known]].sum(axis=1) + tagger.bias
+    lift = np.stack([np.exp(-np.maximum(unary, 0)), np.exp(np.minimum(unary, 0))], axis=1)  # (1, e^unary) up to a factor
+    of = np.searchsorted(bounds, known, "right") - 1
+    first = np.searchsorted(of, np.arange(len(sizes) + 1))
+    place, n_known = known - bounds[of], np.diff(first)
+    forward, backward = np.empty((len(known), 2)), np.empty((len(known), 2))
+    order = np.argsort(-n_known, kind="stable")
+    many = -n_known[order]
+    for k in range(int(n_known.max(initial=0))):  # the k-th known token of every text that has one, from both ends
+        text = order[:np.searchsorted(many, -k, "left")]
+        at = first[text] + k
+        if k == 0:
+            here = np.where((place[at] == 0)[:, None], gaps.before, gaps.after(gaps.first, np.maximum(place[at] - 1, 0)) @ gaps.step)
+        else:
+            here = gaps.after(forward[at - 1], place[at] - place[at - 1] - 1) @ gaps.step
+        forward[at] = _scaled(here * lift[at])
+        at = first[text + 1] - 1 - k
+        if k == 0:
+            back = gaps.ahead(np.ones((len(at), 2)), sizes[text] - 1 - place[at])
+        else:
+            back = gaps.ahead((lift[at + 1] * backward[at + 1]) @ gaps.step.T, place[at + 1] - place[at] - 1)
+        backward[at] = _scaled(back)
+    out = np.empty(len(found))
+    out[known] = np.log(forward[:, 1] * backward[:, 1]) - np.log(forward[:, 0] * backward[:, 0])
+    # A gap lies before each known token and before the end of each text.
+    gap_text = np.repeat(np.arange(len(sizes)), n_known + 1)
+    nth = np.arange(len(gap_text)) - np.repeat(first[:-1] + np.arange(len(sizes)), n_known + 1)
+    left, right = first[gap_text] + nth - 1, first[gap_text] + nth
+    opens, closes = nth == 0, nth == n_known[gap_text]
+    begin = np.where(opens, bounds[gap_text], np.append(known, 0)[left] + 1)
+    length = np.where(closes, bounds[gap_text + 1], np.append(known, 0)[np.minimum(right, len(known))]) - begin
+    one, ends = np.ones((1, 2)), np.concatenate([forward, np.ones((1, 2))])
+    entered = np.where(opens[:, None], gaps.first, gaps.after(ends[left], np.ones(len(left), int)))
+    behind = np.concatenate([(lift * backward) @ gaps.step.T, one])[np.where(closes, len(known), right)]
+    gap = np.repeat(np.arange(len(length)), length)
+    inside = np.arange(len(gap)) - np.repeat(np.cumsum(length) - length, length)
+    f, b = gaps.after(_scaled(entered)[gap], inside), gaps.ahead(_scaled(behind)[gap], length[gap] - 1 - inside)
+    out[begin[gap] + inside] = np.log(f[:, 1] * b[:, 1]) - np.log(f[:, 0] * b[:, 0])
+    return out
+
+
 def _document_numbers(tagger: Tagger, found: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Largest log odds and expected number of likely tokens of each document, and the log odds of each token.
 
-    Tokens without known features all score alike, so texts without any are looked up by their length.
+    A document without tokens has the largest log odds of one unknown token.
     """
-    known = len(tagger.vocabulary.keys)
     bounds = np.searchsorted(row, np.arange(n_rows + 1), "left")
-    sizes = np.diff(bounds)
-    plain = np.array([_plain_top(tagger, n) for n in range(_FLAT + 1)])
-    top, count = plain[np.minimum(sizes, _FLAT)], np.zeros(n_rows)
-    odds = np.repeat(top, sizes)
-    hit = (found != known).any(axis=1)
-    docs = np.unique(row[hit])
-    docs = docs[np.argsort(sizes[docs], kind="stable")]
-    at = 0
-    while at < len(docs):  # padded lots of texts of like length, about a million places at most
-        stop = at + 1
-        while stop < len(docs) and (stop + 1 - at) * sizes[docs[stop]] <= 1 << 20 and sizes[docs[stop]] <= 2 * sizes[docs[at]] + 64:
-            stop += 1
-        lot, longest = docs[at:stop], int(sizes[docs[stop - 1]])
-        place = np.minimum(bounds[lot][:, None] + np.arange(longest), len(row) - 1)
-        inside = np.arange(longest) < sizes[lot][:, None]
-        unary = np.where(inside, tagger.weights[found[place]].sum(axis=2) + tagger.bias, 0)
-        got = _log_odds(*marginals(unary, sizes[lot], tagger.step, tagger.start)[:2])
-        top[lot] = np.where(inside, got, -np.inf).max(axis=1)
-        count[lot] = np.where(inside & (got > 0), 1 / (1 + np.exp(-got)), 0).sum(axis=1)
-        odds[place[inside]] = got[inside]
-        at = stop
-    return top, count, odds
-
-
-def _plain_top(tagger: Tagger, n: int) -> float:
-    n = max(1, n)
-    forward, backward, _ = marginals(np.full((1, n), tagger.bias), np.array([n]), tagger.step, tagger.start)
-    return float(_log_odds(forward, backward).max())
+    odds = token_odds(tagger, found, bounds)
+    some = np.flatnonzero(np.diff(bounds))
+    top = np.full(n_rows, tagger.start[1] + tagger.bias - tagger.start[0])
+    if len(some):
+        top[some] = np.maximum.reduceat(odds, bounds[some])
+    return top, np.bincount(row, np.where(odds > 0, 1 / (1 + np.exp(-np.maximum(odds, 0))), 0), n_rows), odds
 
 
 def _columns(top: np.ndarray, count: np.ndarray) -> np.ndarray:

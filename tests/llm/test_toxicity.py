@@ -50,12 +50,25 @@ def test_spans_and_scores():
     assert X.train(texts[:40], np.zeros(40)) is None and X.train([], np.zeros(0)) is None
 
 
-def test_a_long_plain_text_scores_as_the_whole_chain():
-    texts = [CLEAN + f" {i}" for i in range(40)] + [BAD + f" {i}" for i in range(40)]
-    tagger = X.train(texts, np.repeat([0, 1], 40))
-    n = 1000
-    whole = X._log_odds(*X.marginals(np.full((1, n), tagger.bias), np.array([n]), tagger.step, tagger.start)[:2]).max()
-    assert np.isclose(whole, X._plain_top(tagger, X._FLAT), atol=1e-9)
+def test_odds_are_those_of_the_whole_chain():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        keys = 30
+        tagger = X.Tagger(X.Vocabulary(np.arange(1, keys + 1, dtype=np.uint64)), np.append(rng.normal(size=keys) * 4, 0), float(rng.normal() - 2),
+                          rng.normal(size=(2, 2)) * (1 + trial % 3), rng.normal(size=2), np.zeros(3))
+        sizes = rng.integers(0, [6, 40, 400][trial % 3], 12)
+        found = np.where(rng.random((sizes.sum(), 4)) < rng.choice([0, 0.01, 0.3]), rng.integers(0, keys, (sizes.sum(), 4)), keys)
+        bounds = np.append(0, np.cumsum(sizes))
+        got = X.token_odds(tagger, found, bounds)
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            unary = tagger.weights[found[low:high]].sum(axis=1) + tagger.bias
+            want = X._log_odds(*X.marginals(unary[None, :], np.array([high - low]), tagger.step, tagger.start)[:2])[0] if high > low else []
+            assert np.allclose(got[low:high], want, rtol=1e-7, atol=1e-7)
+        top, count, _ = X._document_numbers(tagger, found, np.repeat(np.arange(12), sizes), 12)
+        for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+            odds = got[low:high]
+            assert np.isclose(top[i], odds.max() if len(odds) else tagger.start[1] + tagger.bias - tagger.start[0])
+            assert np.isclose(count[i], (1 / (1 + np.exp(-odds[odds > 0]))).sum())
 
 
 def test_held_out_quality(spark):
