@@ -209,3 +209,58 @@ def random_intercept_migration(t):
 @query("M4")
 def random_intercept_distance(t):
     return mixed.random_intercept_fit(t.seasonal_orders, "sp", "ring", "dist_pt_km", "wgt_co", "gamma")
+
+
+def _at_half(t, y, family):
+    """Links of the model without random intercepts, and a spread of 0.5, to look at the random-intercept model at."""
+    fit = models.group_fit(t.seasonal_orders, "sp", y, "wgt_co", family)
+    return t.seasonal_orders, fit.select("sp", "link", F.lit(0.5).alias("sigma"), "dispersion")
+
+
+def _newton(y: str, parameters: str, family: str) -> str:
+    """Modes of the intercepts by 40 clipped steps; slope and curvature are those of the log likelihood."""
+    slope, bend = {"binomial": ("swy - sw / (1 + EXP(-eta0 - b))", "sw * EXP(-eta0 - b) / POW(1 + EXP(-eta0 - b), 2)"),
+                   "gamma": ("(swy * EXP(-eta0 - b) - sw) / disp", "swy * EXP(-eta0 - b) / disp")}[family]
+    return f"""WITH RECURSIVE {parameters},
+s AS (SELECT sp, ring, SUM(wgt_co) AS sw, SUM(wgt_co * {y}) AS swy FROM {{seasonal_orders}} WHERE sp IS NOT NULL GROUP BY sp, ring),
+it AS (SELECT s.*, eta0, disp, 0e0 AS b, 0 AS k FROM s JOIN m ON s.sp = m.sp
+  UNION ALL SELECT sp, ring, sw, swy, eta0, disp, b + GREATEST(-2, LEAST(2, ({slope} - 4 * b) / ({bend} + 4))), k + 1 FROM it WHERE k < 40),
+e AS (SELECT *, eta0 + b AS eta, {bend} AS bend FROM it WHERE k = 40)"""
+
+
+_LOGIT = """m AS (SELECT sp, LN(p / (1 - p)) AS eta0, 1e0 AS disp FROM (SELECT sp, SUM(wgt_co * mig) / SUM(wgt_co) AS p
+  FROM {seasonal_orders} WHERE sp IS NOT NULL GROUP BY sp) x)"""
+_LOG = """u AS (SELECT sp, SUM(wgt_co * dist_pt_km) / SUM(wgt_co) AS mu FROM {seasonal_orders} WHERE sp IS NOT NULL GROUP BY sp),
+m AS (SELECT u.sp, LN(mu) AS eta0, disp FROM u, (SELECT SUM(s.wgt_co * POW((s.dist_pt_km - u.mu) / u.mu, 2)) / (COUNT(*) - 2) AS disp
+  FROM {seasonal_orders} s JOIN u ON s.sp = u.sp) d)"""
+
+
+@query("M4", "SELECT * FROM (" + _newton("mig", _LOGIT, "binomial") + """
+SELECT 'mig' AS model, sp, ROUND(SUM(swy * eta - sw * LN(1 + EXP(eta)) - 2 * b * b - 0.5 * LN(1 + bend / 4)), 3) AS log_likelihood FROM e GROUP BY sp) x
+UNION ALL SELECT * FROM (""" + _newton("dist_pt_km", _LOG, "gamma") + """
+SELECT 'dist_pt_km' AS model, sp, ROUND(SUM(-(swy * EXP(-eta) + sw * eta) / disp - 2 * b * b - 0.5 * LN(1 + bend / 4)), 3) AS log_likelihood FROM e GROUP BY sp) y""")
+def random_intercept_likelihood(t):
+    out = []
+    for y, family in (("mig", "binomial"), ("dist_pt_km", "gamma")):
+        rows, at = _at_half(t, y, family)
+        value = mixed.marginal_likelihood(rows, at, "sp", "ring", y, "wgt_co", family)
+        out.append(value.select(F.lit(y).alias("model"), "sp", F.round("log_likelihood", 3).alias("log_likelihood")))
+    return out[0].unionByName(out[1])
+
+
+@query("M4", _newton("mig", _LOGIT, "binomial") + """
+SELECT sp, ring, ROUND(b, 6) AS mode, ROUND(1 / SQRT(bend + 4), 6) AS mode_sd FROM e""")
+def random_intercept_modes(t):
+    rows, at = _at_half(t, "mig", "binomial")
+    return mixed.conditional_modes(rows, at, "sp", "ring", "mig", "wgt_co", "binomial").select("sp", "ring", *_R("mode", "mode_sd"))
+
+
+@query("M4 M5", _newton("dist_pt_km", _LOG, "gamma") + """
+SELECT o.id, ROUND(b, 6) AS mode, ROUND(EXP(eta) / 1000, 6) AS fitted,
+  ROUND(SIGN(dist_pt_km - EXP(eta)) * SQRT(wgt_co * GREATEST(0, 2 * ((dist_pt_km - EXP(eta)) / EXP(eta) - LN(dist_pt_km / EXP(eta))))), 6) AS deviance,
+  ROUND(SQRT(wgt_co) * (dist_pt_km - EXP(eta)) / EXP(eta), 6) AS pearson
+FROM {seasonal_orders} o LEFT JOIN e ON o.sp = e.sp AND o.ring = e.ring""")
+def random_intercept_rows(t):
+    rows, at = _at_half(t, "dist_pt_km", "gamma")
+    found = mixed.conditional_rows(rows, at, "sp", "ring", "dist_pt_km", "wgt_co", "gamma")
+    return found.select("id", F.round("mode", 6).alias("mode"), F.round(F.col("fitted") / 1000, 6).alias("fitted"), *_R("deviance", "pearson"))

@@ -18,26 +18,28 @@ def group_fit(df: DataFrame, group: str, y: str, weight: str, family: str) -> Da
     ``family`` is binomial (logit link) or gamma (log link).  With one category per row the
     likelihood equations are solved by the weighted group means; the dispersion of the gamma
     family is the Pearson statistic over its degrees of freedom, common to all groups.  Rows
-    without a group, value or weight do not take part.  A binomial category with no or only
-    successes has no finite link: its link and standard error are missing and its interval is
-    the point itself.
+    without a group, value or weight do not take part; rows of weight 0 add no degree of freedom.
+    A binomial category with no or only successes has no finite link: its link and standard error
+    are missing and its interval is the point itself.  A category of weight 0 has no fit, and
+    without a degree of freedom there is no dispersion and no standard error.
     """
     y_, w = F.col(y).cast("double"), F.col(weight).cast("double")
     used = df.where(F.col(group).isNotNull() & y_.isNotNull() & w.isNotNull())
     sums = used.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y_).alias("wy"), F.sum(w * y_ * y_).alias("wyy"))
-    fit = F.col("wy") / F.col("w")
-    rows = sums.withColumn("fit", fit)
+        F.count(F.lit(1)).alias("n"), F.count_if(w != 0).alias("_n"), F.sum(w).alias("w"), F.sum(w * y_).alias("wy"), F.sum(w * y_ * y_).alias("wyy"))
+    rows = sums.withColumn("fit", F.try_divide("wy", "w"))
+    fit = F.col("fit")
     if family == "binomial":
         out = rows.withColumns({
             "dispersion": F.lit(1.0), "link": F.log(F.try_divide(fit, 1 - fit)),
-            "se_link": F.try_divide(F.lit(1.0), F.sqrt(F.col("w") * fit * (1 - fit))), "se_fit": F.sqrt(fit * (1 - fit) / F.col("w"))})
+            "se_link": F.try_divide(F.lit(1.0), F.sqrt(F.col("w") * fit * (1 - fit))), "se_fit": F.sqrt(F.try_divide(fit * (1 - fit), F.col("w")))})
     elif family == "gamma":
-        chi = F.col("wyy") / (F.col("fit") * F.col("fit")) - 2 * F.col("wy") / F.col("fit") + F.col("w")
-        disp = rows.agg((F.sum(chi) / (F.sum("n") - F.count(F.lit(1)))).alias("d")).scalar()
+        chi = F.try_divide(F.col("wyy"), fit * fit) - 2 * F.try_divide(F.col("wy"), fit) + F.col("w")
+        free = F.sum(F.when(fit.isNotNull(), F.col("_n"))) - F.count(fit)
+        disp = rows.agg(F.try_divide(F.sum(chi), free).alias("d")).scalar()
         out = rows.withColumn("dispersion", disp).withColumns({
-            "link": F.log("fit"), "se_link": F.sqrt(F.col("dispersion") / F.col("w")),
-            "se_fit": F.col("fit") * F.sqrt(F.col("dispersion") / F.col("w"))})
+            "link": F.log("fit"), "se_link": F.sqrt(F.try_divide("dispersion", "w")),
+            "se_fit": F.col("fit") * F.sqrt(F.try_divide("dispersion", "w"))})
     else:
         raise ValueError(f"unknown family {family}")
     half = 1.96 * F.col("se_fit")
@@ -90,13 +92,14 @@ def normal_plot(df: DataFrame, value: str, uid: str) -> DataFrame:
 
 
 def von_mises_fit(df: DataFrame, group: str, angle_deg: str, weight: str) -> DataFrame:
-    """Weighted maximum likelihood of mean direction (0 to 2 pi) and concentration per group."""
+    """Weighted maximum likelihood of mean direction (0 to 2 pi) and concentration per group; weight 0 has no concentration."""
     a, w = full_turn_radians(angle_deg), F.col(weight)
     sums = df.groupBy(group).agg(F.sum(w).alias("w"), F.sum(w * F.sin(a)).alias("s"), F.sum(w * F.cos(a)).alias("c"))
     mu = F.atan2("s", "c")
-    r = F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")) / F.col("w")
-    return sums.select(group, F.when(mu < 0, mu + 2 * F.pi()).otherwise(mu).alias("mu"), r.alias("resultant"),
-                       von_mises_kappa(r).alias("kappa"))
+    r = F.try_divide(F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")), F.col("w"))
+    told = r.isNotNull()
+    return sums.select(group, F.when(told, F.when(mu < 0, mu + 2 * F.pi()).otherwise(mu)).alias("mu"), r.alias("resultant"),
+                       F.when(told, von_mises_kappa(r)).alias("kappa"))
 
 
 def gamma_curve(fit: DataFrame, group: str, cut: float, points: int) -> DataFrame:
