@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtrace.catalog import query
-from fieldtrace.catalog.models import SITE_SQL, site_choices
+from fieldtrace.catalog.models import SITE_SQL, sites_and_water
 from fieldtrace.functions.geo import REPORT_BOX, to_lambert
 from fieldtrace.functions.time import season
 from fieldtrace.operators import density, resample
@@ -130,18 +130,19 @@ def _birds(t):
 
 
 def _draws(t, replicates=REPLICATES):
-    choices = site_choices(t).select("site_id", "sp", "wb_id", "angle_deg", "wgt")
-    return resample.weighted_draws(_birds(t), choices, "site_id", "ring", "wb_id", "wgt", replicates)
+    return resample.site_draws(_birds(t), *sites_and_water(t), replicates)
 
 
 _DRAWS = f"""WITH {SITE_SQL},
-u AS (SELECT *, GREATEST(1, CAST(ROUND(wgt / SUM(wgt) OVER (PARTITION BY site_id) * 4503599627370496e0) AS BIGINT)) AS units FROM c WHERE wgt > 0),
-v AS (SELECT *, CAST(SUM(units) OVER (PARTITION BY site_id ORDER BY wb_id) AS BIGINT) AS hi, CAST(SUM(units) OVER (PARTITION BY site_id) AS BIGINT) AS total FROM u),
+n AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY site_id, cx, cy ORDER BY wb_id) - 1) / 512e0) AS BIGINT) AS part FROM (
+  SELECT c.*, FLOOR(lon / 2) AS cx, FLOOR(lat / 2) AS cy FROM c JOIN {{geo_suppliers}} g ON g.wb_id = c.wb_id) k),
+h AS (SELECT *, SUM(wgt) OVER (PARTITION BY site_id ORDER BY cx, cy, part, wb_id) AS hi FROM n WHERE wgt > 0),
+v AS (SELECT *, COALESCE(LAG(hi) OVER (PARTITION BY site_id ORDER BY cx, cy, part, wb_id), 0) AS lo, MAX(hi) OVER (PARTITION BY site_id) AS total FROM h),
 q AS (SELECT id AS ring, co AS site_id, CAST(r.k AS INT) AS replicate,
   CAST('0x' || SUBSTR(MD5(CAST(co AS VARCHAR) || '|' || CAST(id AS VARCHAR) || '|' || CAST(r.k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496e0 AS x
   FROM {{geo_customers}}, range(1, {REPLICATES + 1}) r(k)),
 drawn AS (SELECT q.ring, q.replicate, v.site_id, v.sp, v.wb_id, v.angle_deg FROM q JOIN v ON q.site_id = v.site_id
-  AND LEAST(CAST(FLOOR(q.x * v.total) AS BIGINT), v.total - 1) >= v.hi - v.units AND LEAST(CAST(FLOOR(q.x * v.total) AS BIGINT), v.total - 1) < v.hi)"""
+  AND q.x * v.total >= v.lo AND q.x * v.total < v.hi)"""
 
 
 @query("D5 J18", _DRAWS + " SELECT ring, replicate, site_id, sp, wb_id FROM drawn")

@@ -177,12 +177,11 @@ def repeated_individuals(t):
     return models.repeat_summary(t.seasonal_orders.where(F.month("datetime") == 12), "ring", "sp")
 
 
-def site_choices(t):
-    """Every lake as seen from every nesting site."""
+def sites_and_water(t):
+    """Nesting sites, lakes with their weights, and the model of the distances between them."""
     rows = t.seasonal_orders.withColumn("km", F.col("dist_pt_km") / 500)
-    fit = models.group_fit(rows, "sp", "km", "wgt_co", "gamma")
     water = t.geo_suppliers.select("wb_id", "lon", "lat", (F.col("wb_area_ha") / 1000).alias("wgt_area"))
-    return models.site_weights(t.sites, water, fit)
+    return t.sites, water, models.group_fit(rows, "sp", "km", "wgt_co", "gamma")
 
 
 SITE_SQL = f"""
@@ -198,7 +197,7 @@ c AS (SELECT site_id, sp, wb_id, dist_km, DEGREES(ATAN2(COS(RADIANS(lat)) * SIN(
 @query("M9 J17 G1 G2", "WITH " + SITE_SQL + """
 SELECT site_id, sp, wb_id, ROUND(dist_km, 6) AS dist_km, ROUND(angle_deg, 6) AS angle_deg, ROUND(angle_deg_base, 6) AS angle_deg_base, ROUND(wgt, 9) AS wgt FROM c""")
 def site_weights(t):
-    return site_choices(t).select("site_id", "sp", "wb_id", *_R("dist_km", "angle_deg", "angle_deg_base"), F.round("wgt", 9).alias("wgt"))
+    return models.site_weights(*sites_and_water(t)).select("site_id", "sp", "wb_id", *_R("dist_km", "angle_deg", "angle_deg_base"), F.round("wgt", 9).alias("wgt"))
 
 
 @query("M4")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldtrace.functions.geo import east_share, north_share
+from fieldtrace.functions.geo import bearing, distance_km, east_share, north_share
+from fieldtrace.functions.special import gamma_density
 from fieldtrace.operators.density import positive_share
 from fieldtrace.operators.joins import natural_join, union_all
-from fieldtrace.operators.ranks import running_total
+from fieldtrace.operators.ranks import row_numbers, running_total
+from fieldtrace.sources.store import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -56,6 +61,110 @@ def weighted_draws(birds: DataFrame, choices: DataFrame, site: str, uid: str, ch
     return hit.drop("_cell", "_at", "_lo", "_hi", "_site", "_part")
 
 
+def water_blocks(water: DataFrame, choice: str = "wb_id", weight: str = "wgt_area", cell: float = 2.0, block: int = 512) -> DataFrame:
+    """Water bodies of positive weight in blocks: those of one cell of the map, at most ``block`` of them, as an array."""
+    placed = water.where(F.col(weight) > 0).select(
+        F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"), F.col(choice).alias("c"), "lon", "lat", F.col(weight).alias("area"))
+    numbered = row_numbers(placed, ["cx", "cy"], ["c"], "_n")
+    return numbered.groupBy("cx", "cy", F.floor((F.col("_n") - 1) / block).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("c", "lon", "lat", "area"))).alias("bodies"))
+
+
+def site_draws(birds: DataFrame, sites: DataFrame, water: DataFrame, fit: DataFrame, replicates: int, group: str = "sp",
+               uid: str = "ring", choice: str = "wb_id", cell: float = 2.0, block: int = 512, birds_at_once: int = 256) -> DataFrame:
+    """For each individual and replicate one water body, drawn by its area weight and its distance to the nesting site.
+
+    ``birds`` has site_id and ``uid``, ``sites`` site_id, ``group``, n_lon, n_lat, ``water`` ``choice``, lon, lat, wgt_area,
+    ``fit`` the mean and the dispersion of the distances of each group.  Adds the choice, its distance and its bearing.
+
+    Water bodies stand in blocks of neighbours.  A site has one total per block, added up where the block is, so the
+    table of all sites and water bodies is never written or shuffled.  A draw is settled in two steps: birds of one site,
+    some at a time, meet the running totals of its blocks and draw a block; what they draw goes to the block in one row per
+    lot of birds, where the running total inside the block gives the body.  This is the inverse of the whole running
+    total, so shares are exact, and repeatable.  Birds of a site without any weight keep a missing choice.
+    """
+    models = fit.select(F.col(group).alias("_group"), (1 / F.col("dispersion")).alias("_shape"), (1 / (F.col("dispersion") * F.col("fit"))).alias("_rate"))
+    known = sites.join(models, F.col(group) == F.col("_group")).select("site_id", group, "n_lon", "n_lat", "_shape", "_rate")
+    blocks = staged(water_blocks(water, choice, "wgt_area", cell, block))
+    packs = F.greatest(F.lit(1), F.ceil(sites.agg(F.count(F.lit(1)).alias("n")).scalar() / 64)).cast("int")
+    visits = blocks.withColumn("_pack", F.explode(F.sequence(F.lit(0), packs - 1)))
+    dealt = known.withColumn("_pack", F.pmod(F.xxhash64("site_id"), packs).cast("int"))
+
+    def weight_of(body: Column) -> Column:
+        return body["area"] * gamma_density(distance_km("n_lon", "n_lat", body["lon"], body["lat"]), "_shape", "_rate")
+
+    each = F.transform("bodies", weight_of)
+    whole = F.aggregate(each, F.lit(0.0), lambda total, w: total + w)
+    totals = visits.join(dealt, "_pack").select("site_id", "cx", "cy", "part", whole.alias("total")).where("total > 0")
+    running = staged(totals.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("cx", "cy", "part", "total"))).alias("blocks")))
+    sizes = birds.groupBy("site_id").agg(F.ceil(F.count(F.lit(1)) / birds_at_once).cast("int").alias("_lots")).withColumnRenamed("site_id", "_site")
+    lots = birds.join(sizes, F.col("site_id").eqNullSafe(F.col("_site"))).groupBy("site_id", F.pmod(F.xxhash64(uid), F.col("_lots")).alias("_lot")).agg(
+        F.collect_list(F.col(uid)).alias("uids"))
+    asked = lots.join(running.withColumnRenamed("site_id", "_site"), F.col("site_id") == F.col("_site"), "left").select("site_id", "uids", "blocks")
+    site_type, uid_type = birds.schema["site_id"].dataType, birds.schema[uid].dataType
+
+    def to_blocks(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                uids, blocks = row["uids"], row["blocks"] or []
+                which, replicate = np.repeat(np.arange(len(uids)), replicates), np.tile(np.arange(1, replicates + 1), len(uids))
+                if blocks:
+                    heads = [hashlib.md5(f"{row['site_id']}|{u}|".encode()) for u in uids]
+                    u = np.empty(len(which))
+                    for i in range(len(which)):
+                        h = heads[which[i]].copy()
+                        h.update(b"%d" % replicate[i])
+                        u[i] = int(h.hexdigest()[:13], 16)
+                    upto = np.cumsum([b["total"] for b in blocks])
+                    point = u / _UNIT * upto[-1]
+                    at = np.minimum(np.searchsorted(upto, point, "right"), len(upto) - 1)
+                    rest = point - np.append(0.0, upto)[at]
+                else:
+                    at, rest = np.zeros(len(which), int), np.zeros(len(which))
+                order = np.argsort(at, kind="stable")
+                cuts = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1))
+                out = {k: [] for k in ("site_id", "cx", "cy", "part", "uids", "replicates", "rests")}
+                for low, high in zip(cuts[:-1], cuts[1:]):
+                    mine = order[low:high]
+                    b = blocks[at[mine[0]]] if blocks else {"cx": None, "cy": None, "part": None}
+                    for k, v in (("site_id", row["site_id"]), ("cx", b["cx"]), ("cy", b["cy"]), ("part", b["part"]),
+                                 ("uids", [uids[i] for i in which[mine].tolist()]), ("replicates", replicate[mine]), ("rests", rest[mine])):
+                        out[k].append(v)
+                types = [batch.schema.field("site_id").type, *[pa.int64()] * 3, batch.schema.field("uids").type, pa.list_(pa.int32()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+
+    many = [T.StructField("uids", T.ArrayType(uid_type)), T.StructField("replicates", T.ArrayType(T.IntegerType())), T.StructField("rests", T.ArrayType(T.DoubleType()))]
+    place = [T.StructField(c, T.LongType()) for c in ("cx", "cy", "part")]
+    drawn = asked.mapInArrow(to_blocks, T.StructType([T.StructField("site_id", site_type), *place, *many]))
+    there = drawn.withColumnRenamed("site_id", "_site").join(known, F.col("_site") == F.col("site_id"), "left").drop("site_id").join(
+        blocks, ["cx", "cy", "part"], "left").select(F.col("_site").alias("site_id"), group, "n_lon", "n_lat", "uids", "replicates", "rests",
+                                                     F.col("bodies.c").alias("cs"), F.col("bodies.lon").alias("lons"), F.col("bodies.lat").alias("lats"), each.alias("weights"))
+    choice_type = water.schema[choice].dataType
+
+    def settle(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i] for k in batch.schema.names}
+                rests = row["rests"].values.to_numpy()
+                n = len(rests)
+                if row["weights"].is_valid:
+                    upto = np.cumsum(row["weights"].values.to_numpy())
+                    at = pa.array(np.minimum(np.searchsorted(upto, rests, "right"), len(upto) - 1))
+                    taken = [row[k].values.take(at) for k in ("cs", "lons", "lats")]
+                else:
+                    taken = [pa.nulls(n, row[k].type.value_type) for k in ("cs", "lons", "lats")]
+                same = [pa.repeat(row[k], n) for k in ("site_id", group, "n_lon", "n_lat")]
+                yield pa.RecordBatch.from_arrays([*same, row["uids"].values, row["replicates"].values, *taken],
+                                                 names=["site_id", group, "n_lon", "n_lat", uid, "replicate", choice, "lon", "lat"])
+
+    number = lambda *names: [T.StructField(c, T.DoubleType()) for c in names]
+    out = there.mapInArrow(settle, T.StructType([
+        T.StructField("site_id", site_type), sites.schema[group], *number("n_lon", "n_lat"), T.StructField(uid, uid_type),
+        T.StructField("replicate", T.IntegerType()), T.StructField(choice, choice_type), *number("lon", "lat")]))
+    return out.select("site_id", group, uid, "replicate", choice, distance_km("n_lon", "n_lat", "lon", "lat").alias("dist_km"),
+                      bearing("n_lon", "lon", "n_lat", "lat").alias("angle_deg"))
+
+
 def with_realized(potential: DataFrame, realized: DataFrame, group: str, uid: str, angle: str, weight: str) -> DataFrame:
     """Drawn and observed directions in one table; replicate 0 is what was observed."""
     drawn = potential.select(group, uid, angle, F.col("replicate").alias("id"), F.lit("potential").alias("migration"))
