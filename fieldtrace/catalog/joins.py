@@ -93,7 +93,7 @@ def range_join_to_bins(t):
     bins = t.spark.range(8).select(F.col("id").alias("bin"), (15000.0 * F.col("id")).alias("down"),
                                    (15000.0 * (F.col("id") + 1) - 1e-6).alias("up"))
     rows = t.lineitem_price.select("id", "l_linenumber", "wb_area_ha")
-    return range_join(rows, "wb_area_ha", bins, "down", "up", lambda v: F.floor(v / 5000.0)).select(
+    return range_join(rows, "wb_area_ha", bins, "down", "up").select(
         "id", "l_linenumber", "wb_area_ha", "bin")
 
 

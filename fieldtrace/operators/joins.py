@@ -72,22 +72,49 @@ def ceiling_level(value, levels: list) -> tuple[Column, Column]:
     return level, F.when(level.isNotNull(), F.array_position(lv, level))
 
 
+def range_lookup(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows with the ranges that hold their value, both ends included, for a small fixed number of ranges.
+
+    The ranges travel as one array, so the rows are neither shuffled nor joined.
+    """
+    held = ranges.agg(F.collect_list(F.struct(*ranges.columns)).alias("_held"))
+    mine = F.filter("_held", lambda r: F.col(value).between(r[low], r[high]))
+    return rows.join(F.broadcast(held)).withColumn("_r", F.explode(mine)).select(  # one row
+        *rows.columns, *[F.col(f"_r.{c}").alias(c) for c in ranges.columns])
+
+
 def range_join(
-    rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, cell_of,
-    group: list[str] | None = None,
+    rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, group: list[str] | None = None, cells: int = 1024,
 ) -> DataFrame:
-    """Rows with the ranges that hold their value, both ends included.
+    """Rows with the ranges that hold their value, both ends included, for any number of ranges.
 
-    ``cell_of`` maps a value expression to an integer cell that grows with the value.  A range
-    is repeated in every cell it touches and a row has one cell, so the join is an equality on
-    the cell (and on ``group``) before the ends are compared, and gives each match once.
+    Cells are cut at about equal counts of the rows' own values, so they fit columns with long tails; a value that
+    stands in very many rows has a cell to itself, which a join splits.  A range is repeated in every cell that it
+    touches and a row has one cell, so the join is an equality on the cell (and on ``group``) before the ends are
+    compared, and gives each match once.
     """
     group = group or []
-    spread = ranges.withColumn(
-        "_cell", F.explode(F.sequence(cell_of(F.col(low)), cell_of(F.col(high)))))
-    r = spread.select(*[F.col(c).alias(f"_g_{c}") for c in group],
-                      *[c for c in spread.columns if c not in group])
-    celled = rows.withColumn("_row_cell", cell_of(F.col(value)))
+    at = [i / cells for i in range(1, cells)]
+    # one row with an array of ``cells`` numbers at most
+    edges = rows.agg(F.coalesce(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, 10 * cells))),
+                                F.array().cast("array<double>")).alias("_edges"))
+
+    def cell_of(v: Column) -> Column:
+        """Number of edges at or below the value, by halving."""
+        steps = F.sequence(F.lit(0), F.lit(cells.bit_length()))
+        start = F.struct(F.lit(0).alias("lo"), F.size("_edges").alias("hi"))
+
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            open_, below = s["lo"] < s["hi"], F.coalesce(F.get("_edges", mid) <= v, F.lit(False))
+            return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+        return F.aggregate(steps, start, halve)["lo"]
+
+    spread = ranges.where(F.col(low) <= F.col(high)).join(F.broadcast(edges)).withColumn(
+        "_cell", F.explode(F.sequence(cell_of(F.col(low)), cell_of(F.col(high))))).drop("_edges")
+    r = spread.select(*[F.col(c).alias(f"_g_{c}") for c in group], *[c for c in spread.columns if c not in group])
+    celled = rows.where(F.col(value).isNotNull()).join(F.broadcast(edges)).withColumn("_row_cell", cell_of(F.col(value))).drop("_edges")
     cond = (F.col("_row_cell") == F.col("_cell")) & F.col(value).between(F.col(low), F.col(high))
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))

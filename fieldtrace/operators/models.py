@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.geo import bearing, distance_km, full_turn_radians, planar_bearing
 from fieldtrace.functions.special import gamma_density, normal_quantile, von_mises_kappa
-from fieldtrace.operators.joins import range_join, union_all
+from fieldtrace.operators.joins import range_lookup, union_all
 from fieldtrace.operators.keyed import ROWS, add_count, attach_per_key
 from fieldtrace.operators.ranks import quantiles, row_numbers
 
@@ -155,9 +155,8 @@ def occupied_bins(occupied: DataFrame, everything: DataFrame, value: str, parts:
 
 
 def habitat_weights(bins: DataFrame, everything: DataFrame, value: str) -> DataFrame:
-    """Each row's bin and its equal share of the weight of the bin."""
-    width = everything.agg((F.max(value) / 256).alias("w")).scalar()
-    placed = range_join(everything, value, bins, "down", "up", lambda v: F.floor(v / width))
+    """Each row's bin and its equal share of the weight of the bin; a few bins, looked up in one array."""
+    placed = range_lookup(everything, value, bins, "down", "up")
     return add_count(placed, ["bin"], "n").withColumn("wgt_area", F.col("wgt") / F.col("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.jaro import jaro_distances
-from fieldtrace.operators import density, keyed, mixed, models, ranks, resample, resolve, spatial, timeline
+from fieldtrace.operators import density, joins, keyed, mixed, models, ranks, resample, resolve, spatial, timeline
 
 
 @pytest.fixture
@@ -351,3 +351,48 @@ def test_timeline_matches_all_communes(tables, monkeypatch):
     with pytest.raises(StopIteration):
         flows.dataset_timeline(tables)
     assert given[0].count() == tables.communes.count()
+
+
+def test_quantiles_of_odd_values(spark):
+    rng = random.Random(8)
+    values = {0: [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(700)], 1: [0.0] * 50, 2: [5.0], 3: [1.0 + i * 2.0**-52 for i in range(300)],
+              None: [rng.gauss(0, 1) for _ in range(400)] + [3.25] * 900, 4: [float(i) for i in range(-500, 500)], 5: [1e9 + i / 7 for i in range(5000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [(0, None), (9, None)], "g long, v double").repartition(5)
+    probs = [0, 0.1, 1 / 3, 0.5, 0.77, 1]
+    got = {(r.g, r.q_id): r.quantile for r in ranks.quantiles(df, ["g"], "v", probs).collect()}
+    assert {g for g, _ in got} == set(values)
+    for g, vs in values.items():
+        for i, p in enumerate(probs):
+            assert got[g, i] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-300)
+    alone = ranks.quantiles(df.where("g = 5"), [], "v", [0.5]).first().quantile
+    assert alone == got[5, 3]
+    plan = ranks.quantiles(df, ["g"], "v", probs)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    special = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (float("-inf"),), (-2.0,)], "v double")
+    assert [r.quantile for r in ranks.quantiles(special, [], "v", [0, 0.25, 0.5, 0.75]).sort("q_id").collect()] == [float("-inf"), -2.0, 1.0, float("inf")]
+    assert ranks.quantiles(special.limit(0), [], "v", probs).collect() == []
+
+
+@pytest.mark.parametrize("lookup", [True, False])
+def test_ranges_of_long_tailed_and_equal_values(spark, lookup):
+    rng = random.Random(6)
+    rows = [(i, 10 ** rng.uniform(-6, 12)) for i in range(800)] + [(i, 0.0) for i in range(800, 1000)] + [(1000, None)]
+    edges = sorted([0.0] + [10 ** rng.uniform(-6, 12) for _ in range(9)])
+    ranges = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))] + [(90, 5.0, 5e9), (91, 3.0, 2.0), (92, 0.0, 0.0)]
+    df, r = spark.createDataFrame(rows, "id long, v double"), spark.createDataFrame(ranges, "k long, a double, b double")
+    find = joins.range_lookup if lookup else joins.range_join
+    want = sorted((i, k) for i, v in rows for k, a, b in ranges if v is not None and a <= v <= b)
+    assert sorted((x.id, x.k) for x in find(df, "v", r, "a", "b").collect()) == want
+    zeros = df.where("v = 0")
+    assert find(zeros, "v", r, "a", "b").count() == 200 * sum(a <= 0 <= b for _, a, b in ranges)
+    assert find(df.limit(0), "v", r, "a", "b").count() == 0 and find(df, "v", r.limit(0), "a", "b").count() == 0
+    if not lookup:  # values of a long tail are spread over the cells
+        spread = joins.range_join(df.where("v > 0"), "v", spark.createDataFrame([(i, 10.0**i, 10.0 ** (i + 1)) for i in range(-6, 12)], "k long, a double, b double"), "a", "b", cells=16)
+        assert spread.count() >= 800
+
+
+def test_habitat_weights_of_equal_areas(spark):
+    df = spark.createDataFrame([(i, 0.0) for i in range(20)], "id long, v double")
+    bins = models.occupied_bins(df, df, "v")
+    got = models.habitat_weights(bins, df, "v").where("wgt > 0").groupBy("bin").agg({"wgt_area": "sum"}).collect()
+    assert all(abs(r[1] - 1) < 1e-12 for r in got)
