@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +34,33 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``written`` wrote; nothing may read these tables any more.
+
+    The driver then drops what it holds of finished shuffles, so executors delete their files.
+    """
+    spark = None
+    for table_ in tables:
+        path = getattr(table_, "_written_to", None)
+        if path:
+            spark = table_.sparkSession
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where the table has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def labelled_sample(rows: DataFrame, label: str, per_label: int, order: str = "doc_id") -> DataFrame:

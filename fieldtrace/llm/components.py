@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import written
+from fieldtrace.llm.common import discard, written
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,9 +27,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(low, "u").where(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct())
+        discard(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

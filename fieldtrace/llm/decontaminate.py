@@ -127,20 +127,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns as they are, without an occurrence of a benchmark window."""
+    """The documents, all columns as they are, without an occurrence of a benchmark window.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table or benchmark leaves the documents as
+    they are; columns may have any names.
+    """
     bad = find_contamination(docs, benchmark, n, key, text).where("contaminated").select(
         F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_bad_key")) & (F.xxhash64(docs[text]) == F.col("_bad_hash")), "left_anti")
+    return docs.join(bad, docs[key].eqNullSafe(bad["_bad_key"]) & (F.xxhash64(docs[text]) == bad["_bad_hash"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns as they are, with the words of every hit, and what follows each up to the next word, removed."""
+    """The documents, all columns as they are, with the words of every hit, and what follows each up to the next word, removed.
+
+    Null and empty texts stay as they are; repeated rows stay repeated; an empty table or benchmark changes nothing;
+    columns may have any names.
+    """
     found = find_contamination(docs, benchmark, n, key, text).where("contaminated").select(
         F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash"), "spans").dropDuplicates(["_bad_key", "_bad_hash"])
-    met = docs.join(found, docs[key].eqNullSafe(F.col("_bad_key")) & (F.xxhash64(docs[text]) == F.col("_bad_hash")), "left")
+    spans = found["spans"]
+    met = docs.join(found, docs[key].eqNullSafe(found["_bad_key"]) & (F.xxhash64(docs[text]) == found["_bad_hash"]), "left")
     letter = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(docs[text], F.lit(f"{letter}+(?:(?!{letter})[\\s\\S])*"), F.lit(0))
     lead = F.regexp_extract(docs[text], f"^(?:(?!{letter})[\\s\\S])*", 0)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"])))
-    return met.select(*[F.when(F.col("spans").isNull(), docs[c]).otherwise(F.concat(lead, F.array_join(kept, ""))).alias(c)
+    kept = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["start"] + s["length"])))
+    return met.select(*[F.when(spans.isNull(), docs[c]).otherwise(F.concat(lead, F.array_join(kept, ""))).alias(c)
                         if c == text else docs[c] for c in docs.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Hashes, chunks, flat_text, mix, shingles, words, written
+from fieldtrace.llm.common import Hashes, chunks, discard, flat_text, free_name, mix, shingles, words, written
 from fieldtrace.llm.components import components
 
 BANDS, ROWS = 20, 4
@@ -131,55 +131,66 @@ def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     signed = slim.mapInArrow(sign, "key long, text_key binary, signature binary, bands array<long>")
     texts = signed.groupBy("text_key").agg(F.min("key").alias("first_key"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()))
-    links, classes = _links(texts, slim.select("text_key", "text"))
+    links, classes, stages = _links(texts, slim.select("text_key", "text"))
     linked = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     several = texts.select("node", "text_key", "first_key").join(classes, "node")
     first = several.groupBy("component").agg(F.min("first_key").alias("class_id"), F.min("text_key").alias("class_key"))
     found = several.select("node", "component").join(first, "component").join(linked, "node").drop("component")
-    return written(texts.select("node", "text_key", "first_key").join(found, "node", "left").select(
+    out = written(texts.select("node", "text_key", "first_key").join(found, "node", "left").select(
         "text_key", "first_key", F.when(F.col("class_key").isNotNull(), F.col("class_id")).otherwise(F.col("first_key")).alias("class_id"),
         F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    discard(texts, *stages)
+    return out
+
 
+def _links(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Verified links between texts (a, b), the classes that they make (node, component), and the tables both read.
 
-def _links(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links between texts (a, b) and the classes that they make (node, component)."""
+    A round's own tables go as soon as the next ones are written.
+    """
     spark = texts.sparkSession
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(buckets.join(sizes, "bucket"))
     # The text that meets most others leads first: it is the likely origin of the copies around it.
     rank = written(members.groupBy("node").agg(F.struct((-F.sum("size")).alias("less"), "node").alias("rank")))
-    members = written(members.select("bucket", "node", "size").join(rank, "node"))
+    first, members = members, written(members.select("bucket", "node", "size").join(rank, "node"))
+    discard(first)
     wanted = rank.select("node").join(texts.select("node", "text_key"), "node")
     full = written(slim.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text"))
     links = spark.createDataFrame([], "a long, b long")
     classes = spark.createDataFrame([], "node long, component long")
     led = None
+    stages = [full]
+    discard(rank)
     pairs_asked = PAIRS_ASKED
     while True:
-        now = members.join(classes, "node", "left").select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
+        now = members.select("bucket", "node", "size", "rank").join(classes, "node", "left").select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        members = written(now.join(several, "bucket"))  # buckets of one class are done
+        done, members = members, written(now.join(several, "bucket"))  # buckets of one class are done
+        discard(done)
         waiting = members if led is None else members.join(led, ["bucket", "node"], "left_anti")
         slots = F.greatest(F.lit(1), F.floor(F.lit(pairs_asked) / F.col("size")))  # few leaders in a large bucket, all in a small one
         leaders = written(waiting.groupBy("bucket", F.pmod(F.xxhash64("node"), slots).alias("slot")).agg(
             F.min(F.struct("rank", "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.component").alias("led_by")))
+        stages.append(leaders)
         if leaders.isEmpty():
-            return links, classes
+            return links, classes, [*stages, members]
         pairs = members.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led_by"))).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        members = members.drop("component")
-        new = written(_verified(pairs, texts, full))
+        new = _verified(pairs, texts, full)
+        stages.append(new)
         if not new.isEmpty():
             links = links.unionByName(new)
             classes = written(components(links, "a", "b"))
+            stages.append(classes)
         done = leaders.select("bucket", F.col("leader").alias("node"))
         led = done if led is None else led.unionByName(done)
         pairs_asked *= 4
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs whose registers agree well enough and whose shingles are as similar as asked."""
+    """Written pairs whose registers agree well enough and whose shingles are as similar as asked."""
     def agree(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
@@ -202,14 +213,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, full: DataFrame) -> DataFrame:
 
     met = likely.join(full.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
         full.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return met.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    found = written(met.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    discard(likely)
+    return found
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: key, class_id, class_key, n_links.
 
     ``class_id`` is the smallest key of the class, ``class_key`` names its smallest text digest, ``n_links`` counts the
-    verified links of the document's text to other texts.  Equal texts are of one class.  A text without a word (null,
+    verified links of the document's text that were used to join the class; pairs already in one class are not compared.  Equal texts are of one class.  A text without a word (null,
     empty, punctuation) is like no other: its class is its own key, its class_key null.  A text of fewer than five
     words is one shingle.  Null keys join classes like others but never name one that has a key; repeated rows
     each give a row; an empty table gives no rows; other columns are not read.
@@ -225,13 +238,15 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, with one row of each class: that of the smallest key, then the smallest text digest.
 
-    Rows without a word all stay; of repeated rows with one key and one text one stays.
+    Rows without a word all stay; of repeated rows with one key and one text one stays; an empty table gives no rows;
+    columns may have any names.
     """
     order = F.struct(F.col("first_key").isNull().alias("n"), "first_key", "text_key")
     kept = find_classes(docs, key, text).groupBy("class_key").agg(F.min(order).alias("k")).select(
         F.col("k.first_key").alias("_key"), F.col("k.text_key").alias("_text_key"))
-    marked = docs.where(_has_word(text)).withColumn("_text_key", _text_key(text)).withColumn("_key", F.col(key).cast("long"))
+    my_text, my_key = free_name(docs, "_text_key"), free_name(docs, "_key")
+    marked = docs.where(_has_word(text)).withColumn(my_text, _text_key(text)).withColumn(my_key, F.col(key).cast("long"))
     # One text can hold a third of all rows; only rows that carry a kept key as well go on to be told apart.
-    mine = marked.join(kept, (marked["_text_key"] == kept["_text_key"]) & marked["_key"].eqNullSafe(kept["_key"]), "left_semi")
-    one = mine.dropDuplicates(["_text_key", "_key"]).select(*docs.columns)
+    mine = marked.join(kept, (marked[my_text] == kept["_text_key"]) & marked[my_key].eqNullSafe(kept["_key"]), "left_semi")
+    one = mine.dropDuplicates([my_text, my_key]).select(*docs.columns)
     return one.unionByName(docs.where(~_has_word(text)))

@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 # The plain patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOTTED_DIGITS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -55,11 +55,28 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _ips(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of four dotted parts: each run of digits and single dots is read once, four parts at a time."""
+    found = []
+    for run in _DOTTED_DIGITS.finditer(text):
+        if run.end() - run.start() < 7:
+            continue
+        parts, at = run.group().split("."), run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i:i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(_at_most_255, four)):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
 def plain_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all plain identifiers, sorted by start, then kind."""
     found = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if _HAS_DIGIT(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_at_most_255(p) for p in m.group().split("."))]
+        if "." in text:
+            found += [("ip", s, e) for s, e in _ips(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = _NOT_DIGIT.sub("", m.group())
@@ -108,20 +125,25 @@ _LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*"
 _BRACKETED = r"\s*[\[({<]\s*(?:%s)\s*[\])}>]\s*"
 _AT = _BRACKETED % r"at|@|arroba|chez|ät"
 _DOT = _BRACKETED % r"dot|\.|punkt|point|punto"
+# Ends of domains before which the other languages' words for a dot are read as one; elsewhere they are words.
+_BARE_DOT = (r"(?:\s+dot\s+|\s+punkt\s+(?=(?:com|org|net|info|de|at|ch)\b)|\s+point\s+(?=(?:com|org|net|info|fr|ch)\b)"
+             r"|\s+punto\s+(?=(?:com|org|net|info|es|mx)\b))")
 #: local AT domain DOT label: the at in brackets with any kind of dot, or bare with at least one spelled dot.
 _DISGUISED_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:(?:{_DOT}|\s+dot\s+)[A-Za-z0-9._%+-]+)*)"
-    rf"(?:({_AT}|\s+@\s*|@\s+|_at_)(?=\S)|(\s+at\s+))({_LABEL})((?:(?:{_DOT}|\s+dot\s+|_dot_|\s*\.\s*(?=[a-z]{{2,}}\b)|\.){_LABEL})+)",
+    rf"(?:({_AT}|\s+@\s*|@\s+|_at_)(?=\S)|(\s+(?:at|arroba|ät)\s+))({_LABEL})((?:(?:{_DOT}|{_BARE_DOT}|_dot_|\s*\.\s*(?=[a-z]{{2,}}\b)|\.){_LABEL})+)",
     re.IGNORECASE)
-_MAY_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|\s@|@\s|_at_|\sat\s[^\n]{1,200}?(?:\sdot\s|[\[({<]\s*dot)", re.IGNORECASE).search
+_MAY_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|\s@|@\s|_at_", re.IGNORECASE).search
+_MAY_BARE_AT = re.compile(r"\s(?:at|arroba|ät)\s", re.IGNORECASE).search
+_MAY_SPELL_DOT = re.compile(r"\s(?:dot|punkt|point|punto)\s|[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]|_dot_", re.IGNORECASE).search
 #: The same with a plain @: a dot of the domain is spelled or in brackets, or one of the local part in brackets.
 _PLAIN_AT_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:(?:{_DOT}|\s+dot\s+)[A-Za-z0-9._%+-]+)*)@({_LABEL}(?:(?:{_DOT}|\s+dot\s+|_dot_|\.){_LABEL})+)",
     re.IGNORECASE)
 _MAY_PLAIN_AT = re.compile(rf"@{_LABEL}(?:\.{_LABEL})*(?:{_DOT}|\s+dot\s|_dot_)|[\])}}>]\s*[A-Za-z0-9._%+-]+@", re.IGNORECASE).search
 _BRACKETED_DOT = re.compile(_DOT, re.IGNORECASE)
-_ANY_DOT = re.compile(rf"{_DOT}|\s+dot\s+|_dot_|\s*\.\s*", re.IGNORECASE)
-_SPELLED_DOT = re.compile(rf"{_DOT}|\s+dot\s+|_dot_", re.IGNORECASE)
+_ANY_DOT = re.compile(rf"{_DOT}|{_BARE_DOT}|_dot_|\s*\.\s*", re.IGNORECASE)
+_SPELLED_DOT = re.compile(rf"{_DOT}|{_BARE_DOT}|_dot_", re.IGNORECASE)
 _DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\s+dot\s+)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _MAY_DOT = re.compile(r"[0-9]\s*(?:[\[({<]\s*(?:dot|\.)|\sdot\s)", re.IGNORECASE).search
 
@@ -230,7 +252,7 @@ def _normalised(text: str, stand_ins: bool) -> _Normal | None:
         normal.rewrite(_spelled_digits(normal.text))
     if _MAY_DOT(normal.text):
         normal.rewrite(_dotted(normal.text))
-    if _MAY_AT(normal.text):
+    if _MAY_AT(normal.text) or (_MAY_BARE_AT(normal.text) and _MAY_SPELL_DOT(normal.text)):
         normal.rewrite(_at_and_dot(normal.text))
     if "@" in normal.text and _MAY_PLAIN_AT(normal.text):
         normal.rewrite(_plain_at(normal.text))
@@ -295,7 +317,10 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def redact_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with all columns, plain and disguised identifiers in ``text`` replaced; null stays null."""
+    """The documents with all columns, plain and disguised identifiers in ``text`` replaced; null stays null.
+
+    Rows are independent, so repeated rows stay repeated; an empty table gives no rows; columns may have any names.
+    """
     names = docs.columns
 
     def rewrite(batches):

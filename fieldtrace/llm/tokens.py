@@ -2,7 +2,8 @@
 
 Both vocabularies split a text by a fixed pattern before merging, and a piece always gets the same
 ids, so each distinct piece goes through the library once per worker.  Texts with characters for
-which the split could differ from the pattern below go through the library whole.
+which the split could differ from the pattern below, or with the wording of a token that was added
+to the vocabulary, go through the library whole.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self._split = SPLITS.get(path.rsplit("/", 1)[-1])
         self._lower = path.endswith("word_bpe_49k.json")
         self._merge = self._tokenizer.model.tokenize
@@ -73,7 +75,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._split is None or _UNUSUAL.search(text):
+        if self._split is None or _UNUSUAL.search(text) or self._added(text):
             return self._whole([text])[0]
         pieces = self._split.findall(text)
         try:

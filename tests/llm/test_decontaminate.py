@@ -88,3 +88,14 @@ def test_windows_of_every_length_at_every_place(spark):
         ITEMS = kept
         got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string"))
         assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans], r.contaminated) for r in got.collect()) == sorted(want)
+
+
+def test_columns_of_any_name_stay(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"zero {passage} eleven", "s", "k", 7), (2, "nothing here", "t", "l", 8), (None, None, "u", "m", 9)],
+                                 "doc_id long, text string, spans string, _bad_key string, _bad_hash int")
+    bench = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    assert sorted(map(str, drop_contaminated(docs, bench).collect())) == sorted(map(str, docs.where("doc_id IS DISTINCT FROM 1").collect()))
+    got = {r.doc_id: r for r in remove_spans(docs, bench).collect()}
+    assert got[1].text == "zero eleven" and (got[1].spans, got[1]._bad_key, got[1]._bad_hash) == ("s", "k", 7)
+    assert got[2].text == "nothing here" and got[None].text is None

@@ -146,3 +146,8 @@ def test_odd_rows_and_a_large_group(odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
         [str(k) for k in best.values()] + [str(k) for k, t in rows if not shingled(t)])
     assert N.near_duplicate_classes(docs.limit(0)).count() == 0 and N.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay_when_copies_go(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "orig", "t1"), (2, "a b c d e f", "copy", "t2"), (3, None, "none", "t3")], "doc_id long, text string, _key string, _text_key string")
+    assert sorted((r.doc_id, r["_key"], r["_text_key"]) for r in N.drop_near_duplicates(docs).collect()) == [(1, "orig", "t1"), (3, "none", "t3")]

@@ -1,7 +1,9 @@
 """Plain identifiers against the patterns written out, disguised ones against what they stand for."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -106,3 +108,31 @@ def test_frames(spark):
     assert texts[0] == "x" and texts[1] == "<EMAIL> and <IP>" and texts[3] is None and texts[-1] == "<EMAIL>"
     assert texts[-2] == "word " * 50_000 + "<EMAIL>"
     assert find_personal_data(docs.limit(0)).count() == 0 and redact_personal_data(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["john at example (punkt) com", "john [at] example punkt com", "john arroba example punto com", "john at example punkt com",
+                                  "john at example dot com"])
+def test_addresses_spelled_in_four_languages(text):
+    base, every = all_spans(f"écrire à {text}, merci")
+    assert base == [] and every == [("email", 9, 9 + len(text))]
+
+
+def test_words_for_a_dot_stay_words():
+    for text in ("we met at the point of no return", "at this point it is", "sie kam an den punkt de facto", "hablo at gusto punto y coma", "look at it point by point"):
+        assert all_spans(text) == ([], [])
+
+
+def test_long_runs_of_digits_are_read_once():
+    for text in ("1" * 1_000_000, "one " * 100_000, "1." * 300_000, "1 " * 300_000, "+" + "1 " * 300_000):
+        began = time.process_time()
+        all_spans(text)
+        assert time.process_time() - began < 5
+
+
+def test_runs_of_dotted_numbers():
+    old = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["1", "25", "300", "0007", ".", ".", "..", " ", "a"]) for _ in range(rng.randint(0, 30)))
+        want = [("ip", *m.span()) for m in old.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [s for s in plain_spans(text) if s[0] == "ip"] == want

@@ -27,7 +27,6 @@ kept_encoder = cache(Encoder)
 @cache
 def reference(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -42,6 +41,15 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
         assert kept_encoder(path)(text) == np.array(reference(path)(text), "<u4").tobytes()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|ENDoftext|>", "<|", "endoftext", "|>", " ", "a", "Bé", "\n", "1", "½"]), max_size=12))
+def test_added_tokens_in_texts(parts):
+    text = "".join(parts)
+    for path in (WORD, BYTE):
+        assert kept_encoder(path)(text) == np.array(reference(path)(text), "<u4").tobytes()
+    assert 49407 in reference(WORD)("a <|endoftext|> b") and 50256 in reference(BYTE)("a <|endoftext|> b")
+
+
 def test_files_round_trip(spark):
     keys = [*range(len(TEXTS) - 3), None, 5, 5]
     manifest = write_token_files(table(spark, keys), WORD, 1)
