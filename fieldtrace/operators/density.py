@@ -104,7 +104,7 @@ def _spread(binned: DataFrame, n: int, nodes: int) -> DataFrame:
 
 def kernel_density(df: DataFrame, group: list[str], value: str, weight: str | None = None, *, n: int = 512,
                    bw: float | None = None, adjust: float = 1.0, span: tuple[float, float] | None = None) -> DataFrame:
-    """Weighted normal-kernel density on ``n`` points per group; weights count as shares.
+    """Weighted normal-kernel density on ``n`` points per group; weights count as shares, of a sum of 0 there are none.
 
     Without ``bw`` the rule of thumb of the unweighted values applies; without ``span`` the grid
     runs three bandwidths beyond the data.
@@ -118,12 +118,12 @@ def kernel_density(df: DataFrame, group: list[str], value: str, weight: str | No
     rows = attach_per_key(df, params, group, "inner")
     masses = rows.groupBy(*group).agg(F.sum(F.lit(1.0) if weight is None else F.col(weight)).alias("_whole"))
     y = _spread(_binned(rows, group, value, weight, nodes), n, nodes).groupBy(*group, "k", "x").agg(F.sum("_y").alias("_y"))
-    return _per_group(y, masses, group).select(*group, F.col("k").alias("point"), "x", (F.col("_y") / F.col("_whole")).alias("density"))
+    return _per_group(y, masses, group).select(*group, F.col("k").alias("point"), "x", F.try_divide("_y", "_whole").alias("density"))
 
 
 def circular_density(df: DataFrame, group: list[str], angle: str, weight: str | None = None, bw: float = 12.0,
                      n: int = 1000) -> DataFrame:
-    """Density of angles in degrees: three copies a full turn apart, cut to -180..180, shares of 1."""
+    """Density of angles in degrees: three copies a full turn apart, cut to -180..180, shares of 1; missing for weights of 0."""
     df = _known(df, angle, weight)
     shift = F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))
     copies = df.select("*", shift.alias("_turn")).withColumn(angle, F.col(angle) + F.col("_turn")).drop("_turn")
@@ -136,7 +136,7 @@ def circular_density(df: DataFrame, group: list[str], angle: str, weight: str |
     shown = y.where(F.col("x").between(-180, 180))
     whole = Window.partitionBy(*(group or [F.lit(0)]))  # at most n rows per group
     return shown.select(*group, F.col("k").alias("point"), F.col("x").alias("angle_deg"),
-                        (F.col("_y") / F.sum("_y").over(whole)).alias("density"))
+                        F.try_divide(F.col("_y"), F.sum("_y").over(whole)).alias("density"))
 
 
 def positive_share(df: DataFrame, group: list[str], value: str, weight: str | None = None, n: int = 512) -> DataFrame:
@@ -148,7 +148,7 @@ def positive_share(df: DataFrame, group: list[str], value: str, weight: str | No
     nodes = _nodes(n)
     spread = _spread(_binned(rows, group, value, weight, nodes), n, nodes)
     return spread.groupBy(*group).agg(
-        (F.sum(F.when(F.col("x") > 0, F.col("_y")).otherwise(0.0)) / F.sum("_y")).alias("prop"))
+        F.try_divide(F.sum(F.when(F.col("x") > 0, F.col("_y")).otherwise(0.0)), F.sum("_y")).alias("prop"))
 
 
 def _share(at: Column) -> Column:

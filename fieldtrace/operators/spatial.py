@@ -14,9 +14,10 @@ from fieldtrace.functions.geo import (
 )
 from fieldtrace.operators.joins import union_all
 from fieldtrace.operators.keyed import ROWS, attach_per_key
+from fieldtrace.operators.ranks import row_numbers
 from fieldtrace.sources.store import staged
 
-_FAN, _LEVELS = 8, 4  # cells per axis and step of the nearest search, and steps
+_FAN = 32  # edges of a leaf and children of a node in the nearest search
 
 
 def _cell(c: Column | str, size: float) -> Column:
@@ -61,50 +62,74 @@ def label_near_site(lon, lat, label, site: tuple[float, float], km: float, name:
     return F.when(near & (d <= km), F.lit(name)).otherwise(F.col(label) if isinstance(label, str) else label)
 
 
+def _z_order(x: Column, y: Column) -> Column:
+    """Place of a longitude and latitude along a curve through the quadrants, their quadrants and so on, 26 times."""
+    def spread(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    def steps(v: Column, low: float, width: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(2**26 - 1), F.floor((v - low) * (2**26 / width)))).cast("bigint")
+
+    return spread(steps(x, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(steps(y, -90.0, 180.0)), 1))
+
+
+def _packed_tree(edges: DataFrame, feature: str, group: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges in leaves of ``_FAN`` neighbours, and for each level the nodes with their children, the leaves' parents first.
+
+    Leaves are runs along the curve through the quadrants, nodes are runs of children.  So every node but the last of
+    a level is full however the edges lie, and a dense place simply has more, smaller nodes.  The last level has one
+    node per group, with ``_FAN`` children at most.
+    """
+    placed = edges.withColumns({"_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2}).withColumns({
+        "_z": _z_order(F.col("_mx"), F.col("_my")),
+        "_half": F.greatest(distance_km("_mx", "_my", "x1", "y1"), distance_km("_mx", "_my", "x2", "y2"))})
+    numbered = row_numbers(placed.select(*group, feature, "x1", "y1", "x2", "y2", "_mx", "_my", "_half", "_z"), group,
+                           ["_z", "x1", "y1", "x2", "y2", feature], "_n")
+    box = [F.min("_mx").alias("xa"), F.min("_my").alias("ya"), F.max("_mx").alias("xb"), F.max("_my").alias("yb"),
+           F.max("_half").alias("half"), F.min(F.struct("x1", "y1")).alias("rep")]
+    leaves = staged(numbered.groupBy(*group, F.floor((F.col("_n") - 1) / _FAN).alias("_node")).agg(
+        F.collect_list(F.struct(F.col(feature).alias("f"), "x1", "y1", "x2", "y2")).alias("_edges"), *box))
+    levels, below, last = [], leaves.drop("_edges"), leaves.agg(F.coalesce(F.max("_node"), F.lit(0))).first()[0]
+    names = ["xa", "ya", "xb", "yb", "half", "rep"]
+    while True:
+        up = below.groupBy(*group, F.floor(F.col("_node") / _FAN).alias("_up")).agg(
+            F.collect_list(F.struct(F.col("_node").alias("id"), *names)).alias("_children"),
+            *[F.min(c).alias(c) for c in ("xa", "ya", "rep")], *[F.max(c).alias(c) for c in ("xb", "yb", "half")]).withColumnRenamed("_up", "_node")
+        levels.append(up.select(*group, "_node", "_children"))
+        if last < _FAN:
+            return leaves, levels
+        below, last = staged(up.drop("_children")), last // _FAN
+
+
 def nearest_feature(points: DataFrame, edges: DataFrame, feature: str, group: list[str] | None = None,
                     x: str = "lon", y: str = "lat") -> DataFrame:
     """Nearest feature of each distinct position (of the same ``group``), and its distance.
 
-    Descends a grid: of the cells next in line a position keeps those that cannot be farther
-    than the nearest known feature, so dense cells are split before anything in them is compared.
+    Descends a tree that is cut by counts: of the children of a node a position keeps those that cannot be farther than
+    the nearest known feature.  A position meets ``_FAN`` boxes a node, wherever features are dense.  The root, one row of
+    that many boxes, is broadcast where there are no groups; below it, positions and nodes meet on the node, and many
+    positions at one node are a large partition on one side only, which adaptive execution splits.
     Ties go to the smaller feature key.  A point feature is an edge of length zero.
     """
     group = group or []
     key = [*group, x, y]
-    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    n = _FAN**_LEVELS
-    leaves = edges.withColumns({"_mx": mx, "_my": my}).withColumns({
-        "_ix": F.floor((F.col("_mx") + 180.0) * (n / 360.0)).cast("int"),
-        "_iy": F.floor((F.col("_my") + 90.0) * (n / 180.0)).cast("int"),
-        "_half": F.greatest(distance_km("_mx", "_my", "x1", "y1"), distance_km("_mx", "_my", "x2", "y2")),
-    })
-    cells = {_LEVELS: staged(leaves.groupBy(*group, "_ix", "_iy").agg(
-        F.max("_half").alias("_half"), F.min(F.struct("x1", "y1")).alias("_rep")))}
-    for level in range(_LEVELS - 1, 0, -1):
-        below = cells[level + 1]
-        cells[level] = below.groupBy(
-            *group, F.floor(F.col("_ix") / _FAN).cast("int").alias("_ix"),
-            F.floor(F.col("_iy") / _FAN).cast("int").alias("_iy"),
-        ).agg(F.max("_half").alias("_half"), F.min("_rep").alias("_rep"))
-    open_cells = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key).distinct().withColumns(
-        {"_px": F.lit(0), "_py": F.lit(0)})
-    for level in range(1, _LEVELS + 1):
-        w, h = 360.0 / _FAN**level, 180.0 / _FAN**level
-        children = cells[level].withColumns({
-            "_px": F.floor(F.col("_ix") / _FAN).cast("int"), "_py": F.floor(F.col("_iy") / _FAN).cast("int")})
-        met = open_cells.join(children, [*group, "_px", "_py"])
-        xa, ya = F.col("_ix") * w - 180.0, F.col("_iy") * h - 90.0
-        least = box_distance_floor_km(x, y, xa, ya, xa + w, ya + h) - F.col("_half")
-        most = distance_km(x, y, "_rep.x1", "_rep.y1")
-        bounds = met.select(*key, F.struct("_ix", "_iy", least.alias("least")).alias("c"), most.alias("most"))
-        best = bounds.groupBy(*key).agg(F.min("most").alias("_most"), F.collect_list("c").alias("_cells"))
-        kept = F.filter("_cells", lambda c: c["least"] <= F.col("_most") + 1e-6)
-        open_cells = best.select(*key, F.inline(kept)).select(
-            *key, F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
-    fine = leaves.select(*group, feature, "x1", "y1", "x2", "y2", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
-    last = staged(open_cells).join(fine, [*group, "_px", "_py"])
+    leaves, levels = _packed_tree(edges, feature, group)
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key).distinct().withColumns(
+        {"_node": F.lit(0).cast("bigint"), "_best": F.lit(float("inf"))})
+    for i, nodes in enumerate(reversed(levels)):
+        met = rows.join(F.broadcast(nodes), "_node") if i == 0 and not group else rows.join(nodes, [*group, "_node"])
+        bounds = F.transform("_children", lambda c: F.struct(
+            c["id"].alias("id"), (box_distance_floor_km(x, y, c["xa"], c["ya"], c["xb"], c["yb"]) - c["half"]).alias("least"),
+            distance_km(x, y, c["rep"]["x1"], c["rep"]["y1"]).alias("most")))
+        best = F.least("_best", F.array_min(F.transform("_bounds", lambda c: c["most"])))
+        met = met.withColumn("_bounds", bounds).withColumn("_best", best)
+        kept = F.filter("_bounds", lambda c: c["least"] <= F.col("_best") + 1e-6)
+        rows = met.select(*key, "_best", F.explode(kept).alias("_c")).select(*key, F.col("_c.id").alias("_node"), "_best")
+    last = rows.join(leaves.select(*group, "_node", "_edges"), [*group, "_node"]).select(*key, F.inline("_edges"))
     dist = F.round(segment_distance_km(x, y, "x1", "y1", "x2", "y2"), 9)
-    return last.groupBy(*key).agg(F.min(F.struct(dist.alias("d"), F.col(feature).alias("f"))).alias("_best")).select(
+    return last.groupBy(*key).agg(F.min(F.struct(dist.alias("d"), "f")).alias("_best")).select(
         *key, F.col("_best.f").alias(feature), F.col("_best.d").alias("dist_km"))
 
 
@@ -171,13 +196,13 @@ def near_polygon_pairs(edges: DataFrame, poly: str, within: float, cell: float,
 
 
 def polygon_measures(edges: DataFrame, poly: list[str]) -> DataFrame:
-    """Area and centroid of each polygon in its own units."""
+    """Area and centroid of each polygon in its own units; a polygon of area 0 has no centroid."""
     w = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
     sums = edges.groupBy(*poly).agg(
         F.sum(w).alias("a2"), F.sum((F.col("x1") + F.col("x2")) * w).alias("sx"),
         F.sum((F.col("y1") + F.col("y2")) * w).alias("sy"))
     return sums.select(*poly, (F.abs("a2") / 2).alias("area"),
-                       (F.col("sx") / (3 * F.col("a2"))).alias("x"), (F.col("sy") / (3 * F.col("a2"))).alias("y"))
+                       F.try_divide(F.col("sx"), 3 * F.col("a2")).alias("x"), F.try_divide(F.col("sy"), 3 * F.col("a2")).alias("y"))
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str) -> DataFrame:

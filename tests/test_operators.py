@@ -396,3 +396,40 @@ def test_habitat_weights_of_equal_areas(spark):
     bins = models.occupied_bins(df, df, "v")
     got = models.habitat_weights(bins, df, "v").where("wgt > 0").groupBy("bin").agg({"wgt_area": "sum"}).collect()
     assert all(abs(r[1] - 1) < 1e-12 for r in got)
+
+
+def test_nearest_feature_where_nearly_all_is_in_one_place(spark):
+    rng = random.Random(12)
+
+    def places(n):
+        dense = [(4.5 + rng.random() / 100, 47.2 + rng.random() / 100) for _ in range(9 * n // 10)]
+        return dense + [(rng.uniform(-179, 179), rng.uniform(-80, 80)) for _ in range(n - len(dense))]
+
+    features, points = places(3000), places(1500)
+    edges = spark.createDataFrame([(i, a, b, a, b) for i, (a, b) in enumerate(features)], "f long, x1 double, y1 double, x2 double, y2 double")
+    df = spark.createDataFrame(points, "lon double, lat double").repartition(8)
+    got = {(r.lon, r.lat): (r.f, r.dist_km) for r in spatial.nearest_feature(df, edges, "f").collect()}
+    fx, fy = np.radians(np.array(features)).T
+    for (lon, lat), (f, d) in got.items():
+        a, b = math.radians(lon), math.radians(lat)
+        h = np.sin((fy - b) / 2) ** 2 + math.cos(b) * np.cos(fy) * np.sin((fx - a) / 2) ** 2
+        all_d = 2 * 6371.01 * np.arcsin(np.sqrt(h))
+        assert abs(all_d.min() - d) < 1e-6 and abs(all_d[f] - d) < 1e-6
+    assert len(got) == len(set(points))
+    leaves, levels = spatial._packed_tree(edges, "f", [])
+    sizes = [r.n for r in leaves.selectExpr("size(_edges) AS n").collect()]
+    assert max(sizes) == spatial._FAN and sum(n < spatial._FAN for n in sizes) <= 1  # count decides, not place
+    assert levels[-1].count() == 1 and all(r.n <= spatial._FAN for t in levels for r in t.selectExpr("size(_children) AS n").collect())
+    assert spatial.nearest_feature(df, edges.limit(0), "f").collect() == [] and spatial.nearest_feature(df.limit(0), edges, "f").collect() == []
+
+
+def test_polygons_and_densities_of_nothing(spark):
+    flat = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 0.0, 1.0), (2, 0.0, 1.0, 0.0, 0.0)],
+                                 "p long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.p: r for r in spatial.polygon_measures(flat, ["p"]).collect()}
+    assert (got[1].area, got[1].x, got[1].y) == (0.0, None, None) and got[2].area == 0.5
+    none = spark.createDataFrame([(1, float(i), 0.0) for i in range(5)] + [(2, float(i), 1.0) for i in range(5)], "g long, v double, w double")
+    for curve in (density.kernel_density(none, ["g"], "v", "w"), density.circular_density(none, ["g"], "v", "w")):
+        rows = curve.collect()
+        assert all((r.density is None) == (r.g == 1) for r in rows) and {r.g for r in rows} == {1, 2}
+    assert {r.g: r.prop is None for r in density.positive_share(none, ["g"], "v", "w").collect()} == {1: True, 2: False}
