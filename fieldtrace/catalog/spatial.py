@@ -13,7 +13,7 @@ from fieldtrace.functions.nullsafe import null_text, round_half_even
 from fieldtrace.operators import spatial
 
 _CELLS = "SELECT poly_id, name, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {nation_cells} GROUP BY 1, 2"
-_LAKES = "SELECT wb_id, sys_id, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {lake_edges} GROUP BY 1, 2"
+LAKES = "SELECT wb_id, sys_id, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {lake_edges} GROUP BY 1, 2"
 _WATER = "SELECT wb_id, code, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {water_edges} GROUP BY 1, 2"
 
 
@@ -104,7 +104,7 @@ _NEAR_LAKE = f"""
 SELECT id, co, wb_id, d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ROUND(d, 9), wb_id) AS rn FROM (
   SELECT p.id, p.co, e.wb_id, CASE WHEN BOOL_OR(p.lon >= l.xa AND p.lon < l.xb AND p.lat >= l.ya AND p.lat < l.yb) THEN 0.0
     ELSE MIN({segment_km('p.lon', 'p.lat', 'e.x1', 'e.y1', 'e.x2', 'e.y2')}) END AS d
-  FROM {{geo_customers}} p, {{lake_edges}} e JOIN ({_LAKES}) l ON l.wb_id = e.wb_id GROUP BY 1, 2, 3) x) y WHERE rn = 1"""
+  FROM {{geo_customers}} p, {{lake_edges}} e JOIN ({LAKES}) l ON l.wb_id = e.wb_id GROUP BY 1, 2, 3) x) y WHERE rn = 1"""
 
 
 @query("J13 G4", f"SELECT id, wb_id, ROUND(ROUND(d, 9), 6) AS dist_alloc_km FROM ({_NEAR_LAKE}) z")
@@ -129,16 +129,16 @@ def outside_declared_country(t):
     return rows.withColumn("spot_full", label).orderBy(F.col("co").asc_nulls_last(), F.col("dist").desc_nulls_last(), "id")
 
 
-def _box_gap_sql(a: str, b: str) -> str:
+def box_gap_sql(a: str, b: str) -> str:
     ends = [segment_km(f"{a}.x1", f"{a}.y1", f"{b}.x1", f"{b}.y1", f"{b}.x2", f"{b}.y2"),
             segment_km(f"{b}.x1", f"{b}.y1", f"{a}.x1", f"{a}.y1", f"{a}.x2", f"{a}.y2")]
     return f"LEAST({ends[0]}, {ends[1]})"
 
 
 @query("G5", f"""
-WITH l AS ({_LAKES}), p AS (SELECT a.wb_id AS wb, b.wb_id AS nes, (a.xa <= b.xb AND b.xa <= a.xb AND a.ya <= b.yb AND b.ya <= a.yb) AS meets
+WITH l AS ({LAKES}), p AS (SELECT a.wb_id AS wb, b.wb_id AS nes, (a.xa <= b.xb AND b.xa <= a.xb AND a.ya <= b.yb AND b.ya <= a.yb) AS meets
   FROM l a JOIN l b ON b.wb_id = (a.wb_id * 7 + 3) % (SELECT COUNT(DISTINCT wb_id) FROM {{lake_edges}}) AND a.wb_id <> b.wb_id)
-SELECT wb, nes, ROUND(CASE WHEN BOOL_OR(meets) THEN 0 ELSE MIN({_box_gap_sql('ea', 'eb')}) END, 6) AS dist_wb_km
+SELECT wb, nes, ROUND(CASE WHEN BOOL_OR(meets) THEN 0 ELSE MIN({box_gap_sql('ea', 'eb')}) END, 6) AS dist_wb_km
 FROM p JOIN {{lake_edges}} ea ON ea.wb_id = wb JOIN {{lake_edges}} eb ON eb.wb_id = nes GROUP BY 1, 2""")
 def water_body_distances(t):
     ids = t.lake_edges.select("wb_id").distinct()
@@ -159,10 +159,11 @@ def _kinds(t):
 
 @query("J14", f"""
 WITH w AS (SELECT *, {_KINDS} AS sys_type FROM ({_WATER}) x)
-SELECT a.sys_type, a.wb_id AS wb_id_a, b.wb_id AS wb_id_b FROM w a JOIN w b ON a.sys_type = b.sys_type AND a.wb_id < b.wb_id
+SELECT a.sys_type, a.wb_id AS wb_id_a, b.wb_id AS wb_id_b, ROUND(SQRT({_GAP}), 6) AS gap FROM w a JOIN w b ON a.sys_type = b.sys_type AND a.wb_id < b.wb_id
 AND SQRT({_GAP}) <= 2000""")
 def near_water_bodies(t):
-    return spatial.near_polygon_pairs(_kinds(t), "wb_id", 2000.0, 4000.0, ["sys_type"])
+    near = spatial.near_polygon_pairs(_kinds(t), "wb_id", 2000.0, 4000.0, ["sys_type"])
+    return near.withColumn("gap", F.round("gap", 6))
 
 
 @query("A14 A15 P16", f"""
@@ -193,7 +194,7 @@ def water_system_clusters(t):
 
 
 @query("G11 J11 P18 F6", f"""
-WITH c AS (SELECT wb_id, (xa + xb) / 2 AS lon, (ya + yb) / 2 AS lat FROM ({_LAKES}) l),
+WITH c AS (SELECT wb_id, (xa + xb) / 2 AS lon, (ya + yb) / 2 AS lat FROM ({LAKES}) l),
 w AS (SELECT co AS poly_id, COUNT(*) / 50e0 AS pres FROM {{geo_customers}} WHERE co < 12 GROUP BY co)
 SELECT c.wb_id, CASE WHEN {km('c.lon', 'c.lat', '-1.66e0', '47.1e0')} <= 200 THEN 'GRAND-LIEU' ELSE UPPER(n.name) END AS win_co,
   ROUND(COALESCE(CASE WHEN {km('c.lon', 'c.lat', '-1.66e0', '47.1e0')} <= 200 THEN NULL ELSE w.pres END, 1), 6) AS wgt_pres

@@ -6,8 +6,10 @@ only the edges around it, and distinct positions are handled once however many r
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldtrace.functions.geo import (
     box_distance_floor_km, crossing, distance_km, planar_edge_distance, segment_distance_km,
@@ -170,9 +172,10 @@ def polygon_distances(pairs: DataFrame, edges: DataFrame, a: str, b: str, poly:
 
 
 def near_polygon_pairs(edges: DataFrame, poly: str, within: float, cell: float, group: list[str] | None = None) -> DataFrame:
-    """Pairs of polygons (smaller key first) of one group at most ``within`` apart, projected units."""
+    """Pairs of polygons (smaller key first) of one group at most ``within`` apart and their ``gap``, projected units."""
     group = group or []
     side = ("x1", "y1", "x2", "y2")
+    one, other = f"{poly}_a", f"{poly}_b"
 
     def filed(tag: str, grow: float) -> DataFrame:
         xs = F.sequence(_cell(F.least("x1", "x2") - grow, cell), _cell(F.greatest("x1", "x2") + grow, cell))
@@ -180,10 +183,9 @@ def near_polygon_pairs(edges: DataFrame, poly: str, within: float, cell: float,
         return edges.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys)).select(
             *group, "_cx", "_cy", F.col(poly).alias(f"{poly}{tag}"), *[F.col(c).alias(c + tag) for c in side])
 
-    met = filed("_a", within).join(filed("_b", 0.0), [*group, "_cx", "_cy"])
-    near = met.where((F.col(f"{poly}_a") < F.col(f"{poly}_b")) & (
-        planar_edge_distance(tuple(c + "_a" for c in side), tuple(c + "_b" for c in side)) <= within + 1e-9))
-    pairs = near.select(*group, f"{poly}_a", f"{poly}_b").distinct()
+    met = filed("_a", within).join(filed("_b", 0.0), [*group, "_cx", "_cy"]).where(F.col(one) < F.col(other))
+    gap = planar_edge_distance(tuple(c + "_a" for c in side), tuple(c + "_b" for c in side))
+    near = met.select(*group, one, other, gap.alias("gap")).where(F.col("gap") <= within + 1e-9)
     # a polygon inside another one is near it whatever its edges say
     first = edges.groupBy(*group, poly).agg(F.min(F.struct("x1", "y1")).alias("_v")).select(
         *group, F.col(poly).alias("_in"), F.col("_v.x1").alias("x"), F.col("_v.y1").alias("y"))
@@ -191,8 +193,8 @@ def near_polygon_pairs(edges: DataFrame, poly: str, within: float, cell: float,
         F.col("_in") != F.col(poly))
     if group:
         held = held.join(edges.select(*group, poly).distinct(), [*group, poly])
-    held = held.select(*group, F.least("_in", poly).alias(f"{poly}_a"), F.greatest("_in", poly).alias(f"{poly}_b"))
-    return pairs.unionByName(held).distinct()
+    held = held.select(*group, F.least("_in", poly).alias(one), F.greatest("_in", poly).alias(other), F.lit(0.0).alias("gap"))
+    return near.unionByName(held).groupBy(*group, one, other).agg(F.min("gap").alias("gap"))
 
 
 def polygon_measures(edges: DataFrame, poly: list[str]) -> DataFrame:
@@ -205,15 +207,43 @@ def polygon_measures(edges: DataFrame, poly: list[str]) -> DataFrame:
                        F.try_divide(F.col("sx"), 3 * F.col("a2")).alias("x"), F.try_divide(F.col("sy"), 3 * F.col("a2")).alias("y"))
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links (u, v) of each task as stars around the smallest node that they connect; ``v`` is the smaller end."""
+    kind = to_arrow_type(links.schema["u"].dataType)
+
+    def stars(batches):
+        parent: dict = {}
+
+        def root(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ends = [(n, root(n)) for n in parent]
+        ends = [(n, r) for n, r in ends if n != r]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], kind) for i in (0, 1)], names=["u", "v"])
+
+    return links.mapInArrow(stars, links.schema)
+
+
 def connected_components(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """Smallest node key of the component of every node.
 
-    Alternates two rounds of hooking: all larger neighbours of a node move to its smallest
-    neighbour, then all smaller ones do.  Both are a minimum per node and a join, and each
-    outcome is written, so lineage does not grow.  The pairs end as stars around the smallest key.
+    Each task first contracts its own links to stars; pairs that lie together, as neighbours do, leave few links.  Then
+    two rounds of hooking alternate: all larger neighbours of a node move to its smallest neighbour, then all smaller ones
+    do.  Both are a minimum per node and a join, and each outcome is written, so lineage does not grow.  The pairs end as
+    stars around the smallest key.
     """
-    links = staged(pairs.where(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    links = pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    links = staged(_contracted(links.repartitionByRange("v")).distinct())
     state = None
     while True:  # every round that changes anything brings some node nearer to the smallest
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -237,13 +267,18 @@ def water_systems(edges: DataFrame, poly: str, kind: str, gap: float, cell: floa
     """Water bodies of one kind that touch form a cluster, those within ``gap`` a system.
 
     Gives per water body its cluster, its system (both named by the smallest key), the number of
-    bodies and the area of the system, and its own area.
+    bodies and the area of the system, and its own area.  Distances are found once; systems are
+    components of the clusters.
     """
-    bodies = polygon_measures(edges, [poly, kind]).withColumnRenamed("area", "wb_area").select(poly, kind, "wb_area")
-    touching = connected_components(bodies, near_polygon_pairs(edges, poly, 0.0, cell, [kind]), poly, f"{poly}_a", f"{poly}_b")
-    near = connected_components(bodies, near_polygon_pairs(edges, poly, gap, cell, [kind]), poly, f"{poly}_a", f"{poly}_b")
-    rows = bodies.join(touching.withColumnRenamed("component", "cluster"), poly).join(
-        near.withColumnRenamed("component", "sys_id"), poly)
+    one, other = f"{poly}_a", f"{poly}_b"
+    bodies = staged(polygon_measures(edges, [poly, kind]).withColumnRenamed("area", "wb_area").select(poly, kind, "wb_area"))
+    pairs = staged(near_polygon_pairs(edges, poly, gap, cell, [kind]).select(one, other, "gap"))
+    touching = staged(connected_components(bodies, pairs.where(F.col("gap") <= 1e-9), poly, one, other).withColumnRenamed("component", "cluster"))
+    of = lambda c, name: touching.select(F.col(poly).alias(c), F.col("cluster").alias(name))
+    apart = pairs.where(F.col("gap") > 1e-9).join(of(one, "_c_a"), one).join(of(other, "_c_b"), other).where(
+        F.col("_c_a") != F.col("_c_b")).select("_c_a", "_c_b").distinct()
+    near = connected_components(touching, apart, "cluster", "_c_a", "_c_b").withColumnRenamed("component", "sys_id")
+    rows = bodies.join(touching, poly).join(near, "cluster")
     systems = rows.groupBy("sys_id").agg(F.count(F.lit(1)).alias(ROWS), F.count(F.lit(1)).alias("sys_n"),
                                          F.sum("wb_area").alias("sys_area"))
-    return attach_per_key(rows, systems, ["sys_id"], "inner")
+    return attach_per_key(rows, systems, ["sys_id"], "inner").select(poly, kind, "wb_area", "cluster", "sys_id", "sys_n", "sys_area")
