@@ -1,7 +1,8 @@
 """Corpus pipeline: language, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``.  An empty table gives no rows, null texts are in no language and go with the first stage,
+repeated rows stay repeated but for the near-duplicate stage, which keeps one, and columns may have any names.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import table, written
+from fieldtrace.llm.common import free_name, table, written
 from fieldtrace.llm.decontaminate import drop_contaminated
 from fieldtrace.llm.language import fit_language_network, predict_language
 from fieldtrace.llm.near_dups import drop_near_duplicates
@@ -23,8 +24,9 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the labels; those without a letter or a likely language go."""
-    scored = predict_language(docs, fit_language_network(docs), pred="_lang", score="_score")
-    return scored.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    scored = predict_language(docs, fit_language_network(docs), pred=pred, score=score)
+    return scored.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
