@@ -11,6 +11,7 @@ from fieldtrace.functions import geo
 from fieldtrace.functions.codes import WATER_KINDS, labelled, map_country
 from fieldtrace.functions.nullsafe import null_text, round_half_even
 from fieldtrace.operators import spatial
+from fieldtrace.plans import regions
 
 _CELLS = "SELECT poly_id, name, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {nation_cells} GROUP BY 1, 2"
 LAKES = "SELECT wb_id, sys_id, MIN(x1) AS xa, MAX(x1) AS xb, MIN(y1) AS ya, MAX(y1) AS yb FROM {lake_edges} GROUP BY 1, 2"
@@ -211,3 +212,27 @@ def region_weights(t):
     named = rows.withColumn("win_co", site("name"))
     own = F.when(F.col("win_co").eqNullSafe(F.lit("GRAND-LIEU")), None).otherwise(F.col("pres"))
     return named.select("wb_id", "win_co", F.round(F.coalesce(own, F.lit(1.0)), 6).alias("wgt_pres"))
+
+
+_SITE_BOX = (-4.0, 0.0, 45.0, 49.0)
+
+
+@query("G11 J11 P24 U1", f"""
+WITH names AS (SELECT n_nationkey AS poly_id, UPPER(n_name) AS region FROM {{nation}} JOIN {{region}} ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'),
+w AS (SELECT UPPER(n_name) AS region, COUNT(*) / 50e0 AS pres FROM {{geo_customers}} JOIN {{nation}} ON n_nationkey = co WHERE n_nationkey % 2 = 1 GROUP BY 1 UNION ALL SELECT 'GRAND-LIEU', 2.5e0),
+h AS (SELECT g.id, CASE WHEN lon >= -4 AND lon < 0 AND lat >= 45 AND lat < 49 THEN 'GRAND-LIEU' ELSE n.region END AS region
+  FROM {{geo_customers}} g LEFT JOIN ({_CELLS}) c ON g.lon >= c.xa AND g.lon < c.xb AND g.lat >= c.ya AND g.lat < c.yb LEFT JOIN names n ON n.poly_id = c.poly_id)
+SELECT h.id, w.region, ROUND(COALESCE(w.pres, 1), 6) AS pres_co FROM h LEFT JOIN w ON w.region = h.region""")
+def region_layer_weights(t):
+    """Customers by region: a site inside some countries comes first, other continents have no region."""
+    xa, xb, ya, yb = _SITE_BOX
+    corners = [(xa, ya), (xb, ya), (xb, yb), (xa, yb)]
+    site = t.spark.createDataFrame([(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])], "x1 double, y1 double, x2 double, y2 double")
+    of = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("poly_id"), F.col("r_name").alias("continent"))
+    countries = t.nation_cells.join(of, "poly_id")
+    pres = t.geo_customers.join(t.nation.where(F.col("n_nationkey") % 2 == 1), F.col("n_nationkey") == F.col("co")).groupBy(
+        map_country("n_name").alias("region")).agg((F.count(F.lit(1)) / 50).alias("pres_co"))
+    weights = pres.unionByName(t.spark.createDataFrame([("GRAND-LIEU", 2.5)], "region string, pres_co double"))
+    layer = regions.region_layer(countries, site, "EUROPE", "GRAND-LIEU")
+    named = regions.label_regions(t.geo_customers, layer, weights, "pres_co", cell=2.0)
+    return named.select("id", "region", F.round("pres_co", 6).alias("pres_co"))

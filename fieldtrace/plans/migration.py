@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import geo, time
 from fieldtrace.functions.codes import NESTING_REGIONS, labelled
 from fieldtrace.functions.nullsafe import strict_mean
-from fieldtrace.operators import models
+from fieldtrace.operators import models, resample
 from fieldtrace.operators.joins import natural_join
 from fieldtrace.operators.keyed import ROWS, attach_per_key, first_per_key, with_group_values
-from fieldtrace.operators.spatial import label_near_site, nearest_polygon
+from fieldtrace.operators.ranks import row_numbers
+from fieldtrace.operators.spatial import label_near_site, nearest_polygon, polygon_measures
+from fieldtrace.sources.store import staged
 
 # A lake that counts as a country of its own, its radius, and the distances that
 # separate staying, moving and outlying.
@@ -93,3 +95,34 @@ def migration_models(frames: dict[str, DataFrame]) -> DataFrame:
         "sp", F.col("fit").alias("dist_fit"), F.col("se_fit").alias("dist_se"), "dispersion")
     way = models.von_mises_fit(frames["simple_moved"], "sp", "angle_deg", "wgt_co")
     return natural_join(natural_join(share, far, "left", expect=["sp"]), way, "left", expect=["sp"])
+
+
+def water_choices(moved: DataFrame, water: DataFrame, parts: int = 7) -> DataFrame:
+    """Centre and area weight of every water body: shares of the size classes that moved individuals are found on."""
+    bodies = staged(polygon_measures(water, ["wb_id"]).withColumn("area", F.round("area", 9)).withColumnsRenamed({"x": "lon", "y": "lat"}))
+    seen = water_allocation(moved.select("id", "lon", "lat"), water, "lon", "lat", "wb_id", "dist_alloc_km")
+    occupied = staged(seen.join(bodies.select("wb_id", "area"), "wb_id").select("area"))
+    bins = staged(models.occupied_bins(occupied, bodies, "area", parts))
+    return models.habitat_weights(bins, bodies, "area").select("wb_id", "lon", "lat", "wgt_area")
+
+
+def nesting_sites(moved: DataFrame) -> DataFrame:
+    """Nesting places of the moved individuals, numbered by species and position."""
+    places = moved.select("sp", "n_lon", "n_lat").distinct()
+    return row_numbers(places, [], ["sp", "n_lon", "n_lat"], "site_id")
+
+
+def simulated_migration(moved: DataFrame, water: DataFrame, replicates: int) -> DataFrame:
+    """Directions that the moved individuals took, and those they would take if only water and distance counted.
+
+    ``moved`` is ``simple_moved`` of ``model_frames``, ``water`` the edges of the water bodies.  Bodies in a size class that
+    no individual uses have no weight.  Gives sp, ring, angle_deg, id (0 for what was observed, else the replicate),
+    migration and wgt_co.
+    """
+    fit = staged(models.group_fit(moved, "sp", "dist_pt_km", "wgt_co", "gamma"))
+    sites = staged(nesting_sites(moved))
+    birds = moved.join(sites, ["sp", "n_lon", "n_lat"]).select("ring", "site_id")
+    choices = staged(water_choices(moved, water).where(F.col("wgt_area") != 0))
+    drawn = resample.site_draws(birds, sites, choices, fit, replicates)
+    realized = moved.select("sp", "ring", geo.bearing("n_lon", "lon", "n_lat", "lat").alias("angle_deg"), "wgt_co")
+    return resample.with_realized(drawn, realized, "sp", "ring", "angle_deg", "wgt_co")

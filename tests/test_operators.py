@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.jaro import jaro_distances
 from fieldtrace.operators import density, joins, keyed, mixed, models, ranks, resample, resolve, spatial, timeline
+from fieldtrace.plans import regions
 
 
 @pytest.fixture
@@ -433,3 +434,47 @@ def test_polygons_and_densities_of_nothing(spark):
         rows = curve.collect()
         assert all((r.density is None) == (r.g == 1) for r in rows) and {r.g for r in rows} == {1, 2}
     assert {r.g: r.prop is None for r in density.positive_share(none, ["g"], "v", "w").collect()} == {1: True, 2: False}
+
+
+def test_regions_by_priority(spark):
+    def box(xa, xb, ya, yb):
+        c = [(xa, ya), (xb, ya), (xb, yb), (xa, yb)]
+        return [(*a, *b) for a, b in zip(c, c[1:] + c[:1])]
+
+    side = "x1 double, y1 double, x2 double, y2 double"
+    countries = spark.createDataFrame([("France", "EUROPE", *e) for e in box(0, 4, 0, 4)] + [("United Kingdom", "EUROPE", *e) for e in box(6, 8, 0, 4)]
+                                      + [("Japan", "ASIA", *e) for e in box(10, 12, 0, 4)], "name string, continent string, " + side)
+    layer = regions.region_layer(countries, spark.createDataFrame(box(1, 2, 1, 2), side), "EUROPE", "LAKE")
+    points = spark.createDataFrame([(1, 1.5, 1.5), (2, 3.0, 3.0), (3, 7.0, 1.0), (4, 11.0, 1.0), (5, 5.0, 1.0), (6, 3.0, 3.0), (7, None, 1.0)], "id long, lon double, lat double")
+    weights = spark.createDataFrame([("LAKE", 9.0), ("FRANCE", 2.0), ("JAPAN", 5.0)], "region string, w double")
+    got = {r.id: (r.region, r.w) for r in regions.label_regions(points, layer, weights, "w").collect()}
+    assert got == {1: ("LAKE", 9.0), 2: ("FRANCE", 2.0), 6: ("FRANCE", 2.0), **dict.fromkeys((3, 4, 5, 7), (None, 1.0))}
+    # Without a weight the site is still cut out of the country around it.
+    less = {r.id: (r.region, r.w) for r in regions.label_regions(points, layer, weights.where("region <> 'LAKE'"), "w").collect()}
+    assert less[1] == (None, 1.0) and less[2] == ("FRANCE", 2.0)
+
+
+def test_site_draws_have_the_exact_shares(spark):
+    rng = random.Random(4)
+    water = [(i, rng.uniform(-3, 9), rng.uniform(41, 51), rng.choice([0.0, 1.0, 2.5])) for i in range(120)] + [(200 + i, 2.01, 47.01 + i * 1e-4, 1.0) for i in range(40)]
+    sites = [(1, "a", 2.0, 47.0), (2, "b", 8.0, 44.0), (3, "none", 0.0, 45.0)]
+    fit = spark.createDataFrame([("a", 300.0, 0.6), ("b", 150.0, 0.4)], "sp string, fit double, dispersion double")
+    birds = spark.createDataFrame([(1, f"r{i}") for i in range(30)] + [(2, "s0"), (3, "t0"), (9, "u0")], "site_id long, ring string")
+    w = spark.createDataFrame(water, "wb_id long, lon double, lat double, wgt_area double")
+    s = spark.createDataFrame(sites, "site_id long, sp string, n_lon double, n_lat double")
+    got = resample.site_draws(birds, s, w, fit, 400, block=16, birds_at_once=7).collect()
+    again = resample.site_draws(birds.repartition(5), s, w, fit, 400, block=16, birds_at_once=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 33 * 400
+    assert {r.wb_id for r in got if r.site_id in (3, 9)} == {None}
+    weights = {}
+    for wb, lon, lat, area in water:
+        p, q = math.radians(47.0), math.radians(lat)
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon - 2.0) / 2) ** 2
+        d, k, rate = 2 * 6371.01 * math.asin(math.sqrt(h)), 1 / 0.6, 1 / (0.6 * 300.0)
+        weights[wb] = area * d ** (k - 1) * math.exp(-rate * d)
+    total, drawn = sum(weights.values()), [r.wb_id for r in got if r.site_id == 1]
+    for wb, weight in weights.items():
+        p = weight / total
+        assert abs(drawn.count(wb) - len(drawn) * p) <= 5 * math.sqrt(len(drawn) * p) + 5
+    assert not {wb for wb, *_, area in water if area == 0} & set(drawn)
+    assert resample.site_draws(birds.limit(0), s, w, fit, 3).collect() == []
