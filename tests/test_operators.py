@@ -438,6 +438,7 @@ def test_polygons_and_densities_of_nothing(spark):
 
 def test_regions_by_priority(spark):
     def box(xa, xb, ya, yb):
+        xa, xb, ya, yb = map(float, (xa, xb, ya, yb))
         c = [(xa, ya), (xb, ya), (xb, yb), (xa, yb)]
         return [(*a, *b) for a, b in zip(c, c[1:] + c[:1])]
 
