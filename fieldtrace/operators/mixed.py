@@ -68,6 +68,11 @@ def marginal_terms(sw, swy, eta0, sigma, family: str, dispersion: float = 1.0, n
     return np.logaddexp.reduce(parts, axis=0) + np.log(wide) - 0.5 * np.log(2 * np.pi * sigma**2)
 
 
+def laplace_terms(sw, swy, eta0, sigma, family: str, dispersion: float = 1.0) -> np.ndarray:
+    """``marginal_terms`` by mode and curvature alone."""
+    return marginal_terms(sw, swy, eta0, sigma, family, dispersion, nodes=1)
+
+
 def individual_sums(df: DataFrame, group: str, individual: str, y: str, weight: str) -> DataFrame:
     """Weight and weighted value of each individual in each group; rows without a group, value or weight do not count."""
     w, v = F.col(weight).cast("double"), F.col(y).cast("double")
