@@ -50,7 +50,7 @@ def jaro_distance_of_texts(t):
 
 
 _NEAR = "1 - JARO_SIMILARITY(k.{0}, r.{0}) <= 0.1 + 1e-9"
-_CASCADE = f"""
+CASCADE = f"""
 WITH k AS (SELECT DISTINCT co, dpt, com, spot FROM {{places}}),
 spot1 AS (SELECT k.*, r.lon_2, r.lat_2 FROM k JOIN {{spots}} r ON k.co = r.co AND k.com = r.com AND k.spot = r.spot),
 k1 AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM spot1 s WHERE s.co IS NOT DISTINCT FROM k.co AND s.dpt IS NOT DISTINCT FROM k.dpt
@@ -86,14 +86,14 @@ def _resolved(t):
     return resolve_places(t.places, t.spots, t.communes, found)
 
 
-@query("J10 S6 U1 U2 W9", _CASCADE + """
+@query("J10 S6 U1 U2 W9", CASCADE + """
 SELECT id, co_2, com_2, spot_2, ROUND(lon_2, 6) AS lon_2, ROUND(lat_2, 6) AS lat_2, match FROM resolved""")
 def entity_resolution(t):
     return _resolved(t).select("id", "co_2", "com_2", "spot_2", F.round("lon_2", 6).alias("lon_2"),
                                F.round("lat_2", 6).alias("lat_2"), "match")
 
 
-@query("G7 P15 G3", _CASCADE + f"""
+@query("G7 P15 G3", CASCADE + f"""
 SELECT id, ROUND(dist, 6) AS dist, ROUND(CASE WHEN lon IS NULL OR COALESCE(dist > 15, FALSE) THEN lon_2 ELSE lon END, 6) AS lon,
   ROUND(CASE WHEN lat IS NULL OR COALESCE(dist > 15, FALSE) THEN lat_2 ELSE lat END, 6) AS lat,
   CASE WHEN com_2 IS NOT NULL THEN co_2 ELSE co END AS co, COALESCE(spot_2, spot) AS com
@@ -103,7 +103,7 @@ def coordinate_choice(t):
         "id", F.round("dist", 6).alias("dist"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "co", "com")
 
 
-@query("P14 A2", _CASCADE + f"""
+@query("P14 A2", CASCADE + f"""
 SELECT match, COUNT(*) AS n, COUNT(*) FILTER (dist > 15) AS moved
 FROM (SELECT *, {km('lon', 'lat', 'lon_2', 'lat_2')} AS dist FROM resolved) x GROUP BY match""")
 def match_quality(t):

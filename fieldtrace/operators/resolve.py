@@ -1,13 +1,15 @@
 """Place names resolved against gazetteers by exact and near-equal names.
 
 Near-equality is a Jaro distance of at most ``max_dist`` in every shared text column.  Names are
-compared once per distinct value, and only where a condition that every near pair meets holds,
-so nothing is lost and no all-pairs comparison is made:
+compared once per distinct value, all columns in one pass, and only where a condition that every
+near pair meets holds, so nothing is lost and no all-pairs comparison is made:
 
 A Jaro similarity of ``s`` needs ``m >= (3 s - 1) la lb / (la + lb)`` matching characters, and
-matching characters are common to the two bags of characters.  Two bags with that overlap share
-an element among the rarest ``la - m + 1`` elements of the one and ``lb - m + 1`` of the other.
-Each name is therefore filed under (both lengths, one of those rare elements).
+matching characters are common to the two bags of characters.  Two bags with ``m`` common elements
+share ``j`` of them among the rarest ``la - m + j`` elements of the one and ``lb - m + j`` of the
+other, for every ``j`` up to ``m``.  Each name is therefore filed under (both lengths, two of those
+rare elements), or one of them where a single match is enough.  A block then holds names that share
+two rare characters, not one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions.geo import distance_km
 from fieldtrace.functions.jaro import jaro_distance
 from fieldtrace.operators.joins import natural_join, union_all
-from fieldtrace.operators.keyed import ROWS, attach_per_key, first_per_key
+from fieldtrace.operators.keyed import attach_per_key, first_per_key
 from fieldtrace.sources.store import staged
 
 _SLACK = 1e-9
@@ -33,67 +35,99 @@ def _bag(text: str | Column) -> Column:
     return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 2).cast("string")))
 
 
-def _with_sorted_bag(names: DataFrame, rarity: DataFrame, text: str) -> DataFrame:
-    """``_bag``: elements of the name, rarest first.  A name's bag is as long as the name."""
-    elements = names.select(text, F.explode(_bag(F.col(text))).alias("_e"))
-    ranked = elements.join(rarity, "_e", "left").groupBy(text).agg(
+def _with_sorted_bag(names: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``_bag``: elements of the name, rarest of its column first.  A name's bag is as long as the name."""
+    elements = names.select("field", "text", F.explode(_bag(F.col("text"))).alias("_e"))
+    ranked = elements.join(rarity, ["field", "_e"], "left").groupBy("field", "text").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_e"))).alias("_r"))
-    return ranked.select(text, F.transform("_r", lambda x: x["_e"]).alias("_bag"))
+    return ranked.select("field", "text", F.transform("_r", lambda x: x["_e"]).alias("_bag"))
 
 
-def _filed(bags: DataFrame, text: str, max_dist: float, own: str, other: str) -> DataFrame:
-    """One row per partner length and rare element."""
+def _signatures(prefix: Column, need: Column) -> Column:
+    """Pairs of rare elements, in order; the elements themselves where one match is enough."""
+    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
+        F.slice(prefix, i + 2, F.size(prefix)), lambda y: F.concat_ws("\x01", x, y))))
+    return F.when(need >= 2, pairs).otherwise(prefix)
+
+
+def _filed(bags: DataFrame, max_dist: float, own: str, other: str) -> DataFrame:
+    """One row per partner length and signature."""
     s = 3 * (1 - max_dist)
-    length = F.length(text).cast("double")
+    length = F.length("text").cast("double")
     low = F.ceil((s - 2) * length - _SLACK)
     high = F.floor(length / (s - 2) + _SLACK)
     rows = bags.withColumn(other, F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
     own_len, other_len = F.col(own).cast("double"), F.col(other).cast("double")
     need = F.ceil((s - 1) * own_len * other_len / (own_len + other_len) - _SLACK)
-    rows = rows.withColumn(own, F.length(text).cast("bigint"))
-    prefix = F.slice("_bag", F.lit(1), F.greatest(F.lit(0), own_len - need + 1).cast("int"))
-    rows = rows.withColumn("_prefix", prefix)
-    return rows.select(text, own, other, "_prefix", F.explode("_prefix").alias("_e"))
+    rows = rows.withColumn(own, F.length("text").cast("bigint")).withColumn("_need", need)
+    size = F.col(own) - F.col("_need") + F.least(F.lit(2), F.greatest(F.lit(1), F.col("_need")))
+    rows = rows.withColumn("_prefix", F.slice("_bag", F.lit(1), F.greatest(F.lit(0), size).cast("int")))
+    return rows.select("field", "text", own, other, "_need", "_prefix",
+                       F.explode(_signatures(F.col("_prefix"), F.col("_need"))).alias("_e"))
 
 
-def near_texts(left: DataFrame, right: DataFrame, text: str, max_dist: float = 0.1) -> DataFrame:
-    """Distinct values of the two sides that are near: ``text``, ``<text>_2`` and ``<text>_d``."""
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``field, text``: the distinct values of each column."""
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("v"))
+    return stacked.select("v.field", "v.text").where(F.col("text").isNotNull()).distinct()
+
+
+def _candidates(left: DataFrame, right: DataFrame, max_dist: float) -> DataFrame:
+    """Pairs of values of one field that may be near, each once: ``field, text, text_2``."""
+    rarity = right.select("field", F.explode(_bag(F.col("text"))).alias("_e")).groupBy("field", "_e").agg(
+        F.count(F.lit(1)).alias("_count"))
+    l_bags = _with_sorted_bag(left.where(F.length("text") > 0), rarity)
+    r_bags = _with_sorted_bag(right.where(F.length("text") > 0), rarity)
+    lf = _filed(l_bags, max_dist, "_la", "_lb")
+    rf = _filed(r_bags, max_dist, "_lb", "_la").select(
+        "field", F.col("text").alias("text_2"), "_la", "_lb", "_e", F.col("_prefix").alias("_prefix_2"))
+    met = lf.join(rf, ["field", "_la", "_lb", "_e"])
+    # a pair that shares several signatures is kept at the first of them
+    common = F.slice(F.array_intersect("_prefix", "_prefix_2"), F.lit(1), F.when(F.col("_need") >= 2, 2).otherwise(1))
+    return met.where(F.col("_e") == F.array_join(common, "\x01")).select("field", "text", "text_2")
+
+
+def near_values(left: DataFrame, right: DataFrame, max_dist: float = 0.1) -> DataFrame:
+    """Near values of tables of distinct ``field, text``: ``field, text, text_2, d``."""
     if max_dist >= 1 / 3:
         raise ValueError("the length condition needs max_dist below 1/3")
-    two, dist = f"{text}_2", f"{text}_d"
-    left = left.where(F.col(text).isNotNull()).select(text).distinct()
-    right = right.where(F.col(text).isNotNull()).select(text).distinct()
-    rarity = right.select(F.explode(_bag(F.col(text))).alias("_e")).groupBy("_e").agg(
-        F.count(F.lit(1)).alias("_count"))
-    l_bags = _with_sorted_bag(left.where(F.length(text) > 0), rarity, text)
-    r_bags = _with_sorted_bag(right.where(F.length(text) > 0), rarity, text)
-    lf = _filed(l_bags, text, max_dist, "_la", "_lb")
-    rf = _filed(r_bags, text, max_dist, "_lb", "_la").select(
-        F.col(text).alias(two), "_la", "_lb", "_e", F.col("_prefix").alias("_prefix_2"))
-    met = lf.join(rf, ["_la", "_lb", "_e"])
-    # a pair that shares several rare elements is kept at the first of them
-    once = met.where(F.col("_e") == F.get(F.array_intersect("_prefix", "_prefix_2"), F.lit(0)))
-    near = once.select(text, two, jaro_distance(text, two).alias(dist)).where(F.col(dist) <= max_dist + _SLACK)
-    blank = left.where(F.length(text) == 0).join(right.where(F.length(text) == 0), text).select(
-        text, F.col(text).alias(two), F.lit(0.0).alias(dist))
+    pairs = _candidates(left, right, max_dist)
+    near = pairs.withColumn("d", jaro_distance("text", "text_2")).where(F.col("d") <= max_dist + _SLACK)
+    blank = left.where(F.length("text") == 0).join(right.where(F.length("text") == 0), ["field", "text"]).select(
+        "field", "text", F.col("text").alias("text_2"), F.lit(0.0).alias("d"))
     return near.unionByName(blank)
 
 
+def near_texts(left: DataFrame, right: DataFrame, text: str, max_dist: float = 0.1) -> DataFrame:
+    """Distinct values of the two sides that are near: ``text``, ``<text>_2`` and ``<text>_d``."""
+    return near_values(_values(left, [text]), _values(right, [text]), max_dist).select(
+        F.col("text").alias(text), F.col("text_2").alias(f"{text}_2"), F.col("d").alias(f"{text}_d"))
+
+
+def _present(df: DataFrame, on: list[str]) -> DataFrame:
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+
+
+def _routed(keys: DataFrame, reference: DataFrame, near: DataFrame, on: list[str]) -> DataFrame:
+    """Key tuples and the reference tuples that are near in every column, looked up by equality."""
+    routed = _present(keys, on).select(*on).distinct()
+    for c in on:
+        routed = routed.join(near.where(F.col("field") == c).select(
+            F.col("text").alias(c), F.col("text_2").alias(f"{c}_2"), F.col("d").alias(f"{c}_d")), c)
+    names = [f"{c}_2" for c in on]
+    known = _present(reference, on).select(*on).distinct().toDF(*names)
+    return routed.join(known, names, "left_semi").select(*on, *names, *[f"{c}_d" for c in on])
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, on: list[str], max_dist: float = 0.1) -> DataFrame:
     """Distinct key tuples of both sides that are near in every column.
 
-    Gives the left keys, the right keys as ``<c>_2`` and the distances as ``<c>_d``.  Each column
-    is matched value by value; a tuple then looks up the combinations of its near values among
+    Gives the left keys, the right keys as ``<c>_2`` and the distances as ``<c>_d``.  The columns
+    are matched value by value; a tuple then looks up the combinations of its near values among
     the right tuples by equality, so tuples that share one value are never paired with each other.
     """
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    lk = left.where(present).select(*on).distinct()
-    rk = right.where(present).select(*on).distinct()
-    routed = lk
-    for c in on:
-        routed = routed.join(staged(near_texts(lk, rk, c, max_dist)), c)
-    names = [f"{c}_2" for c in on]
-    return routed.join(rk.toDF(*names), names, "left_semi").select(*on, *names, *[f"{c}_d" for c in on])
+    near = staged(near_values(_values(left, on), _values(right, on), max_dist))
+    return _routed(left, right, near, on)
 
 
 def best_match(
@@ -108,10 +142,20 @@ def best_match(
     return first_per_key(scored.select(*on, ref_id, "d"), on, ["d", ref_id])
 
 
-def _unmatched(keys: DataFrame, *stages: DataFrame) -> DataFrame:
-    for done in stages:
-        keys = natural_join(keys, done.select(*keys.columns).distinct(), "left_anti", on=keys.columns)
-    return keys
+def _hits(keys: DataFrame, reference: DataFrame, near: DataFrame, on: list[str], ref_id: str, ranked_by: list[str],
+          stages: tuple[int, int], names: list[str]) -> DataFrame:
+    """Every reference row near a key, with its place in the cascade: the first stage if equal, else the second.
+
+    ``names`` are the reference names that a near match carries; an equal one has none, as they are the same.
+    """
+    refs = _present(reference, on).select(*[F.col(c).alias(f"{c}_2") for c in on], F.col(ref_id).alias("ref"), "lon_2", "lat_2")
+    equal = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_2") for c in on])
+    scored = _routed(keys, reference, near, on).join(refs, [f"{c}_2" for c in on]).select(
+        *on, F.when(equal, stages[0]).otherwise(stages[1]).alias("stage"),
+        F.when(equal, 0.0).otherwise(F.round(reduce(add, [F.col(f"{c}_d") for c in ranked_by]), 9)).alias("d"),
+        F.struct("ref", *[(F.when(~equal, F.col(f"{c}_2")) if c in names else F.lit(None).cast("string")).alias(f"{c}_2")
+                          for c in ("co", "com", "spot")], "lon_2", "lat_2").alias("hit"))
+    return natural_join(_present(keys, on), scored, on=on)
 
 
 def resolve_places(
@@ -123,63 +167,29 @@ def resolve_places(
     exact locality, near locality, exact commune (with department at home, without abroad),
     near commune, hand-found position, none.  Adds the reference names ``co_2, com_2, spot_2``,
     its position ``lon_2, lat_2`` and ``match``: spot, com, search or -.  Exact matches carry no
-    reference names, as they are the same.  A foreign commune listed several times gives the
-    record once per listing.
+    reference names, as they are the same.  A reference place listed several times and met exactly
+    gives the record once per listing.
+
+    All stages are candidates of one table with the stage as rank, and a place keeps those of its
+    smallest rank: an exact match is a near one at distance 0, so no stage waits for another.
     """
     place = ["co", "dpt", "com", "spot"]
-    # every stage is written: the next ones read it twice, as keys left over and as matches
     keys = staged(records.select(*place).distinct())
-    lookup = ["co_2", "com_2", "spot_2", "lon_2", "lat_2"]
-
-    def shaped(df: DataFrame, label: str) -> DataFrame:
-        missing = [F.lit(None).cast("string").alias(c) for c in lookup[:3] if c not in df.columns]
-        return df.select("*", *missing).select(*place, *lookup, F.lit(label).alias("match"))
-
-    def present(df: DataFrame, *cols: str) -> DataFrame:
-        return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-
-    refs = present(spots, "spot")
-    spot1 = shaped(natural_join(present(keys, "co", "com", "spot"),
-                                refs.select("co", "com", "spot", "lon_2", "lat_2"), on=["co", "com", "spot"]), "spot")
-    spot1 = staged(spot1)
-    left1 = staged(_unmatched(keys, spot1))
-    best_spot = best_match(left1, refs, ["co", "com", "spot"], "id_spo", max_dist)
-    named = refs.select("id_spo", F.col("co").alias("co_2"), F.col("com").alias("com_2"),
-                        F.col("spot").alias("spot_2"), "lon_2", "lat_2")
-    spot2 = shaped(natural_join(left1, best_spot, on=["co", "com", "spot"]).join(named, "id_spo"), "spot")
-    spot2 = staged(spot2)
-    left2 = staged(_unmatched(left1, spot2))
-    at_home = communes.where(F.col("co") == home)
-    abroad = communes.where(F.col("co") != home).drop("dpt")
-    com1 = natural_join(present(left2, "co", "dpt", "com"),
-                        at_home.select("co", "com", "dpt", "lon_2", "lat_2"), on=["co", "com", "dpt"])
-    com2 = natural_join(present(left2, "co", "com"), abroad.select("co", "com", "lon_2", "lat_2"), on=["co", "com"])
-    com12 = staged(shaped(union_all(com1, com2), "com"))
-    left3 = staged(_unmatched(left2, com12))
-    # near communes: three columns at home, two abroad, ranked by country and commune alone
-    home_keys = present(left3, "co", "com", "dpt")
-    home_near = fuzzy_join(home_keys, at_home, ["co", "com", "dpt"], max_dist)
-    home_refs = at_home.select(F.col("co").alias("co_2"), F.col("com").alias("com_2"), F.col("dpt").alias("dpt_2"), "id_co")
-    home_hits = home_near.join(home_refs, ["co_2", "com_2", "dpt_2"]).select(
-        "co", "com", "dpt", "id_co", F.round(F.col("co_d") + F.col("com_d"), 9).alias("d"))
-    away_keys = present(left3, "co", "com")
-    away_near = fuzzy_join(away_keys, abroad, ["co", "com"], max_dist)
-    away_refs = abroad.select(F.col("co").alias("co_2"), F.col("com").alias("com_2"), "id_co")
-    away_hits = away_near.join(away_refs, ["co_2", "com_2"]).select(
-        "co", "com", "id_co", F.round(F.col("co_d") + F.col("com_d"), 9).alias("d"))
-    hits = natural_join(home_keys, home_hits, on=["co", "com", "dpt"]).unionByName(
-        natural_join(away_keys, away_hits, on=["co", "com"]))
-    best_com = first_per_key(hits, place, ["d", "id_co"], ["id_co"])
-    com_named = communes.select("id_co", F.col("co").alias("co_2"), F.col("com").alias("com_2"), "lon_2", "lat_2")
-    com3 = staged(shaped(best_com.join(com_named, "id_co"), "com"))
-    stages = union_all(spot1, spot2, com12, com3)
-
-    sizes = records.groupBy(*place).agg(F.count(F.lit(1)).alias(ROWS))
-    # a key has one row here except for repeated foreign communes, which repeat the record
-    listed = stages.groupBy(*place).agg(F.collect_list(F.struct(*lookup, "match")).alias("_hits"))
-    hit_keys = natural_join(sizes, listed, "inner", on=place)
-    joined = attach_per_key(records, hit_keys, place, "left")
-    out = joined.select(*records.columns, F.inline_outer("_hits"))
+    refs = _present(spots, ["spot"])
+    at_home, abroad = communes.where(F.col("co") == home), communes.where(F.col("co") != home)
+    known = _values(refs, ["co", "com", "spot"]).unionByName(_values(communes, ["co", "com", "dpt"])).distinct()
+    near = staged(near_values(_values(keys, place), known, max_dist))
+    listed = staged(union_all(
+        _hits(keys, refs, near, ["co", "com", "spot"], "id_spo", ["co", "com", "spot"], (1, 2), ["co", "com", "spot"]),
+        _hits(keys, at_home, near, ["co", "com", "dpt"], "id_co", ["co", "com"], (3, 4), ["co", "com"]),
+        _hits(keys, abroad, near, ["co", "com"], "id_co", ["co", "com"], (3, 4), ["co", "com"])))
+    best = listed.groupBy(*place).agg(F.min(F.struct("stage", "d", "hit.ref")).alias("best"))
+    # equal matches all count, of near ones only the best
+    kept = attach_per_key(listed, best, place, "inner").where(
+        (F.col("stage") == F.col("best.stage")) & (F.col("stage").isin(1, 3) | (F.struct("d", "hit.ref") == F.struct("best.d", "best.ref"))))
+    hits = kept.select(*place, "hit.co_2", "hit.com_2", "hit.spot_2", "hit.lon_2", "hit.lat_2",
+                       F.when(F.col("stage") <= 2, "spot").otherwise("com").alias("match"))
+    out = natural_join(records, hits, "left", on=place)
     if found is not None:
         hand = found.select("co", "com", "spot", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
         out = natural_join(out, hand, "left", on=["co", "com", "spot"])

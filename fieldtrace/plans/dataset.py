@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import text
 from fieldtrace.functions.codes import country_name
-from fieldtrace.functions.nullsafe import is_in, to_number
+from fieldtrace.functions.nullsafe import is_in, null_text, round_half_even, to_number
 from fieldtrace.functions.time import local_instant
 from fieldtrace.operators.corrections import corrected
 from fieldtrace.operators.joins import drop_members, keep_members, natural_join, union_all
 from fieldtrace.operators.records import (
-    attach_positions, consistent_pairs, mean_positions, merge_sources, reference_pairs,
+    attach_positions, consistent_pairs, mean_positions, merge_sources, reference_pairs, unlocated_places,
 )
 from fieldtrace.operators.ranks import row_numbers
 from fieldtrace.operators.resolve import reconcile_coordinates, resolve_places
+from fieldtrace.operators.spatial import nearest_polygon
 from fieldtrace.operators.timeline import first_attributes, gate_timeline
 from fieldtrace.sources.store import staged
 
@@ -102,6 +103,27 @@ def located_records(records: DataFrame, spots: DataFrame, communes: DataFrame, r
     return reconcile_coordinates(resolved).select("id", "lon", "lat", "co", "dpt", "com", "spot")
 
 
+def outside_country(records: DataFrame, borders: DataFrame, poly: str) -> DataFrame:
+    """Located records outside the polygons of their country: ``dist`` in whole km and a label, farthest first in a place.
+
+    ``borders`` are polygon edges with the country ``co``; a record of a country without polygon is left out.  Positions
+    are compared once per country, however many records they have.
+    """
+    spots = staged(records.where(text.in_box("lon", "lat")).select("id", "co", "com", "spot", "lon", "lat"))
+    near = nearest_polygon(spots, borders, poly, ["co"]).select("co", "lon", "lat", round_half_even("dist_km").alias("dist"))
+    # a position outside comes with its records; the nearest search has one row per position
+    rows = spots.join(near.where(F.col("dist") > 0), ["co", "lon", "lat"])
+    named = [null_text(c).alias(c) for c in ("co", "com", "spot")]
+    return rows.select("id", *named, "dist", F.concat_ws(" / ", "id", *[null_text(c) for c in ("co", "com", "spot")]).alias("spot_full")).orderBy(
+        "co", "com", "spot", F.col("dist").desc(), "id")
+
+
+def without_position(records: DataFrame) -> DataFrame:
+    """Ids of records at places of which no record has a position; the place key has no separator."""
+    loc = F.concat("com", "spot").alias("loc")
+    return keep_members(records.select("id", loc), "loc", unlocated_places(records).select(loc)).select("id")
+
+
 def build_dataset(raw: dict[str, DataFrame], spots: DataFrame, communes: DataFrame, rules: DataFrame | None = None,
                   dropped: DataFrame | None = None, duplicates: DataFrame | None = None,
                   found: DataFrame | None = None, zone: str = "Europe/Paris") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrace.functions.geo import to_lambert
 from fieldtrace.functions.nullsafe import round_half_even
-from fieldtrace.functions.time import shifted_winter
+from fieldtrace.functions.time import month_name, shifted_winter
+from fieldtrace.operators.density import density_2d
 from fieldtrace.operators.keyed import first_per_key
 
 WINTER_MONTHS = (1, 11, 12)
@@ -27,3 +29,16 @@ def migration_rates(rows: DataFrame, distance: str = "dist_km", beyond: float =
         F.max(F.when(F.col(distance) > beyond, 1).otherwise(0)).alias("mig"))
     return per_winter.groupBy("nes_reg", "sp").agg(
         round_half_even(100.0 * F.sum("mig") / F.count(F.lit(1))).alias("rate"))
+
+
+def month_headings(records: DataFrame) -> DataFrame:
+    """Records of each region, species and month, and the heading of its map."""
+    counts = records.groupBy("nes_reg", "sp", "month").agg(F.count(F.lit(1)).alias("n"), F.min("datetime").alias("_at"))
+    return counts.select("nes_reg", "sp", "month", "n", F.concat(month_name("_at"), F.lit(" - "), F.col("n").cast("string"), F.lit(" obs.")).alias("head_fig"))
+
+
+def month_densities(records: DataFrame, box: tuple[tuple[float, float], tuple[float, float]], points: int = 100) -> DataFrame:
+    """Density of each region, species and month on a grid over a box of projected coordinates, relative to its largest cell."""
+    x, y = to_lambert("lon", "lat")
+    rows = records.select("nes_reg", "sp", "month", x.alias("x"), y.alias("y"))
+    return density_2d(rows, ["nes_reg", "sp", "month"], "x", "y", box, points)

@@ -106,7 +106,7 @@ SELECT CASE p_partkey % 2 WHEN 0 THEN 'FRANCE' ELSE 'SPAIN' END AS co, p_brand A
   MIN(p_partkey) AS id_co,
   AVG(-10 + CAST((p_partkey * 7919) % 28000 AS DOUBLE) / 1000) AS lon_2,
   AVG(35 + CAST((p_partkey * 6007) % 20000 AS DOUBLE) / 1000) AS lat_2
-FROM {part} WHERE p_brand LIKE 'Brand#1%' GROUP BY 1, 2""",
+FROM {part} GROUP BY 1, 2""",
     "gazetteer": """
 SELECT p_brand AS com, p_name AS spot, MIN(p_partkey) AS id_spo,
   AVG(-10 + CAST((p_partkey * 7919) % 28000 AS DOUBLE) / 1000) AS lon_2,
