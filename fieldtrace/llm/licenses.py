@@ -1,14 +1,16 @@
 """License notices by conditional compression.
 
 A block of text around a word that license notices use is compressed alone and with each template as a raw zstandard
-dictionary: the template that saves most bytes describes the block best.  As a block may hold other notices too, every
-template with that word is compared word by word, and one is confirmed only if its wording stands around the word with all
-words that name the license.  Line ends and the marks of comments are gaps between words.
+dictionary: the template that saves most bytes describes the block best.  Templates are tried in that order; one is confirmed
+only if its wording stands around the word with all words that name the license, told by the exact differences in words.  As a
+block may hold other notices too, the search goes down the ranking until no template below can differ less than the best one
+confirmed: words of a template that the block lacks all differ.  Line ends and the marks of comments are gaps between words.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,13 +46,28 @@ TEMPLATES = {
     "Proprietary": ["{All} {rights} {reserved}."],
     "Unlicense": ["This is free and {unencumbered} software released into the {public} {domain}."],
 }
+# Title lines of license texts, and short names.
+for _name, _wordings in {
+    "AGPL-3.0": ["GNU {Affero} General Public License Version {3}, 19 November 2007", "under the {AGPLv3}"],
+    "Apache-2.0": ["{Apache} License Version {2.0}, January 2004"],
+    "GPL-2.0": ["{GNU} {General} Public License Version {2}, June 1991", "under the {GPLv2}"],
+    "GPL-3.0": ["{GNU} {General} Public License Version {3}, 29 June 2007", "under the {GPLv3}"],
+    "LGPL-2.1": ["GNU {Lesser} General Public License Version {2.1}, February 1999", "under the {LGPLv2.1}"],
+    "LGPL-3.0": ["GNU {Lesser} General Public License Version {3}, 29 June 2007", "under the {LGPLv3}"],
+    "MPL-2.0": ["{Mozilla} Public License Version {2.0}"],
+}.items():
+    TEMPLATES[_name] = TEMPLATES[_name] + _wordings
+#: Tags with the identifier of the license; the first of several counts.  Families with versions may say what follows them.
+for _name in [n for n in TEMPLATES if n not in ("BSD", "Proprietary")]:
+    TEMPLATES[_name] = TEMPLATES[_name] + [
+        f"SPDX-License-Identifier: {{{_name}{more}}}" for more in (["", "-only", "-or-later"] if "GPL" in _name else [""])]
 #: The end of a line and what stands before the next line's words: space, marks of a comment, words that are such marks.
 _LINE = r"\r?\n[^\S\n]*(?:[^\w\s]{1,4}[^\S\n]*|(?:dnl|rem|c)[^\S\n]+)?"
 _TAIL = r"(?:[^\S\n]+[^\w\s]{1,4})?[^\S\n]*"  # what a boxed comment has at the line's end
 _GAP = rf"(?:{_TAIL}{_LINE}|[^\S\n]+)"
 #: Every template holds one of these; a block is what stands around one, up to a blank line.  A word of a text leads to
 #: the templates that hold the same.
-_TRIGGER = re.compile(rf"licen[cs]e|CC0|redistribution|permission|public{_GAP}licen[cs]e|rights{_GAP}reserved|public{_GAP}domain", re.IGNORECASE)
+_TRIGGER = re.compile(rf"licen[cs]e|\b[AL]?GPLv[23](?:\.1)?\b|CC0|redistribution|permission|public{_GAP}licen[cs]e|rights{_GAP}reserved|public{_GAP}domain", re.IGNORECASE)
 REACH = 400  # characters of a block to each side of the trigger, line ends and marks of comments not counted
 RAW_REACH = 10 * REACH  # the same with them
 DIFFERENT_SHARE = 0.25  # of a template's words that may differ if none of them names the license
@@ -92,9 +109,16 @@ class _Template:
         naming = {w for part in re.findall(r"\{(.*?)\}", wording) for w, _, _ in _words(part)}
         self.triggers = {_plain(m.group()) for m in _TRIGGER.finditer(text)}
         self.naming = [i for i, w in enumerate(self.words) if w in naming]
+        self.bag = Counter(self.words)
         data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.size = _compressor(data)
 
+    def least(self, held: Counter) -> tuple[float, int]:
+        """The smallest share of words that can differ from a text of these words, and the words, more first."""
+        if any(not held[self.words[i]] for i in self.naming):
+            return 2.0, 0
+        return sum((self.bag - held).values()) / len(self.words), -len(self.words)
+
 
 def _compressor(dictionary=None):
     import zstandard
@@ -124,13 +148,20 @@ def scan_block(block: str, at: int, trigger: str) -> tuple[str, int, int, int] |
     here = next((i for i, (_, _, e) in enumerate(words) if at < e), None)
     if here is None:
         return None
-    confirmed = []
-    for saved, t in ranking(_LINE_END.sub(" ", block), trigger):
+    held = Counter(text)
+    ranked = [(saved, t, t.least(held)) for saved, t in ranking(_LINE_END.sub(" ", block), trigger)]
+    best = None
+    for i, (saved, t, least) in enumerate(ranked):
+        if best and all(below > best[:2] for _, _, below in ranked[i:]):
+            break  # the winner so far differs less than any template below can
+        if least[0] > DIFFERENT_SHARE:
+            continue
         found = _differences(text, here, t)
         if found:
             first, last, different = found
-            confirmed.append((different / len(t.words), -len(t.words), -saved, t.name, words[first][1], words[last][2], different))
-    return min(confirmed)[3:] if confirmed else None
+            way = (different / len(t.words), -len(t.words), -saved, t.name, words[first][1], words[last][2], different)
+            best = way if best is None else min(best, way)
+    return best[3:] if best else None
 
 
 def _side(text: list[str], template: list[str], needed: list[bool]) -> list[tuple[int, int]]:
