@@ -6,8 +6,9 @@ and a block is one row: hash of the anchor, hash of all bytes of the block.
 
 * An anchor seen once has no repeated window, and a block seen twice has no other: most blocks end here, by counting.
 * Where blocks of one anchor differ, one copy of each goes to the anchor's task.  There the suffixes of the blocks are sorted
-  by their first ``LENGTH`` bytes, ties by position; the previous smaller and next smaller positions in this order tell
-  which windows occur earlier (longest previous factor of ``LENGTH`` or more) and which occur elsewhere at all.
+  by their first ``LENGTH`` bytes, ties by position.  Of all earlier positions the previous and the next smaller one in this order
+  share the longest prefix with a suffix, so they give its longest previous factor as far as ``LENGTH``: where it is reached
+  the window occurs earlier, and the position that gave it occurs again later.
 * An anchor with very many different blocks is not sorted in one task; its windows are counted by hash, each by itself.
 """
 
@@ -97,12 +98,42 @@ def repeated_windows(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, c
     """
     block = np.repeat(np.arange(len(begins)), counts)
     starts = begins[block] + np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rank = _windows_equal(data, starts)
-    order = np.lexsort((starts, rank))  # suffix order; among equal windows the smaller position is the neighbour before
-    same = rank[order][1:] == rank[order][:-1]
-    previous, following = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    previous[order[1:]], following[order[:-1]] = same, same
-    return previous | following | (copies[block] > 1), previous
+    source = previous_factors(starts, _windows_equal(data, starts))
+    earlier = source >= 0
+    again = np.zeros(len(starts), bool)
+    again[source[earlier]] = True
+    return earlier | again | (copies[block] > 1), earlier
+
+
+def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the previous and of the next smaller value of each of the distinct values; -1 and the length where there is none.
+
+    All places look at once; who meets a larger value goes on to where that one has got, as all between are larger still.
+    """
+    n = len(values)
+    out = []
+    for flipped in (values, values[::-1]):
+        at, place = np.arange(n) - 1, np.arange(n)
+        while len(place):
+            place = place[(at[place] >= 0) & (flipped[at[place]] > flipped[place])]
+            at[place] = at[at[place]]
+        out.append(at)
+    return out[0], n - 1 - out[1][::-1]
+
+
+def previous_factors(starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each suffix an earlier one with the same first ``LENGTH`` bytes, -1 if its longest previous factor is shorter.
+
+    ``rank`` is the order of the suffixes by these bytes, equal for equal ones.
+    """
+    order = np.lexsort((starts, rank))
+    source = np.full(len(starts), -1)
+    for neighbour in smaller_neighbours(starts[order]):
+        there = np.flatnonzero((neighbour >= 0) & (neighbour < len(order)))
+        mine, other = order[there], order[neighbour[there]]
+        long = rank[mine] == rank[other]
+        source[mine[long]] = other[long]
+    return source
 
 
 def _ranges(mask: np.ndarray, counts: np.ndarray) -> list[list[dict]]:

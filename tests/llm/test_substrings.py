@@ -120,3 +120,34 @@ def test_repeated_rows_keep_one_copy(spark, monkeypatch, group):
     want = [(k, *b) for (k, _), b in zip(rows, brute([t for _, t in rows], True))]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert sum(r[0] is None and r[2] == 0 for r in got) == 1
+
+
+def test_smaller_neighbours_by_walking():
+    rng = np.random.default_rng(6)
+    for values in [rng.permutation(n) for n in (0, 1, 2, 3, 50, 400)] + [np.arange(100), np.arange(100)[::-1]]:
+        before, after = S.smaller_neighbours(values)
+        for i, v in enumerate(values):
+            assert before[i] == next((j for j in range(i - 1, -1, -1) if values[j] < v), -1)
+            assert after[i] == next((j for j in range(i + 1, len(values)) if values[j] < v), len(values))
+
+
+def test_previous_factors_are_those_of_all_pairs():
+    """The source is earlier and equal; there is one whenever any earlier suffix is equal, in whatever order the suffixes come."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        starts = rng.permutation(300)[:120]
+        rank = rng.integers(0, 40, 120)
+        source = S.previous_factors(starts, rank)
+        for i in range(120):
+            earlier = [j for j in range(120) if rank[j] == rank[i] and starts[j] < starts[i]]
+            assert (source[i] >= 0) == bool(earlier)
+            assert not earlier or source[i] in earlier
+
+
+def test_flags_come_from_the_previous_factors(monkeypatch):
+    data = np.frombuffer(b"".join(bytes([65 + i % 7 * 3 % 26]) * 3 for i in range(400)) * 2, np.uint8)
+    args = data, np.array([0]), np.array([len(data) - S.LENGTH + 1]), np.array([1])
+    elsewhere, earlier = S.repeated_windows(*args)
+    assert earlier.any() and (elsewhere & ~earlier).any()
+    monkeypatch.setattr(S, "previous_factors", lambda starts, rank: np.full(len(starts), -1))
+    assert not S.repeated_windows(*args)[0].any()
