@@ -17,7 +17,7 @@ HEADLINE = [
     "timeline_gate", "dms_to_degrees", "sex_and_age_codes", "pair_consistency", "merge_known_first_record",
     "closest_to_midwinter", "exact_quantiles", "habitat_size_weights", "fuzzy_name_pairs", "points_in_polygons",
     "nearest_site", "water_system_clusters", "migration_distance", "weighted_histogram", "kernel_density",
-    "weighted_draws", "weighted_winters", "entity_resolution",
+    "weighted_draws", "weighted_winters", "entity_resolution", "build_dataset", "site_weights",
 ]
 
 
