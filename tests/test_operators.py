@@ -479,3 +479,13 @@ def test_site_draws_have_the_exact_shares(spark):
         assert abs(drawn.count(wb) - len(drawn) * p) <= 5 * math.sqrt(len(drawn) * p) + 5
     assert not {wb for wb, *_, area in water if area == 0} & set(drawn)
     assert resample.site_draws(birds.limit(0), s, w, fit, 3).collect() == []
+
+
+def test_site_draws_are_dealt_by_draws(spark, monkeypatch):
+    monkeypatch.setattr(resample, "_DRAWS_A_TASK", 500)
+    birds = spark.createDataFrame([(1, i) for i in range(40)], "site_id long, ring long")
+    s = spark.createDataFrame([(1, "A", 0.0, 45.0)], "site_id long, sp string, n_lon double, n_lat double")
+    w = spark.createDataFrame([(i, float(i), 46.0, 1.0) for i in range(8)], "wb_id long, lon double, lat double, wgt_area double")
+    fit = spark.createDataFrame([("A", 300.0, 0.5)], "sp string, fit double, dispersion double")
+    got = resample.site_draws(birds, s, w, fit, 100, birds_at_once=4).withColumn("task", F.spark_partition_id())
+    assert got.count() == 4000 and got.select("task").distinct().count() > 4  # few bytes go in, but they are long to draw
