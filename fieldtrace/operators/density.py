@@ -10,15 +10,21 @@ import math
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtrace.functions.nullsafe import col
 from fieldtrace.operators.keyed import ROWS, attach_per_key
-from fieldtrace.operators.ranks import quantiles
+from fieldtrace.operators.ranks import beside, quantiles, ranges
+from fieldtrace.sources.store import staged
 
 #: Bandwidths after which the normal kernel, below 1e-15 of its peak, no longer changes a sum of doubles.
 _REACH = 8.5
+#: Parts of a group's range in which its values are counted; groups whose arrays a task holds at once.
+_CELLS, _GROUPS_HELD = 4096, 1024
 
 
 def histogram(df: DataFrame, group: list[str], value: str, weight: str | None = None, *, bins: int | None = None,
@@ -50,10 +56,14 @@ def rule_of_thumb(df: DataFrame, group: list[str], value: str, adjust: float = 1
         F.min(value).alias("lo"), F.max(value).alias("hi"))
     q = quantiles(df, group, value, [0.25, 0.75]).groupBy(*group).agg(
         (F.max("quantile") - F.min("quantile")).alias("iqr"))
+    return _thumb(sums, q, group, factor * adjust)
+
+
+def _thumb(sums: DataFrame, q: DataFrame, group: list[str], factor: float) -> DataFrame:
     joined = attach_per_key(sums, q, group)
     spread = F.least("sd", F.col("iqr") / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("sd") > 0, F.col("sd")).when(F.col("lo") != 0, F.abs("lo")).otherwise(F.lit(1.0))
-    return joined.select(*group, ROWS, "n", "lo", "hi", (F.lit(factor * adjust) * spread * F.pow(F.col("n"), F.lit(-0.2))).alias("bw"))
+    return joined.select(*group, ROWS, "n", "lo", "hi", (F.lit(factor) * spread * F.pow(F.col("n"), F.lit(-0.2))).alias("bw"))
 
 
 def _known(df: DataFrame, *columns: str | None) -> DataFrame:
@@ -139,16 +149,108 @@ def circular_density(df: DataFrame, group: list[str], angle: str, weight: str |
                         F.try_divide(F.col("_y"), F.sum("_y").over(whole)).alias("density"))
 
 
+def _grid_sums(rows: DataFrame, group: list[str], cells: int) -> DataFrame:
+    """Amount ``_w`` of every row, shared by ``_f`` between the cells ``_i`` and ``_i`` + 1, added up per group: a row per
+    group and task, of which a task holds ``_GROUPS_HELD`` at most."""
+    size = cells + 4  # two beside each end take what lies outside
+
+    def add(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def told():
+            keys, sums = list(held), pa.array(np.concatenate([x[2:-2] for x in held.values()]))
+            lists = pa.ListArray.from_arrays(np.arange(0, len(sums) + 1, cells, dtype=np.int32), sums)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], t) for j, t in enumerate(types)), lists], names=[*group, "sums"])
+
+        for batch in batches:
+            types = [batch.schema.field(g).type for g in group]
+            code = np.zeros(batch.num_rows, np.int64)
+            for g in group:
+                named = batch.column(g).dictionary_encode("encode")
+                code = code * len(named.dictionary) + named.indices.to_numpy()
+            _, first, of = np.unique(code, return_index=True, return_inverse=True)
+            keys = list(zip(*(batch.column(g).take(pa.array(first)).to_pylist() for g in group))) if group else [()] * len(first)
+            i, f, w = (batch.column(c).to_numpy() for c in ("_i", "_f", "_w"))
+            slot = of * size + np.clip(i, -2, cells) + 2
+            if f.any():
+                slot, w = np.append(slot, slot + 1), np.append(w * (1 - f), w * f)
+            if len(keys) > 64:  # groups lie mixed: only the cells that are met
+                met, at = np.unique(slot, return_inverse=True)
+                w = np.bincount(at, w)
+                cuts = np.searchsorted(met, np.arange(len(keys) + 1) * size)
+                for k, low, high in zip(keys, cuts[:-1], cuts[1:]):
+                    mine = held.setdefault(k, np.zeros(size))
+                    mine[met[low:high] % size] += w[low:high]
+            else:
+                for k, mine in zip(keys, np.bincount(slot, w, len(keys) * size).reshape(-1, size)):
+                    held[k] = held[k] + mine if k in held else mine
+            if len(held) > _GROUPS_HELD:
+                yield told()
+        if held:
+            yield told()
+
+    return rows.select(*group, F.col("_i").cast("bigint").alias("_i"), F.col("_f").cast("double").alias("_f"), F.col("_w").cast("double").alias("_w")).mapInArrow(
+        add, T.StructType([*(rows.schema[g] for g in group), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+
+
+def _quartiles_apart(rows: DataFrame, sums: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Exact distance of the quartiles per group, for many groups of many rows.
+
+    Values are counted in ``_CELLS`` parts of the group's range, in one array per group; then those in the few cells that
+    hold a wanted rank are counted by value.
+    """
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    cell = F.least(F.floor((F.col(value) - F.col("lo")) / width * _CELLS), F.lit(_CELLS - 1)).cast("bigint")
+    placed = attach_per_key(rows, sums.select(*group, ROWS, "lo", "hi"), group, "inner").select(*group, F.col(value).alias("_v"), cell.alias("_i"))
+    counts = _grid_sums(placed.select(*group, "_i", F.lit(0.0).alias("_f"), F.lit(1.0).alias("_w")), group, _CELLS)
+
+    def seek(parts: pa.Table) -> pa.Table:
+        upto = np.cumsum(parts["sums"].combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0))
+        h = (upto[-1] - 1) * np.array([0.25, 0.25, 0.75, 0.75])
+        rank = np.where([True, False, True, False], np.floor(h), np.ceil(h))
+        at = np.searchsorted(upto, rank, "right")
+        return pa.table({**{g: pa.array([parts[g][0].as_py()] * 4, parts.schema.field(g).type) for g in group}, "side": pa.array([0, 1, 2, 3]), "f": pa.array(h - np.floor(h)),
+                         "_i": pa.array(at), "_rank": pa.array((rank - np.append(0, upto)[at]).astype(np.int64))})
+
+    asked = staged(counts.groupBy(*group).applyInArrow(seek, T.StructType([*(rows.schema[g] for g in group), T.StructField("side", T.LongType()), T.StructField("f", T.DoubleType()),
+                                                                           T.StructField("_i", T.LongType()), T.StructField("_rank", T.LongType())])))
+    keys = [*group, "_i"]
+    values = beside(placed, asked.select(*keys).distinct(), keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    met = beside(ranges(values, keys, "_v"), asked, keys, ["side", "f", "_rank"]).where(
+        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("_v")))
+    share = lambda side: F.max(F.when(F.col("side") == side, F.col("f")))
+    return met.groupBy(*group).agg((of(2) + share(2) * (of(3) - of(2)) - of(0) - share(0) * (of(1) - of(0))).alias("iqr"))
+
+
 def positive_share(df: DataFrame, group: list[str], value: str, weight: str | None = None, n: int = 512) -> DataFrame:
-    """Share of the density on -1..1 that lies above zero, per group (rule-of-thumb bandwidth)."""
-    df = _known(df, value, weight)
-    params = rule_of_thumb(df, group, value).select(
-        *group, ROWS, "bw", F.lit(-1.0).alias("x_from"), F.lit(1.0).alias("x_to"))
-    rows = attach_per_key(df, params, group, "inner")
+    """Share of the density on -1..1 that lies above zero, per group (rule-of-thumb bandwidth).
+
+    ``df`` is read four times.  Each time a task keeps one row or array per group that it meets, so what is shuffled does
+    not grow with the rows; where rows of a group follow each other it is least.
+    """
     nodes = _nodes(n)
-    spread = _spread(_binned(rows, group, value, weight, nodes), n, nodes)
-    return spread.groupBy(*group).agg(
-        F.try_divide(F.sum(F.when(F.col("x") > 0, F.col("_y")).otherwise(0.0)), F.sum("_y")).alias("prop"))
+    rows = _known(df, value, weight).select(*group, F.col(value).cast("double").alias("_x"), (F.lit(1.0) if weight is None else col(weight).cast("double")).alias("_w"))
+    sums = staged(rows.groupBy(*group).agg(F.count("_x").alias("n"), F.count(F.lit(1)).alias(ROWS), F.stddev_samp("_x").alias("sd"), F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+    params = staged(_thumb(sums, _quartiles_apart(rows, sums, group, "_x"), group, 0.9).select(*group, ROWS, "bw"))
+    step = (2 + 8 * F.col("bw")) / (nodes - 1)
+    at = (F.col("_x") + 1 + 4 * F.col("bw")) / step
+    placed = attach_per_key(rows, params, group, "inner").select(*group, F.floor(at).alias("_i"), (at - F.floor(at)).alias("_f"), "_w")
+    masses = attach_per_key(_grid_sums(placed, group, nodes), params, group, "inner")
+
+    def spread(parts: pa.Table) -> pa.Table:
+        mass = parts["sums"].combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+        bw = parts["bw"][0].as_py()
+        step = (2 + 8 * bw) / (nodes - 1)
+        z = np.arange(1 - nodes, nodes) * (step / bw)
+        y = np.convolve(mass, np.exp(-0.5 * z * z))[nodes - 1:2 * nodes - 1]  # at the nodes; between them in proportion
+        x = -1 + np.arange(n) * (2 / (n - 1))
+        shown = np.interp((x + 1 + 4 * bw) / step, np.arange(nodes), y)
+        whole = shown.sum()
+        return pa.table({**{g: parts[g].slice(0, 1) for g in group}, "prop": pa.array([shown[x > 0].sum() / whole if whole != 0 else None], pa.float64())})
+
+    return masses.groupBy(*group).applyInArrow(spread, T.StructType([*(rows.schema[g] for g in group), T.StructField("prop", T.DoubleType())]))
 
 
 def _share(at: Column) -> Column:

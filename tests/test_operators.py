@@ -489,3 +489,19 @@ def test_site_draws_are_dealt_by_draws(spark, monkeypatch):
     fit = spark.createDataFrame([("A", 300.0, 0.5)], "sp string, fit double, dispersion double")
     got = resample.site_draws(birds, s, w, fit, 100, birds_at_once=4).withColumn("task", F.spark_partition_id())
     assert got.count() == 4000 and got.select("task").distinct().count() > 4  # few bytes go in, but they are long to draw
+
+
+def test_shares_of_many_rows_are_added_up_where_the_rows_are(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.uniform(-1, 1) ** 3, rng.choice([1.0, 2.0])) for g in (None, *range(70)) for _ in range(30 if g else 2000)]
+    df = spark.createDataFrame(rows, "g long, v double, w double").repartition(3)
+    shares = density.positive_share(df, ["g"], "v", "w")
+    assert "Generate" not in shares._jdf.queryExecution().optimizedPlan().toString()  # no row per node and point in reach
+    got = {r.g: r.prop for r in shares.collect()}
+    assert len(got) == 71
+    for g in (None, 0, 5, 69):
+        v, w = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        bw = 0.9 * min(v.std(ddof=1), (np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.34) * len(v) ** -0.2
+        x = np.linspace(-1, 1, 512)
+        y = (np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2) * w).sum(axis=1)
+        assert abs(got[g] - y[x > 0].sum() / y.sum()) < 1e-3
