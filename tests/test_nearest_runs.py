@@ -71,3 +71,12 @@ def test_only_edges_beside_a_position_are_counted(spark):
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line and "_cx" in line)
     assert "_xa" in join and "y1" in join and "RepartitionByExpression" in plan
+
+
+def test_distances_look_only_at_asked_pairs(spark, monkeypatch):
+    boxes = _box(1, 0.0, 0.0, 1.0, 1.0) + _box(2, 0.4, 0.4, 0.1, 0.1) + _box(3, 3.0, 0.0, 1.0, 1.0) + _box(4, 0.45, 0.45, 0.01, 0.01)
+    edges = spark.createDataFrame(boxes, "p int, x1 double, y1 double, x2 double, y2 double")
+    monkeypatch.setattr(spatial, "covering_polygons", None)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (4, 1), (1, 3)], "a int, b int")
+    got = {(r.a, r.b): r.dist_km for r in spatial.polygon_distances(pairs, edges, "a", "b", "p").collect()}
+    assert got.pop((1, 3)) == pytest.approx(_km((1, 0), (3, 0)), rel=1e-3) and got == {(1, 2): 0, (2, 1): 0, (4, 1): 0}
