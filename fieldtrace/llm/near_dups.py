@@ -7,9 +7,14 @@ shingles of a batch up to a time at which a text's registers should all be taken
 ends there, and only texts with an empty register go on to a later time.
 
 Texts that agree in all registers of a band are candidates.  In each band's bucket one text leads and the others are
-compared with it, first by registers, then by their shingles; buckets that still hold texts of several classes get
-new leaders, ever more at a time, until each text has led or all are of one class.  So every pair of a bucket is either
-compared or in one class, and no bucket is expanded into all its pairs.
+compared with it, first by registers, then by their shingles; small buckets have several leaders, the smallest only such.
+
+Texts of larger buckets that are not of one class then are held against each other by what sets them apart from their
+bucket's first leader, the pivot: the shingles that only one of text and pivot holds.  Two texts differ in just the
+shingles that are in one of these two differences, and a pair of probability Jaccard t differs in at most
+2 (1 - t) / (1 + t) of the longer one's weight (``most_different``).  So pairs are met at the rarest shingles of the
+differences, as in a prefix filter with positions, and only those are compared that can be similar enough.  Every pair of
+a bucket is compared, in one class, or shown to be below the similarity; no bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +33,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Registers that must agree before shingles are compared: four standard errors below the similarity.
 AGREE = int(REGISTERS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
-
-
-
-#: Pairs that a bucket may ask for in the first round, if its size is not more; four times as many in each round after.
+#: Pairs that a bucket may ask its leaders for, if its size is not more; in buckets of up to the root of it all lead.
 PAIRS_ASKED = 1024
+#: One in so many texts asks for those that differ from it in little, round by round, as their classes grow; in the end all.
+ASKING = (16, 1)
 
 
 def _salt(i: int) -> np.uint64:
@@ -160,33 +164,114 @@ def _links(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame, lis
     full = written(slim.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text"))
     links = spark.createDataFrame([], "a long, b long")
     classes = spark.createDataFrame([], "node long, component long")
-    led = None
     stages = [full]
     discard(rank)
-    pairs_asked = PAIRS_ASKED
-    while True:
-        now = members.select("bucket", "node", "size", "rank").join(classes, "node", "left").select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
-        several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        done, members = members, written(now.join(several, "bucket"))  # buckets of one class are done
-        discard(done)
-        waiting = members if led is None else members.join(led, ["bucket", "node"], "left_anti")
-        slots = F.greatest(F.lit(1), F.floor(F.lit(pairs_asked) / F.col("size")))  # few leaders in a large bucket, all in a small one
-        leaders = written(waiting.groupBy("bucket", F.pmod(F.xxhash64("node"), slots).alias("slot")).agg(
-            F.min(F.struct("rank", "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.component").alias("led_by")))
-        stages.append(leaders)
-        if leaders.isEmpty():
-            return links, classes, [*stages, members]
-        pairs = members.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led_by"))).select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, classes
         new = _verified(pairs, texts, full)
         stages.append(new)
         if not new.isEmpty():
             links = links.unionByName(new)
             classes = written(components(links, "a", "b"))
             stages.append(classes)
-        done = leaders.select("bucket", F.col("leader").alias("node"))
-        led = done if led is None else led.unionByName(done)
-        pairs_asked *= 4
+
+    slots = F.greatest(F.lit(1), F.floor(F.lit(PAIRS_ASKED) / F.col("size")))  # few leaders in a large bucket, all in a small one
+    slot = F.when(F.col("size") <= slots, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), slots))
+    leaders = written(members.groupBy("bucket", slot.alias("slot")).agg(F.min("rank").getField("node").alias("leader")).select("bucket", "leader"))
+    stages.append(leaders)
+    linked(members.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    # Buckets where all have led, or of one class, are done.
+    now = members.where(F.col("size") > slots).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rank").getField("node").alias("pivot")).where("lo <> hi")
+    crowd = written(members.join(several.select("bucket", "pivot"), "bucket").select("pivot", "node").distinct())
+    stages += [members, crowd]
+    if not crowd.isEmpty():
+        apart = _differences(crowd, full)
+        stages.append(apart)
+        for one_in in ASKING:
+            linked(_alike(apart, classes, one_in))
+    return links, classes, stages
+
+
+def shingle_sets(full: DataFrame) -> DataFrame:
+    """node, its distinct shingles and the number of all."""
+    def sets(batches):
+        for batch in chunks(batches, "text"):
+            h, r, w = weighted_shingles(*flat_text(batch.column("text")))
+            at = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node"), pa.ListArray.from_arrays(at, h.view(np.int64)),
+                pa.array(np.bincount(r, w, batch.num_rows).astype(np.int64))], names=["node", "items", "total"])
+
+    return full.select("node", "text").mapInArrow(sets, "node long, items array<long>, total long")
+
+
+def most_different(total: Column) -> Column:
+    """Shingles that two texts of the asked similarity may have alone, both together, ``total`` being the larger weight.
+
+    If a share x of one text's weight lies on shingles that the other lacks, and y of the other's, their probability
+    Jaccard is (1 - x) (1 - y) / (1 - x y) at most; where that is t or more, x + y is 2 (1 - t) / (1 + t) at most, and a
+    shingle takes 1 / total of its text's weight at least.
+    """
+    least = SIMILARITY - 1e-9
+    return F.lit(2 * (1 - least) / (1 + least)) * total + 1e-6
+
+
+def _differences(crowd: DataFrame, full: DataFrame) -> DataFrame:
+    """pivot, node, total, differing, largest, marks of each text that may have a similar one in the pivot's crowd.
+
+    ``differing`` counts the shingles that only one of text and pivot holds, ``marks`` are those that set several texts
+    apart, the rarest first, with the number of others before each.
+    """
+    sets = written(shingle_sets(full.join(crowd.select("node").distinct(), "node")))
+    pivots = sets.join(crowd.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("items").alias("held"))
+    apart = written(crowd.join(sets, "node").join(pivots, "pivot").select(
+        "pivot", "node", "total", F.array_except("items", "held").alias("own"), F.array_except("held", "items").alias("lacking")))
+    discard(sets)
+    each = apart.repartition("pivot", "node").select("pivot", "node", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "lacking")).alias("at", "item"))
+    found = each.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min(F.col("at") < F.col("n_own")).alias("mine"))
+    # What sets one text apart alone differs from all others; no similar text lacks over 1 - SIMILARITY of its weight.
+    alone = found.where("n = 1").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("alone"), F.count_if("mine").alias("alone_own"))
+    largest = apart.groupBy("pivot").agg(F.max("total").alias("largest"))
+    able = apart.join(largest, "pivot").join(alone, ["pivot", "node"], "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))).where(
+        (F.col("alone") <= most_different(F.col("largest"))) & (F.coalesce("alone_own", F.lit(0)) <= (1 - SIMILARITY + 1e-9) * F.col("total") + 1e-6))
+    able = written(able.withColumn("items", F.concat("own", "lacking")).select(
+        "pivot", "node", "total", "largest", "alone", F.size("items").alias("differing"), "items"))
+    shared = able.repartition("pivot", "node").select("pivot", "node", F.explode("items").alias("item")).join(
+        found.where("n > 1").select("pivot", "item", "n"), ["pivot", "item"]).groupBy("pivot", "node").agg(
+        F.array_sort(F.collect_list(F.struct("n", "item"))).alias("shared"))
+    marks = F.transform("shared", lambda x, i: F.struct(x["item"].alias("item"), (F.col("alone") + i).alias("before")))
+    out = written(able.drop("items").join(shared, ["pivot", "node"], "left").select(
+        "pivot", "node", "total", "differing", "largest", F.filter(marks, lambda m: m["before"] <= most_different(F.col("largest"))).alias("marks")))
+    discard(apart, able)
+    return out
+
+
+def _alike(apart: DataFrame, classes: DataFrame, one_in: int) -> DataFrame:
+    """Pairs of texts of different classes that may be similar by their differences from a pivot; one in so many texts asks.
+
+    A text of the pivot's class need not ask: of two classes, one is not the pivot's.
+    """
+    now = apart.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = classes.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
+    asking = now.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).join(own, "pivot", "left").where(
+        F.col("component") != F.coalesce("of_pivot", "pivot")).drop("of_pivot").withColumnsRenamed(
+        {c: f"my_{c}" for c in ("node", "component", "total", "differing")})
+    other = (F.col("component") != F.col("my_component"))
+    room = most_different(F.greatest("total", "my_total"))
+    # Before the first shingle that both differences hold, none is shared; after it, no more than the shorter rest has.
+    marked = now.select("pivot", "node", "component", "total", "differing", F.inline("marks"))
+    asked = asking.select("pivot", "my_node", "my_component", "my_total", "my_differing", F.inline("marks")).withColumnRenamed("before", "my_before")
+    rest, my_rest = F.col("differing") - F.col("before"), F.col("my_differing") - F.col("my_before")
+    met = marked.join(asked, ["pivot", "item"]).where(other & (F.col("before") + F.col("my_before") + F.abs(rest - my_rest) <= room))
+    # Two small differences may have nothing in common.
+    upto = F.floor(most_different(F.col("largest"))).cast("int") - F.col("my_differing")
+    wanted = asking.where(upto >= 0).select("pivot", "my_node", "my_component", "my_total", "my_differing", F.explode(F.sequence(F.lit(0), upto)).alias("differing"))
+    small = now.join(wanted, ["pivot", "differing"]).where(other & (F.col("differing") + F.col("my_differing") <= room))
+    ends = [F.least("node", "my_node").alias("a"), F.greatest("node", "my_node").alias("b")]
+    return met.select(*ends).unionByName(small.select(*ends)).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, full: DataFrame) -> DataFrame:

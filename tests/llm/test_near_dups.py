@@ -151,3 +151,69 @@ def test_odd_rows_and_a_large_group(odd):
 def test_columns_of_any_name_stay_when_copies_go(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "orig", "t1"), (2, "a b c d e f", "copy", "t2"), (3, None, "none", "t3")], "doc_id long, text string, _key string, _text_key string")
     assert sorted((r.doc_id, r["_key"], r["_text_key"]) for r in N.drop_near_duplicates(docs).collect()) == [(1, "orig", "t1"), (3, "none", "t3")]
+
+
+def test_differences_allowed_hold_for_all_similar_pairs():
+    rng = random.Random(11)
+    reached = 0
+    for _ in range(3000):
+        a = Counter({k: rng.choice([1, 1, 1, 2, 5]) for k in rng.sample(range(30), rng.randint(1, 30))})
+        b = Counter({k: n for k, n in a.items() if rng.random() < 0.93})
+        b.update({rng.randint(30, 60): rng.choice([1, 1, 3]) for _ in range(rng.randint(0, 4))})
+        b = Counter({k: n * rng.choice([1, 1, 1, 2]) for k, n in b.items()})
+        if b and similarity(a, b) >= 0.8:
+            x, y = sum(a[k] for k in a if k not in b) / a.total(), sum(b[k] for k in b if k not in a) / b.total()
+            assert similarity(a, b) <= (1 - x) * (1 - y) / (1 - x * y) + 1e-9
+            assert len(set(a) ^ set(b)) <= 2 * 0.2 / 1.8 * max(a.total(), b.total()) + 1e-9
+            reached += 1
+    assert reached > 500
+
+
+def crowd_of(rng, n):
+    """Copies of one text: many too far from each other, chains that link some of them, and two groups apart from the first."""
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(160)]
+
+    def edited(words, k):
+        w = list(words)
+        for _ in range(k):
+            at = rng.randrange(len(w))
+            rng.choice([lambda: w.__setitem__(at, f"v{rng.randint(0, 99999)}"), lambda: w.pop(at), lambda: w.insert(at, f"v{rng.randint(0, 99999)}")])()
+        return w
+
+    texts = [base] + [edited(base, rng.randint(1, 9)) for _ in range(n)]
+    for far in (edited(base, 8), edited(base, 6)):
+        texts += [far] + [edited(far, rng.randint(0, 4)) for _ in range(n // 4)]
+    texts += [edited(texts[-1], 2), texts[-1] + texts[-1], base[:130], base[20:]]
+    return [" ".join(w) for w in texts]
+
+
+def test_pairs_of_a_crowd_are_few_and_lose_no_link(spark):
+    texts = crowd_of(random.Random(12), 300)
+    full = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    crowd = spark.createDataFrame([(0, i) for i in range(len(texts))], "pivot long, node long")
+    h, r, w = N.weighted_shingles(*flat_text(pa.array(texts)))
+    sets = [(h[r == i], w[r == i]) for i in range(len(texts))]
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if N.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9}
+    group = {i: 0 for i, j in links if j == 0} | {0: 0}
+    classes = spark.createDataFrame(list(group.items()), "node long, component long")
+    got = {(r.b, r.a) for r in N._alike(N._differences(crowd, full), classes, 1).collect()}
+    # a text of the pivot's class and one of no class, or two of none
+    wanted = {(i, j) for i, j in links if group.get(i, i) != group.get(j, j)}
+    assert wanted and wanted <= got
+    every = sum(group.get(i, i) != group.get(j, j) for i in range(len(texts)) for j in range(i))
+    assert len(got) < every / 4, (len(got), every, len(wanted))
+
+
+def test_classes_of_a_crowd_against_all_pairs(spark, monkeypatch):
+    texts = crowd_of(random.Random(13), 240)
+    rows = list(enumerate(texts))
+    compared, verified = [], N._verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(N, "_verified", counted)
+    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == brute_classes(rows)
+    assert len(compared) <= 1 + len(N.ASKING)
