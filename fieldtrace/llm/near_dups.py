@@ -7,7 +7,7 @@ shingles of a batch up to a time at which a text's registers should all be taken
 ends there, and only texts with an empty register go on to a later time.
 
 Texts that agree in all registers of a band are candidates.  In each band's bucket one text leads and the others are
-compared with it, first by registers, then by their shingles; small buckets have several leaders, the smallest only such.
+compared with it, first by registers, then by their shingles; in small buckets all lead.
 
 Texts of larger buckets that are not of one class then are held against each other by what sets them apart from their
 bucket's first leader, the pivot: the shingles that only one of text and pivot holds.  Two texts differ in just the
@@ -33,8 +33,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Registers that must agree before shingles are compared: four standard errors below the similarity.
 AGREE = int(REGISTERS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
-#: Pairs that a bucket may ask its leaders for, if its size is not more; in buckets of up to the root of it all lead.
-PAIRS_ASKED = 1024
+#: In buckets of up to so many texts all lead, in larger ones one does.
+ALL_LEAD = 32
 #: One in so many texts asks for those that differ from it in little, round by round, as their classes grow; in the end all.
 ASKING = (16, 1)
 
@@ -176,14 +176,13 @@ def _links(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame, lis
             classes = written(components(links, "a", "b"))
             stages.append(classes)
 
-    slots = F.greatest(F.lit(1), F.floor(F.lit(PAIRS_ASKED) / F.col("size")))  # few leaders in a large bucket, all in a small one
-    slot = F.when(F.col("size") <= slots, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), slots))
+    slot = F.when(F.col("size") <= ALL_LEAD, F.col("node"))  # none in a large bucket, where the first of all leads
     leaders = written(members.groupBy("bucket", slot.alias("slot")).agg(F.min("rank").getField("node").alias("leader")).select("bucket", "leader"))
     stages.append(leaders)
     linked(members.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     # Buckets where all have led, or of one class, are done.
-    now = members.where(F.col("size") > slots).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = members.where(F.col("size") > ALL_LEAD).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rank").getField("node").alias("pivot")).where("lo <> hi")
     crowd = written(members.join(several.select("bucket", "pivot"), "bucket").select("pivot", "node").distinct())
     stages += [members, crowd]
