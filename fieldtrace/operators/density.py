@@ -7,11 +7,13 @@ nodes meet the output grid.  The work after that count does not depend on the nu
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,12 @@ from fieldtrace.operators.keyed import ROWS, attach_per_key
 from fieldtrace.operators.ranks import beside, quantiles, ranges
 from fieldtrace.sources.store import staged
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bandwidths after which the normal kernel, below 1e-15 of its peak, no longer changes a sum of doubles.
 _REACH = 8.5
-#: Parts of a group's range in which its values are counted; groups whose arrays a task holds at once.
-_CELLS, _GROUPS_HELD = 4096, 1024
+#: Parts of a group's range in which its values are counted; groups whose arrays, and rows that a task holds at once.
+_CELLS, _GROUPS_HELD, _ROWS_GATHERED = 4096, 1024, 1 << 21
 
 
 def histogram(df: DataFrame, group: list[str], value: str, weight: str | None = None, *, bins: int | None = None,
@@ -149,74 +153,160 @@ def circular_density(df: DataFrame, group: list[str], angle: str, weight: str |
                         F.try_divide(F.col("_y"), F.sum("_y").over(whole)).alias("density"))
 
 
-def _grid_sums(rows: DataFrame, group: list[str], cells: int) -> DataFrame:
-    """Amount ``_w`` of every row, shared by ``_f`` between the cells ``_i`` and ``_i`` + 1, added up per group: a row per
-    group and task, of which a task holds ``_GROUPS_HELD`` at most."""
-    size = cells + 4  # two beside each end take what lies outside
+def _fields(df: DataFrame, group: list[str], **more: T.DataType) -> T.StructType:
+    return T.StructType([*(df.schema[g] for g in group), *(T.StructField(c, t) for c, t in more.items())])
+
+
+def gathered_values(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Written rows of a group's values that met in one task: the different ones in rising order (``x``), their weights added
+    up (``w``) and their numbers (``n``).
+
+    A task gathers ``_ROWS_GATHERED`` rows at most before it lets go of them, so neither large nor many groups are held whole.
+    """
+    rows = _known(df, value, weight).select(*group, F.col(value).cast("double").alias("x"), (F.lit(1.0) if weight is None else col(weight).cast("double")).alias("w"))
+
+    def told(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        code, x, w = np.zeros(table.num_rows, np.int64), table["x"].to_numpy(), table["w"].to_numpy()
+        for g in group:
+            named = table[g].combine_chunks().dictionary_encode("encode")
+            _, code = np.unique(code * len(named.dictionary) + named.indices.to_numpy(), return_inverse=True)
+        if len(code) and code.max() < 1 << 15:
+            code = code.astype(np.int16)
+        order = np.argsort(x)
+        order = order[np.argsort(code[order], kind="stable")]
+        code, x, w = code[order], x[order], w[order]
+        begins = np.append(True, code[1:] != code[:-1])
+        first = np.flatnonzero(begins | np.append(True, x[1:] != x[:-1]))
+        cuts = pa.array(np.append(np.flatnonzero(begins[first]), len(first)).astype(np.int32))
+        n = np.diff(np.append(first, len(x))).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*(table[g].combine_chunks().take(pa.array(order[begins])) for g in group),
+             *(pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (x[first], np.add.reduceat(w, first), n))], names=[*group, "x", "w", "n"])
+
+    def gather(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= _ROWS_GATHERED:
+                yield told(held)
+                held, size = [], 0
+        if size:
+            yield told(held)
+
+    many = {"x": T.ArrayType(T.DoubleType()), "w": T.ArrayType(T.DoubleType()), "n": T.ArrayType(T.IntegerType())}
+    return staged(rows.mapInArrow(gather, _fields(rows, group, **many)), compression="zstd")
+
+
+def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    return batch.column(column)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _grid_sums(gathered: DataFrame, group: list[str], cells: int, place) -> DataFrame:
+    """Amounts per cell of a group's grid, in a row per group and task: the cells that are met (``at``) and their sums.
 
+    ``place(batch, row)`` gives cells, which may lie outside, and amounts of the values of a row.  A task holds
+    ``_GROUPS_HELD`` groups at most.
+    """
     def add(batches):
         held: dict[tuple, np.ndarray] = {}
 
-        def told():
-            keys, sums = list(held), pa.array(np.concatenate([x[2:-2] for x in held.values()]))
-            lists = pa.ListArray.from_arrays(np.arange(0, len(sums) + 1, cells, dtype=np.int32), sums)
+        def told(types):
+            met = [np.flatnonzero(x) for x in held.values()]
+            cuts = pa.array(np.append(0, np.cumsum([len(x) for x in met])).astype(np.int32))
+            sums = [x[i] for x, i in zip(held.values(), met)]
+            out = [*(pa.array([k[j] for k in held], t) for j, t in enumerate(types)),
+                   pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(met).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sums)))]
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], t) for j, t in enumerate(types)), lists], names=[*group, "sums"])
+            return pa.RecordBatch.from_arrays(out, names=[*group, "at", "sums"])
 
         for batch in batches:
             types = [batch.schema.field(g).type for g in group]
-            code = np.zeros(batch.num_rows, np.int64)
-            for g in group:
-                named = batch.column(g).dictionary_encode("encode")
-                code = code * len(named.dictionary) + named.indices.to_numpy()
-            _, first, of = np.unique(code, return_index=True, return_inverse=True)
-            keys = list(zip(*(batch.column(g).take(pa.array(first)).to_pylist() for g in group))) if group else [()] * len(first)
-            i, f, w = (batch.column(c).to_numpy() for c in ("_i", "_f", "_w"))
-            slot = of * size + np.clip(i, -2, cells) + 2
-            if f.any():
-                slot, w = np.append(slot, slot + 1), np.append(w * (1 - f), w * f)
-            if len(keys) > 64:  # groups lie mixed: only the cells that are met
-                met, at = np.unique(slot, return_inverse=True)
-                w = np.bincount(at, w)
-                cuts = np.searchsorted(met, np.arange(len(keys) + 1) * size)
-                for k, low, high in zip(keys, cuts[:-1], cuts[1:]):
-                    mine = held.setdefault(k, np.zeros(size))
-                    mine[met[low:high] % size] += w[low:high]
-            else:
-                for k, mine in zip(keys, np.bincount(slot, w, len(keys) * size).reshape(-1, size)):
-                    held[k] = held[k] + mine if k in held else mine
-            if len(held) > _GROUPS_HELD:
-                yield told()
+            keys = zip(*(batch.column(g).to_pylist() for g in group)) if group else [()] * batch.num_rows
+            for row, key in enumerate(keys):
+                at, amount = place(batch, row)
+                inside = (at >= 0) & (at < cells)
+                mine = np.bincount(at[inside].astype(np.int64), amount[inside], cells)
+                held[key] = held[key] + mine if key in held else mine
+                if len(held) > _GROUPS_HELD:
+                    yield told(types)
         if held:
-            yield told()
+            yield told(types)
+
+    return gathered.mapInArrow(add, _fields(gathered, group, at=T.ArrayType(T.IntegerType()), sums=T.ArrayType(T.DoubleType())))
+
 
-    return rows.select(*group, F.col("_i").cast("bigint").alias("_i"), F.col("_f").cast("double").alias("_f"), F.col("_w").cast("double").alias("_w")).mapInArrow(
-        add, T.StructType([*(rows.schema[g] for g in group), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+def _whole(parts: pa.Table, cells: int) -> np.ndarray:
+    """Sums of all rows of a group."""
+    at, sums = (parts[c].combine_chunks().flatten().to_numpy() for c in ("at", "sums"))
+    return np.bincount(at, sums, cells)
 
 
-def _quartiles_apart(rows: DataFrame, sums: DataFrame, group: list[str], value: str) -> DataFrame:
+def _cells(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Part of the range lo..hi that holds each value."""
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.minimum(np.floor((x - lo) / (hi - lo if hi > lo else 1.0) * _CELLS), _CELLS - 1), nan=0.0)
+
+
+def _extent(gathered: DataFrame, group: list[str]) -> DataFrame:
+    """Number, mean square deviation and ends of the values of each group."""
+    def add(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for row in range(batch.num_rows):
+                x, n = _numbers(batch, "x", row), _numbers(batch, "n", row)
+                mean = np.average(x, weights=n)
+                out.append((n.sum(), mean, (n * (x - mean) ** 2).sum(), x.min(), x.max()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(g) for g in group), *(pa.array(v) for v in zip(*out))], names=[*group, "n", "mean", "m2", "lo", "hi"])
+
+    number = T.DoubleType()
+    parts = gathered.mapInArrow(add, _fields(gathered, group, n=T.LongType(), mean=number, m2=number, lo=number, hi=number))
+    whole = parts.groupBy(*group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                      F.collect_list(F.struct("n", "mean", "m2")).alias("_p"))  # one per task
+    square = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return whole.select(*group, "n", F.col("n").alias(ROWS), F.when(F.col("n") > 1, F.sqrt(square / (F.col("n") - 1))).alias("sd"), "lo", "hi")
+
+
+def _quartiles_apart(gathered: DataFrame, sums: DataFrame, group: list[str]) -> DataFrame:
     """Exact distance of the quartiles per group, for many groups of many rows.
 
     Values are counted in ``_CELLS`` parts of the group's range, in one array per group; then those in the few cells that
     hold a wanted rank are counted by value.
     """
-    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
-    cell = F.least(F.floor((F.col(value) - F.col("lo")) / width * _CELLS), F.lit(_CELLS - 1)).cast("bigint")
-    placed = attach_per_key(rows, sums.select(*group, ROWS, "lo", "hi"), group, "inner").select(*group, F.col(value).alias("_v"), cell.alias("_i"))
-    counts = _grid_sums(placed.select(*group, "_i", F.lit(0.0).alias("_f"), F.lit(1.0).alias("_w")), group, _CELLS)
+    placed = attach_per_key(gathered.select(*group, "x", "n"), sums.select(*group, ROWS, "lo", "hi"), group, "inner")
+
+    def cells_of(batch, row):
+        return _cells(_numbers(batch, "x", row), *(batch.column(c)[row].as_py() for c in ("lo", "hi"))), _numbers(batch, "n", row)
 
     def seek(parts: pa.Table) -> pa.Table:
-        upto = np.cumsum(parts["sums"].combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0))
+        upto = np.cumsum(_whole(parts, _CELLS))
         h = (upto[-1] - 1) * np.array([0.25, 0.25, 0.75, 0.75])
         rank = np.where([True, False, True, False], np.floor(h), np.ceil(h))
         at = np.searchsorted(upto, rank, "right")
         return pa.table({**{g: pa.array([parts[g][0].as_py()] * 4, parts.schema.field(g).type) for g in group}, "side": pa.array([0, 1, 2, 3]), "f": pa.array(h - np.floor(h)),
                          "_i": pa.array(at), "_rank": pa.array((rank - np.append(0, upto)[at]).astype(np.int64))})
 
-    asked = staged(counts.groupBy(*group).applyInArrow(seek, T.StructType([*(rows.schema[g] for g in group), T.StructField("side", T.LongType()), T.StructField("f", T.DoubleType()),
-                                                                           T.StructField("_i", T.LongType()), T.StructField("_rank", T.LongType())])))
+    long, number = T.LongType(), T.DoubleType()
+    asked = staged(_grid_sums(placed, group, _CELLS, cells_of).groupBy(*group).applyInArrow(seek, _fields(gathered, group, side=long, f=number, _i=long, _rank=long)))
+
+    def pick(batches):
+        for batch in batches:
+            picked = []
+            for row in range(batch.num_rows):
+                x, n, wanted = (_numbers(batch, c, row) for c in ("x", "n", "_wanted"))
+                cell = _cells(x, *(batch.column(c)[row].as_py() for c in ("lo", "hi")))
+                there = np.flatnonzero(np.isin(cell, wanted))
+                picked.append((np.full(len(there), row), cell[there].astype(np.int64), x[there], n[there].astype(np.int64)))
+            if picked:
+                of, *found = (np.concatenate(v) for v in zip(*picked))
+                yield pa.RecordBatch.from_arrays([*(batch.column(g).take(pa.array(of)) for g in group), *(pa.array(v) for v in found)], names=[*group, "_i", "_v", "_n"])
+
     keys = [*group, "_i"]
-    values = beside(placed, asked.select(*keys).distinct(), keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = asked.groupBy(*group).agg(F.collect_set("_i").alias("_wanted"), F.count(F.lit(1)).alias(ROWS))  # four at most
+    values = attach_per_key(placed, wanted, group, "inner").mapInArrow(pick, _fields(gathered, group, _i=long, _v=number, _n=long)).groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
     met = beside(ranges(values, keys, "_v"), asked, keys, ["side", "f", "_rank"]).where(
         (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("_v")))
@@ -227,20 +317,32 @@ def _quartiles_apart(rows: DataFrame, sums: DataFrame, group: list[str], value:
 def positive_share(df: DataFrame, group: list[str], value: str, weight: str | None = None, n: int = 512) -> DataFrame:
     """Share of the density on -1..1 that lies above zero, per group (rule-of-thumb bandwidth).
 
-    ``df`` is read four times.  Each time a task keeps one row or array per group that it meets, so what is shuffled does
-    not grow with the rows; where rows of a group follow each other it is least.
+    ``df`` is read once, its values are written in arrays.
+    """
+    return share_of_gathered(gathered_values(df, group, value, weight), group, n)
+
+
+def share_of_gathered(gathered: DataFrame, group: list[str], n: int = 512) -> DataFrame:
+    """``positive_share`` of what ``gathered_values`` wrote; the values of a row may be in any order and repeat.
+
+    Rows are read four times.  Each time a task keeps one row or array per group that it meets, so what is shuffled does
+    not grow with the values; where rows of a group lie in few tasks it is least.
     """
     nodes = _nodes(n)
-    rows = _known(df, value, weight).select(*group, F.col(value).cast("double").alias("_x"), (F.lit(1.0) if weight is None else col(weight).cast("double")).alias("_w"))
-    sums = staged(rows.groupBy(*group).agg(F.count("_x").alias("n"), F.count(F.lit(1)).alias(ROWS), F.stddev_samp("_x").alias("sd"), F.min("_x").alias("lo"), F.max("_x").alias("hi")))
-    params = staged(_thumb(sums, _quartiles_apart(rows, sums, group, "_x"), group, 0.9).select(*group, ROWS, "bw"))
-    step = (2 + 8 * F.col("bw")) / (nodes - 1)
-    at = (F.col("_x") + 1 + 4 * F.col("bw")) / step
-    placed = attach_per_key(rows, params, group, "inner").select(*group, F.floor(at).alias("_i"), (at - F.floor(at)).alias("_f"), "_w")
-    masses = attach_per_key(_grid_sums(placed, group, nodes), params, group, "inner")
+    sums = staged(_extent(gathered, group))
+    params = staged(_thumb(sums, _quartiles_apart(gathered, sums, group), group, 0.9).select(*group, ROWS, "bw"))
+
+    def nodes_of(batch, row):
+        x, w, bw = _numbers(batch, "x", row), _numbers(batch, "w", row), batch.column("bw")[row].as_py()
+        at = (x + 1 + 4 * bw) / ((2 + 8 * bw) / (nodes - 1))
+        low = np.floor(at)
+        return np.append(low, low + 1), np.append(w * (1 - (at - low)), w * (at - low))
+
+    placed = attach_per_key(gathered.select(*group, "x", "w"), params, group, "inner")
+    masses = attach_per_key(_grid_sums(placed, group, nodes, nodes_of), params, group, "inner")
 
     def spread(parts: pa.Table) -> pa.Table:
-        mass = parts["sums"].combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+        mass = _whole(parts, nodes)
         bw = parts["bw"][0].as_py()
         step = (2 + 8 * bw) / (nodes - 1)
         z = np.arange(1 - nodes, nodes) * (step / bw)
@@ -250,7 +352,7 @@ def positive_share(df: DataFrame, group: list[str], value: str, weight: str | No
         whole = shown.sum()
         return pa.table({**{g: parts[g].slice(0, 1) for g in group}, "prop": pa.array([shown[x > 0].sum() / whole if whole != 0 else None], pa.float64())})
 
-    return masses.groupBy(*group).applyInArrow(spread, T.StructType([*(rows.schema[g] for g in group), T.StructField("prop", T.DoubleType())]))
+    return masses.groupBy(*group).applyInArrow(spread, _fields(gathered, group, prop=T.DoubleType()))
 
 
 def _share(at: Column) -> Column:

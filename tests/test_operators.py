@@ -505,3 +505,43 @@ def test_shares_of_many_rows_are_added_up_where_the_rows_are(spark):
         x = np.linspace(-1, 1, 512)
         y = (np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2) * w).sum(axis=1)
         assert abs(got[g] - y[x > 0].sum() / y.sum()) < 1e-3
+
+
+def test_uniform_numbers_are_those_of_md5(spark):
+    heads, numbers = ["1|9|", "12|r7|", "3|é|", "4|" + "x" * 49 + "|", "5|" + "y" * 80 + "|"], [1, 9, 10, 100, 9999]
+    got = resample.uniforms([h.encode() for h in heads], [str(r).encode() for r in numbers])
+    want = spark.createDataFrame([(i, h + str(r)) for i, (h, r) in enumerate((h, r) for h in heads for r in numbers)], "i long, t string").select("i", resample.uniform("t").alias("u"))
+    assert got.tolist() == [r.u for r in want.orderBy("i").collect()]
+
+
+def test_draws_and_shares_write_no_row_per_draw(spark, monkeypatch):
+    monkeypatch.setattr(resample, "_DRAWS_A_TASK", 5000)
+    monkeypatch.setattr(density, "_ROWS_GATHERED", 3000)
+    rng = random.Random(3)
+    birds = spark.createDataFrame([(1 + i % 2, i) for i in range(300)], "site_id long, ring long")
+    s = spark.createDataFrame([(1, "A", 0.0, 45.0), (2, "B", 3.0, 44.0)], "site_id long, sp string, n_lon double, n_lat double")
+    w = spark.createDataFrame([(i, rng.uniform(-6, 9), rng.uniform(40, 50), 1.0) for i in range(90)], "wb_id long, lon double, lat double, wgt_area double")
+    fit = spark.createDataFrame([("A", 300.0, 0.5), ("B", 200.0, 0.4)], "sp string, fit double, dispersion double")
+    drawn = resample.site_draws(birds, s, w, fit, 40, block=16)
+    steps = drawn._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert all(a in b for a, b in zip(("MapInArrow", "Sort", "Repartition", "Union"), steps))  # nothing is joined or dealt once it is drawn
+    seen = birds.join(s, "site_id").select("sp", "ring", (F.col("ring") % 360 - 179.5).alias("angle_deg"), (1.0 + F.col("ring") % 3).alias("wgt"))
+    directions = resample.with_realized(drawn, seen, "sp", "ring", "angle_deg", "wgt")
+    written = []
+    for module in (density, resample):
+        if hasattr(module, "staged"):
+            keep = module.staged
+            monkeypatch.setattr(module, "staged", lambda df, keep=keep, **how: written.append(keep(df, **how)) or written[-1])
+    got = {(r.sp, r.id, r.axis): r.prop for r in resample.axis_shares(directions, "sp", "angle_deg", "wgt", "ring").collect()}
+    rows = directions.collect()
+    assert len(rows) == 300 * 41 and len(got) == 2 * 41 * 2
+    assert max(t.count() for t in written) < len(rows) / 10  # rows of arrays, quartiles and bandwidths, none per direction
+    gathered = [t for t in written if "n" in t.columns and "x" in t.columns]
+    assert sum(r.s for t in gathered for r in t.selectExpr("aggregate(n, 0, (a, b) -> a + b) AS s").collect()) == len(rows)
+    for key in (("A", 0, "East"), ("B", 7, "North"), ("A", 40, "North")):
+        mine = [(math.sin(math.radians(r.angle_deg)) if key[2] == "East" else math.cos(math.radians(r.angle_deg)), r.wgt) for r in rows if (r.sp, r.id) == key[:2]]
+        v, weight = np.array(mine).T
+        bw = 0.9 * min(v.std(ddof=1), (np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.34) * len(v) ** -0.2
+        x = np.linspace(-1, 1, 512)
+        y = (np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2) * weight).sum(axis=1)
+        assert abs(got[key] - y[x > 0].sum() / y.sum()) < 1e-3
